@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.functions.ship import ship
-from tidewell.llm import chat, decontaminate, language, lines, mixing, private, topk
+from tidewell.llm import chat, decontaminate, language, lines, mixing, neardup, private, substrings, topk, toxicity
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_top_k": topk.op2_top_k,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_private": private.op4_private,
     "op5_language": language.op5_language,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
 }
