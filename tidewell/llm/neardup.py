@@ -28,8 +28,8 @@ BAND = 4
 SCALE, RATE = 1.001, 20.0
 #: Members of a bucket that meet another such part of it in one task.
 BUCKET_PART = 512
-#: A candidate goes on if its estimate is at most so far below the threshold (over six deviations).
-SLACK = 0.22
+#: A candidate goes on if its estimate is at most so far below the threshold (over five deviations).
+SLACK = 0.2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -146,22 +146,28 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a binary, b binary")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The text of one document of each class."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("one.doc_id").alias("_d"), F.col("one.t").alias("_t"))
+    source = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("node", "text")
+    return durable(texts.dropDuplicates(["node"]), "neardup-texts")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     pairs = durable(pairs, "neardup-pairs")
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(involved, "node", "left_semi").select("node", F.col("one.doc_id").alias("_d"), F.col("one.t").alias("_t"))
-    source = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("node", "text")
-    texts = durable(texts.dropDuplicates(["node"]), "neardup-texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(linked, pa.bool_())
+            both = zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k))
+            keep = pa.array([_linked(x, y, percent) for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -169,45 +175,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     return durable(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"), "neardup-links")
 
 
-def _left_over(members: DataFrame, links: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components in buckets that the leaders did not connect.
+def _likely(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs of different components among the rows of one task, and their estimates.
 
-    A large bucket is cut into parts by hash, and each pair of parts meets in a task of
-    its own; only pairs between components that the registers make likely come out.
+    A pair counts in the first band only whose registers it shares, so that no other bucket
+    repeats it; where two parts of a bucket meet, only pairs across them count.
+    """
+    regs = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(len(pdf), -1)
+    size, root = pdf["n_shingles"].to_numpy().astype(float), pd.factorize(pdf["root"])[0]
+    part, band = pdf["part"].to_numpy(), pdf["key"].iloc[0][-1]
+    across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+    left, right = [], []
+    for i in range(len(pdf) - 1):
+        fit = (root[i + 1 :] != root[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
+        if across:
+            fit &= part[i + 1 :] != part[i]
+        other = np.flatnonzero(fit) + i + 1
+        if len(other):
+            same = regs[other] == regs[i]
+            first = same.reshape(len(other), -1, BAND).all(axis=2).argmax(axis=1) == band
+            other = other[first & (same.mean(axis=1) >= percent / 100 - SLACK - 0.1)]
+            left.append(np.full(len(other), i))
+            right.append(other)
+    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    value = np.concatenate([np.zeros(0), *[estimate(regs[left[at : at + 4096]], regs[right[at : at + 4096]], size[left[at : at + 4096]], size[right[at : at + 4096]]) for at in range(0, len(left), 4096)]])
+    keep = value >= percent / 100 - SLACK
+    return left[keep], right[keep], value[keep]
+
+
+def _left_over(members: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components in buckets that the leaders did not connect.
+
+    A large bucket is cut into parts by hash, and each pair of parts meets in a task of its
+    own.  First the registers tell which classes have a likely partner in another component;
+    only these meet again with their texts.  There pairs are verified by falling estimate,
+    those whose components have met by then are skipped, and only links come out: never
+    more than there are classes.
     """
-    roots = components(links)
-    crowded = members.filter("n > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crowded = members.filter("n > 2").select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = crowded.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    parts = F.ceil(F.col("n") / BUCKET_PART).cast("int")
     rows = (
         crowded.join(apart, "key", "left_semi")
         .join(classes.select("node", "n_shingles", "registers"), "node")
-        .withColumn("parts", parts)
+        .withColumn("parts", F.ceil(F.col("n") / BUCKET_PART).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "root", "n_shingles", "registers")
     )
+    columns = "key binary, lo int, hi int, part int, node binary, root binary, n_shingles long, registers binary"
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(len(pdf), -1)
-        size, root = pdf["n_shingles"].to_numpy().astype(float), pd.factorize(pdf["root"])[0]
-        part, node = pdf["part"].to_numpy(), pdf["node"].to_numpy()
-        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        left, right, _ = _likely(pdf, percent)
+        return pdf.iloc[np.union1d(left, right)]
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, value = _likely(pdf, percent)
+        sets, node = list(shingle_sets(pa.array(pdf["text"], pa.string()), k)), pdf["node"].to_numpy()
+        parent = list(range(len(pdf)))
+        root = pd.factorize(pdf["root"])[0].tolist()
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         out = []
-        for i in range(len(pdf) - 1):
-            other = np.arange(i + 1, len(pdf))
-            fit = (root[other] != root[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))
-            if across:
-                fit &= part[other] != part[i]
-            other = other[fit]
-            if len(other):
-                other = other[(regs[other] == regs[i]).mean(axis=1) >= percent / 100 - SLACK - 0.1]
-            if len(other):
-                likely = estimate(np.broadcast_to(regs[i], (len(other), regs.shape[1])), regs[other], np.full(len(other), size[i]), size[other])
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in other[likely >= percent / 100 - SLACK]]
+        for at in np.argsort(-value, kind="stable"):
+            i, j = int(left[at]), int(right[at])
+            x, y = find(root[i]), find(root[j])
+            if x != y and _linked(sets[i], sets[j], percent):
+                parent[y] = x
+                out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(meet, "a binary, b binary").distinct()
+    likely = durable(rows.groupBy("key", "lo", "hi").applyInPandas(meet, columns), "neardup-likely")
+    texts = _texts(likely.select("node").distinct(), docs, classes)
+    return durable(likely.join(texts, "node").groupBy("key", "lo", "hi").applyInPandas(verify, "a binary, b binary"), "neardup-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -221,20 +265,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     doc_id counts as the largest, is never the name of a group that has another, and is kept
     only where its group has no other name.  Repeated rows are one document and get the same
     answer.  Equal sets are one class: copies cost one row each, and only classes are paired.
-    In each bucket all classes are first verified against one of them, which connects a group
-    of any size in linear work; what stays unconnected meets in bounded parts.
+    In each bucket all classes are first verified against the one that meets most others, which
+    connects a group of any size in linear work; what stays unconnected meets in bounded parts.
     """
     sketches = durable(sketch(docs, k), "neardup-sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("one"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = durable(classes, "neardup-classes")
     keys = F.array(*[F.concat(F.substring("registers", 2 * BAND * i + 1, 2 * BAND), F.lit(bytes([i]))) for i in range(REGISTERS // BAND)])
     bands = classes.select(F.explode(keys).alias("key"), "node")
-    leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = durable(bands.join(leaders, "key"), "neardup-members")
-    first = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    several = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = durable(bands.join(several, "key"), "neardup-members")
+    # the class that meets most others leads its buckets: an original rather than one of its variants
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("leader")).select("key", F.col("leader.node").alias("leader"))
+    first = members.join(leaders, "key").filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = _verified(_plausible(first, classes, percent), docs, classes, k, percent)
-    more = _left_over(members, links, classes, percent).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, docs, classes, k, percent))
+    links = links.unionByName(_left_over(members, links, docs, classes, k, percent))
     rooted = classes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = durable(rooted.join(names, "root").select(F.col("node").alias("_node"), "component_id"), "neardup-named")
