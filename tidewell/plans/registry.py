@@ -1,22 +1,441 @@
-"""Registered demand-analytics queries and their DuckDB counterparts."""
+"""Registered demand-analytics queries and their DuckDB counterparts.
+
+All read the driver's tables through one view: daily sales by part type and region.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.functions.ship import ship
+from tidewell.plans.sql import SQL
+from tidewell.functions import features as ft
+from tidewell.operators import clean, demand, elasticity, metrics, models, windows
+from tidewell.schema import CLASSES, K, PRICE_GRIDS, PROMO_LEVELS
+from tidewell.sources import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+    return f
+
+
+def sales(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sales; sums are taken in decimals, so that they do not depend on order."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    items = read("lineitem").select("l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), *[F.col(c).cast("decimal(18,4)").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
+    near = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").cast("int").alias("ID_SO"))
+    rows = items.join(read("part").select("p_partkey", F.col("p_type").alias("ID_PRODUIT")), F.col("l_partkey") == F.col("p_partkey")).join(near, F.col("l_suppkey") == F.col("s_suppkey"))
+    q, p, s = (F.sum(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount"))
+    out = rows.groupBy(*K, "date").agg(q.alias("QUANTITE"), (p / q).alias("PARAM_PRIX"), F.round(s / F.count("*"), 6).alias("_promo"))
+    return out.select(*K, "date", "QUANTITE", "PARAM_PRIX", F.when(F.col("_promo") >= 0.06, F.col("_promo")).otherwise(0.0).alias("PARAM_PROMO_1"), (F.weekday("date") >= 5).cast("double").alias("PARAM_VACANCE"))
+
+
+def dense(spark: SparkSession, d: str) -> DataFrame:
+    return demand.dense_calendar(sales(spark, d))
+
+
+def naive(spark: SparkSession, d: str) -> DataFrame:
+    """Demand with the forecast of seven rows before."""
+    return dense(spark, d).select(*K, "date", "QUANTITE", F.lag("QUANTITE", 7).over(windows.by_date()).alias("p"))
+
+
+def r(n: int, *cols: str) -> list:
+    return [F.round(c, n).alias(c) for c in cols]
+
+
+def above(n: int, *cols: str) -> list:
+    """Rounded after a nudge that settles halves, which engines round apart."""
+    return [F.round(F.col(c) + 10.0 ** -(n + 2), n).alias(c) for c in cols]
+
+
+NAMES = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE"]
+
+
+def curve(spark: SparkSession, d: str) -> DataFrame:
+    return elasticity.log_linear(sales(spark, d))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a4_sales_stats_report"](spark, sf_dir)
+    return a4_sales_stats_report(ship(spark), sf_dir)
+
+
+@query
+def a1_series_stats(spark, d):
+    f = ["moyenne_all", "ecart_type_all", "moyenne_nz", "ecart_type_nz", "cv_all", "cv_nz"]
+    return demand.series_stats(dense(spark, d)).select(*K, "nb_records", "nb_records_avec_vente", "somme", *r(6, *f))
+
+
+@query
+def a2_demand_days(spark, d):
+    return demand.series_stats(dense(spark, d)).select(*K, "nb_jours_obs", "nb_jours_demand")
+
+
+@query
+def a4_sales_stats_report(spark, d):
+    return demand.sales_stats_report(dense(spark, d)).select(*K, "nb_records", "somme", "moyenne_nz", "cv_nz", "adi", "cv2", "profil_demande").orderBy(*K)
+
+
+@query
+def a5_class_distribution(spark, d):
+    return demand.class_distribution(demand.sales_stats_report(dense(spark, d)), CLASSES)
+
+
+@query
+def a6_ingest_summary(spark, d):
+    return sales(spark, d).agg(F.count_distinct("ID_PRODUIT").alias("produits"), F.count_distinct("ID_SO").alias("magasins"), F.count_distinct(*K).alias("couples"), F.count_if(F.col("ID_SO").isNull()).alias("sans_so"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.datediff(F.max("date"), F.min("date")).cast("long").alias("jours"))
+
+
+@query
+def a7_date_gap_report(spark, d):
+    return demand.date_gap_report(sales(spark, d))
+
+
+@query
+def a8_demand_segment(spark, d):
+    return demand.demand_segment(dense(spark, d))
+
+
+@query
+def a9_date_ranges(spark, d):
+    return sales(spark, d).groupBy(*K).agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+
+
+@query
+def a11_daily_sales(spark, d):
+    return demand.daily_sales(sales(spark, d))
+
+
+@query
+def a12_daily_mean(spark, d):
+    return sales(spark, d).groupBy("ID_PRODUIT", "date").agg(F.avg("QUANTITE").alias("QUANTITE"), F.avg("PARAM_PRIX").alias("PARAM_PRIX")).select("ID_PRODUIT", "date", *above(6, "QUANTITE", "PARAM_PRIX"))
+
+
+@query
+def a13_eligible_series(spark, d):
+    rows = sales(spark, d)
+    return rows.join(rows.groupBy(*K).count().filter("count >= 180").select(*K), K, "left_semi").groupBy(*K).agg(F.count("*").alias("n"))
+
+
+@query
+def a14_mean_std(spark, d):
+    return sales(spark, d).groupBy(*K).agg(F.round(F.avg("PARAM_PRIX"), 5).alias("moyenne"), F.round(F.stddev_pop("PARAM_PRIX"), 5).alias("ecart_type"))
+
+
+@query
+def a15_median_iqr(spark, d):
+    return metrics.median_iqr(sales(spark, d), "PARAM_PRIX").select(*K, *r(5, "mediane", "iqr", "robust_std"))
+
+
+@query
+def a16_forecast_metrics_by_series(spark, d):
+    return metrics.forecast_metrics_by_series(naive(spark, d), "QUANTITE", "p").select(*K, "N_OBS", "SUM_ACTUAL", "SUM_PRED", *r(5, "MAE", "RMSE", "MEAN_ACTUAL", "WMAPE", "DIFF_PCT"))
+
+
+@query
+def a17_forecast_metrics(spark, d):
+    rows = naive(spark, d).filter("p is not null").withColumn("mois", F.month("date"))
+    return metrics.forecast_metrics(rows, "QUANTITE", "p", ["mois"]).select("mois", "n", *r(5, "mae", "rmse", "mean_y", "mape_pct"))
+
+
+@query
+def a18_tweedie_deviance(spark, d):
+    rows = naive(spark, d).filter("p is not null")
+    return rows.groupBy(*K).agg(F.round(F.avg(metrics.tweedie_deviance(F.col("QUANTITE"), F.col("p") + 1)), 5).alias("deviance"))
+
+
+@query
+def a19_volume_accuracy(spark, d):
+    return metrics.volume_accuracy(naive(spark, d).na.drop(subset=["p"]), "QUANTITE", "p").select(*K, *r(5, "wmape", "accuracy", "volume_error", "volume_accuracy"))
+
+
+@query
+def a20_masked_rmse(spark, d):
+    e = F.col("p") - F.col("QUANTITE")
+    return naive(spark, d).groupBy("ID_PRODUIT").agg(F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
+
+
+@query
+def a21_smape(spark, d):
+    return metrics.smape(naive(spark, d).na.drop(subset=["p"]), "QUANTITE", "p").select(*K, *r(5, "smape"))
+
+
+@query
+def a22_promo_lift(spark, d):
+    return metrics.promo_lift(sales(spark, d), "PARAM_PROMO_1").select(*K, *r(5, "q_avec", "q_sans", "ratio"))
+
+
+@query
+def a23_range_check(spark, d):
+    return metrics.range_check(sales(spark, d), "PARAM_PRIX", K)
+
+
+@query
+def a26_accuracy_buckets(spark, d):
+    m = metrics.forecast_metrics_by_series(naive(spark, d), "QUANTITE", "p")
+    return metrics.accuracy_buckets(m).select("n_50", "n_100", "n_plus", *r(4, "mediane_wmape"))
+
+
+@query
+def a28_volume_pick(spark, d):
+    report = demand.sales_stats_report(dense(spark, d)).select(*K, F.lit("toutes").alias("classe"), F.col("somme").alias("volume"))
+    return demand.volume_stratified_pick(report, 7)
+
+
+@query
+def a30_normalized_share(spark, d):
+    v = sales(spark, d).groupBy("ID_PRODUIT").agg(F.sum("QUANTITE").alias("v"))
+    return v.crossJoin(F.broadcast(v.agg(F.sum("v").alias("t")))).select("ID_PRODUIT", F.round(F.col("v") / F.col("t"), 6).alias("part"))
+
+
+@query
+def j1_rows_of_class(spark, d):
+    classes = demand.sales_stats_report(dense(spark, d)).filter("profil_demande <> 'indetermine'").select(*K, "profil_demande")
+    return sales(spark, d).join(classes, K).groupBy("profil_demande").agg(F.count("*").alias("n"), F.sum("QUANTITE").alias("q"))
+
+
+@query
+def j4_update_quantity(spark, d):
+    rows = sales(spark, d)
+    return clean.update_quantity(rows.select(*K, "date", "QUANTITE"), rows.filter("dayofmonth(date) = 1").select(*K, "date", (F.col("QUANTITE") * 2).alias("QUANTITE")))
+
+
+@query
+def j6_version_intervals(spark, d):
+    rows = sales(spark, d)
+    versions = rows.filter("month(date) in (1, 7)").groupBy(*K, F.trunc("date", "month").alias("date")).agg(F.round(F.avg("PARAM_PRIX"), 4).alias("modele"))
+    valid = windows.version_intervals(versions, rows.groupBy(*K).agg(F.max("date").alias("last_date")))
+    v = valid.withColumnRenamed("date", "valid_from")
+    return rows.join(v, K).filter("date >= valid_from and date < valid_to").groupBy(*K, "valid_from").agg(F.count("*").alias("n"), F.min("date").alias("d0"), F.max("date").alias("d1"))
+
+
+@query
+def j7_calendar_spine(spark, d):
+    return dense(spark, d).select(*K, "date", "QUANTITE")
+
+
+@query
+def j10_with_and_without_promo(spark, d):
+    rows = sales(spark, d)
+    on = rows.filter("PARAM_PROMO_1 > 0.075").select("ID_PRODUIT", "ID_SO", F.year("date").alias("y")).distinct()
+    years = rows.select(*K, F.year("date").alias("y")).distinct()
+    keys = [*K, "y"]
+    return years.join(on, keys, "left_semi").withColumn("estimateur", F.lit("A")).unionByName(years.join(on, keys, "left_anti").withColumn("estimateur", F.lit("B")))
+
+
+@query
+def w1_origin_lags(spark, d):
+    out = windows.origin_features(dense(spark, d))
+    return out.select(*K, "date", *[c for c in out.columns if c.startswith("y_origin")])
+
+
+@query
+def w2_rolling_stats(spark, d):
+    out = windows.origin_features(dense(spark, d))
+    return out.select(*K, "date", *r(5, *[c for c in out.columns if c.startswith("roll_")]))
+
+
+@query
+def w3_trend_sale_cv(spark, d):
+    return windows.origin_features(dense(spark, d)).select(*K, "date", *r(5, "trend_28", "cv_28"), F.col("days_since_sale").cast("long").alias("days_since_sale"))
+
+
+@query
+def w6_calendar_rolling(spark, d):
+    return windows.calendar_rolling(dense(spark, d)).select(*K, "date", *r(5, "mean_7", "var_7", "mean_30", "var_30", "mean_90", "var_90"))
+
+
+@query
+def w7_expanding_stats(spark, d):
+    return windows.expanding_stats(dense(spark, d)).select(*K, "date", *above(6, "mean_exp", "var_exp"))
+
+
+@query
+def w8_impute_midpoint(spark, d):
+    return windows.impute_midpoint(dense(spark, d), "PARAM_PRIX").select(*K, "date", *above(6, "PARAM_PRIX"))
+
+
+@query
+def w9_interpolate_linear(spark, d):
+    return windows.interpolate_linear(dense(spark, d), "PARAM_PRIX").select(*K, "date", *above(6, "PARAM_PRIX"))
+
+
+@query
+def w12_split_with_purge(spark, d):
+    return windows.split_with_purge(sales(spark, d)).groupBy(*K, "split").agg(F.count("*").alias("n"), F.min("date").alias("d0"), F.max("date").alias("d1"))
+
+
+@query
+def w13_split_fraction(spark, d):
+    return windows.split_fraction(sales(spark, d)).groupBy(*K, "is_test").agg(F.count("*").alias("n"), F.min("date").alias("d0"))
+
+
+@query
+def w15_expanding_folds(spark, d):
+    return windows.expanding_folds(sales(spark, d), 5).groupBy(*K, "fold", "role").agg(F.count("*").alias("n"), F.min("date").alias("d0"), F.max("date").alias("d1"))
+
+
+@query
+def w16_last_price(spark, d):
+    return sales(spark, d).groupBy(*K).agg(F.round(F.max_by("PARAM_PRIX", "date"), 6).alias("prix"))
+
+
+@query
+def w17_winsorize(spark, d):
+    return windows.winsorize_by_series(sales(spark, d), "PARAM_PRIX").select(*K, "date", *above(6, "PARAM_PRIX"))
+
+
+@query
+def w20_scale_series(spark, d):
+    return windows.scale_series(sales(spark, d), "QUANTITE").select(*K, "date", *r(6, "QUANTITE_scaled"))
+
+
+@query
+def w22_regression_lags(spark, d):
+    return windows.regression_lags(dense(spark, d).select(*K, "date", "QUANTITE"), ["QUANTITE"])
+
+
+@query
+def m3_direct_samples(spark, d):
+    out = windows.direct_samples(dense(spark, d), ["PARAM_PROMO_1"])
+    exact = ["y_origin_m0", "y_origin_m7", "y_origin_m365", "target_dow", "target_doy", "target_is_weekend", "PARAM_PROMO_1", "y"]
+    return out.select(*K, "_origin_date", "_target_date", "_is_test", "horizon", *exact, *r(5, "roll_mean_28", "roll_std_91", "trend_28"))
+
+
+@query
+def f4_build_features(spark, d):
+    rows = ft.build_features(sales(spark, d).withColumn("PRIX_VENTE_PROMO", F.col("PARAM_PRIX") * (1 - F.col("PARAM_PROMO_1"))))
+    return rows.select(*K, "date", "dow", "jour", "jour_annee", "semaine", "mois", "annee", "debut_mois", "fin_mois", "weekend", "est_promo", *r(6, "sin_jour", "cos_mois", "ratio_promo", "discount_pct", "log_prix"))
+
+
+@query
+def p8_dedupe_days(spark, d):
+    return clean.dedupe_days(sales(spark, d).withColumn("ID_SO", F.lit(0)), ["QUANTITE", "PARAM_PRIX"]).select(*K, "date", "QUANTITE")
+
+
+@query
+def p14_history_window(spark, d):
+    return clean.history_window(sales(spark, d), 90).groupBy(*K).agg(F.count("*").alias("n"), F.sum("QUANTITE").alias("q"))
+
+
+@query
+def p15_systematic_sample(spark, d):
+    return clean.systematic_sample(sales(spark, d), 100, ["date"]).select(*K, "date", "QUANTITE")
+
+
+@query
+def s9_kv_line(spark, d):
+    rows = sales(spark, d)
+    return rows.select(text.to_kv_line(rows, ["ID_PRODUIT", "ID_SO", "date"]).alias("ligne"))
+
+
+@query
+def t6_best_model(spark, d):
+    rows = naive(spark, d).withColumn("p1", F.lag("QUANTITE", 1).over(windows.by_date())).na.drop(subset=["p", "p1"])
+    err = lambda p, name: rows.groupBy(*K).agg(F.round(F.avg(F.abs(F.col(p) - F.col("QUANTITE"))), 6).alias("mae")).withColumn("modele", F.lit(name))
+    return err("p", "saison").unionByName(err("p1", "veille")).groupBy(*K).agg(F.min_by("modele", F.struct("mae", "modele")).alias("modele"), F.min("mae").alias("mae"))
+
+
+@query
+def u2_keys_in_both(spark, d):
+    rows = sales(spark, d).select(*K, F.dayofyear("date").alias("j"), F.col("PARAM_PROMO_1").alias("x"))
+    return rows.filter("x > 0").select(*K, "j").intersect(rows.filter("x = 0").select(*K, "j"))
+
+
+@query
+def u3_keys_minus(spark, d):
+    rows = sales(spark, d).select(*K, F.dayofyear("date").alias("j"), F.col("PARAM_PROMO_1").alias("x"))
+    return rows.filter("x > 0").select(*K, "j").subtract(rows.filter("x = 0").select(*K, "j"))
+
+
+@query
+def e1_price_scenarios(spark, d):
+    out = elasticity.price_scenarios(curve(spark, d), PRICE_GRIDS["a"], elasticity.demand_curve, NAMES)
+    return out.groupBy(*K, "scenario").agg(F.round(F.sum("prediction"), 4).alias("total"))
+
+
+@query
+def e2_promo_scenarios(spark, d):
+    out = elasticity.promo_scenarios(curve(spark, d), PROMO_LEVELS, elasticity.demand_curve, NAMES)
+    return out.groupBy(*K, "scenario").agg(F.round(F.sum("prediction"), 4).alias("total"))
+
+
+@query
+def e7_elasticities(spark, d):
+    return elasticity.elasticities(curve(spark, d), NAMES, elasticity.demand_curve, NAMES)
+
+
+@query
+def e10_ols_elasticity(spark, d):
+    return elasticity.ols_elasticity(sales(spark, d), "PARAM_PRIX")
+
+
+@query
+def e12_slope_pm10(spark, d):
+    return elasticity.slope_pm10(curve(spark, d), "PARAM_PRIX", elasticity.demand_curve, NAMES).select(*K, *r(8, "slope"))
+
+
+@query
+def e13_attribution_share(spark, d):
+    out = elasticity.attribution_share(sales(spark, d), {"PARAM_PRIX": -0.01, "PARAM_PROMO_1": 40.0, "PARAM_VACANCE": 5.0})
+    return out.select(*K, "feature", *r(5, "share"))
+
+
+@query
+def a24_elasticity_summary(spark, d):
+    return metrics.elasticity_summary(elasticity.ols_elasticity(sales(spark, d), "PARAM_PRIX").withColumn("feature", F.lit("PARAM_PRIX"))).select("feature", "n", *r(3, "mediane", "moyenne"))
+
+
+@query
+def a25_sign_audit(spark, d):
+    return metrics.sign_audit(elasticity.ols_elasticity(sales(spark, d), "PARAM_PRIX").withColumn("feature", F.lit("PARAM_PRIX")))
+
+
+def _modelled(spark, d):
+    return windows.split_with_purge(ft.build_features(sales(spark, d)))
+
+
+FEATURES = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE", "mois", "dow"]
+
+
+@query
+def m2_fit_class_model(spark, d):
+    rows = _modelled(spark, d)
+    return models.predict(models.fit_model(rows.filter("split = 'train'"), FEATURES, "tweedie"), rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+
+
+@query
+def m4_fit_direct_model(spark, d):
+    s = windows.direct_samples(sales(spark, d), ["PARAM_PRIX", "PARAM_PROMO_1"])
+    f = ["horizon", "y_origin_m0", "y_origin_m7", "roll_mean_28", "trend_28", "target_dow", "PARAM_PRIX", "PARAM_PROMO_1"]
+    model = models.fit_model(s.filter("not _is_test"), f, "boosted", label="y", maxIter=5)
+    return metrics.forecast_metrics(models.predict(model, s.filter("_is_test")), "y", "prediction", ["horizon"])
+
+
+@query
+def m8_fit_per_series(spark, d):
+    return models.fit_per_series(sales(spark, d), models.ridge_fit(NAMES), "ID_PRODUIT string, ID_SO int, feature string, weight double")
+
+
+@query
+def m12_random_forest(spark, d):
+    rows = _modelled(spark, d)
+    return models.predict(models.fit_model(rows.filter("split = 'train'"), FEATURES, "forest"), rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+
+
+@query
+def m14_fit_arx(spark, d):
+    return models.fit_per_series(models.with_ar(sales(spark, d)), models.ridge_fit(["ar_1", "t", *NAMES]), "ID_PRODUIT string, ID_SO int, feature string, weight double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(SQL)
