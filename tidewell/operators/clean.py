@@ -16,7 +16,7 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def date_from_parts(y: Column, m: Column, d: Column, first: str = "2018-01-01", days: int = 3660) -> Column:
     """A real date of the window, else null."""
-    date = F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string")), F.lit("y-M-d")) if hasattr(F, "try_to_date") else F.expr("null")
+    date = F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string")), "y-M-d")
     since = F.datediff(date, F.lit(first).cast("date"))
     return F.when((y >= 2000) & m.between(1, 12) & d.between(1, 31) & since.between(0, days - 1), date)
 

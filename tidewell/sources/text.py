@@ -110,7 +110,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 def zip_history(requests: DataFrame) -> DataFrame:
     paired = requests.filter("size(LIST_HISTO) = size(LIST_QUANTITE) and size(LIST_HISTO) > 0")
     rows = paired.select(*K, F.explode(F.arrays_zip("LIST_HISTO", "LIST_QUANTITE")).alias("z"))
-    day = F.try_to_date(F.col("z.LIST_HISTO")["DATE_IMPORT"], F.lit("dd/MM/yyyy"))
+    day = F.try_to_date(F.col("z.LIST_HISTO")["DATE_IMPORT"], "dd/MM/yyyy")
     return rows.select(*K, day.alias("date"), F.greatest(F.coalesce(F.col("z.LIST_QUANTITE").try_cast("double"), F.lit(0.0)), F.lit(0.0)).alias("QUANTITE"), F.col("z.LIST_HISTO").alias("parametres"))
 
 
