@@ -92,6 +92,8 @@ class Matcher:
 
     def find(self, text: str) -> dict[int, int]:
         """Index of each item that occurs -> its least distance."""
+        if not self.items:
+            return {}
         if self.automaton is None:
             self._build()
         found: dict[int, int] = {}

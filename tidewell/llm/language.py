@@ -86,10 +86,14 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``by`` at most, chosen by a hash of doc_id and text."""
+    """About ``most`` rows of each value of ``by`` at most, chosen by a hash of doc_id and text.
+
+    The counts have one row for each language, far less than the model, which the driver holds
+    as well: so they may be broadcast, and no text is shuffled before the sample is taken.
+    """
     counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(counts, F.col(by) == F.col("_by")).filter(chance < most / F.col("_n")).drop("_by", "_n")
+    return rows.join(F.broadcast(counts), F.col(by) == F.col("_by")).filter(chance < most / F.col("_n")).drop("_by", "_n")
 
 
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:

@@ -102,7 +102,7 @@ def exact_top_k(vectors: DataFrame, vector: str = "embedding", k: int = 5, every
     n, top, n_query = coded.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0)), F.count_if(F.col("vec_id") % every == 0)).first()
     picked = coded.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
     size = max((len(r["codes"]) for r in picked), default=0)
-    pivots = np.array([r["codes"] for r in picked if len(r["codes"]) == size]).reshape(-1, size)
+    pivots = np.array([r["codes"] for r in picked if len(r["codes"]) == size], float).reshape(len([r for r in picked if len(r["codes"]) == size]), size)
     cells, blocks = max(1, -(-n // CELL_ROWS)), max(1, -(-n_query // QUERY_ROWS))
     spread = lambda parts: F.pmod(F.xxhash64("vec_id", F.lit("cell")), F.lit(parts))
     every_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
