@@ -154,7 +154,9 @@ def test_language_of_single_mixed_and_empty_texts(spark):
     assert out[0]["score"] == 1.0 and 0.5 < out[2]["score"] < 0.95 and out[3]["score"] == 0.0
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("heavy", [1, 5, 1000])
+def test_line_dedup(spark, heavy, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", heavy)
     texts = ["a\nb\nc", "x\na\n\nb\ny", "a\nb\nc", None, "", "z\nz\nz\nz", "a"]
     out = {r["doc_id"]: r for r in lines.drop_repeated_lines(docs(spark, texts)).collect()}
     assert [out[i]["text"] for i in range(7)] == ["a\nb\nc", "x\n\ny", "", None, "", "z", "a"]
@@ -269,6 +271,16 @@ def test_toxicity_learns_a_lexicon():
     assert np.mean(np.array(said) == labels[240:]) > 0.95
 
 
+def test_toxicity_steps_on_empty_and_short_texts():
+    texts = ["", "vile", "", "vile trash", "fine day out here", "", "x"] * 4
+    slots = [s[w] for s, rows in toxicity.word_slots(pa.array(texts)) for w in rows]
+    labels = np.array([int("vile" in t) for t in texts])
+    net = toxicity.fit(slots, labels, np.zeros(len(texts), np.int64), np.ones(len(texts)))
+    z = np.array([net.logit(net.project(t), np.arange(len(t))) for t in slots])
+    assert np.isfinite(z).all() and z[labels == 1].min() > z[labels == 0].max()
+    toxicity.fit([s for s in slots if not len(s)], np.zeros(12, np.int64), np.zeros(12, np.int64), np.ones(12))
+
+
 def test_toxicity_without_labels(spark):
     some = docs(spark, ["a b", None, ""])
     speech = language.fit_languages(some)
