@@ -129,3 +129,17 @@ def attribution_share(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     total = reduce(lambda a, b: a + b, [F.col(f) for f in weights])
     wide = wide.withColumn("_t", total).withColumns({f: F.try_divide(F.col(f) * 100, F.col("_t")) for f in weights})
     return wide.select(*K, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("share")) for f in weights])).alias("_s")).select(*K, "_s.feature", "_s.share").filter("share > 0.01")
+
+
+def elasticity_export(long: DataFrame, features: list[str], metrics: DataFrame, shares: DataFrame, dates: DataFrame, classes: DataFrame, model: str) -> DataFrame:
+    """One row for each couple: metrics, attribution shares, elasticities with type and cv, dates, class.
+
+    Zero elasticities of other features than promotions are left empty.
+    """
+    shown = long.filter((F.col("value") != 0) | F.col("feature").startswith("PARAM_PROMO_"))
+    named = lambda f: f if f.startswith("PARAM_") else f"PARAM_{f.upper()}"
+    pick = lambda c, f: F.max(F.when(F.col("feature") == f, F.col(c)))
+    effects = shown.groupBy(*K).agg(*[pick(c, f).alias(f"{p}_{named(f)}") for f in features for p, c in (("ELAST", "value"), ("TYPE", "type"), ("CV", "cv"))])
+    parts = shares.groupBy(*K).agg(*[pick("share", f).alias(f"SHAP_{named(f)}") for f in features])
+    out = metrics.join(parts, K, "left").join(effects, K, "left").join(dates, K, "left").join(classes, K, "left")
+    return out.withColumns({"MODELE": F.lit(model), "OK": F.lit(1)})

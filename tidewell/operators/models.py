@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +118,17 @@ def ridge_fit(features: list[str], alpha: float = 1e-3) -> Callable[[pd.DataFram
 def with_ar(df: DataFrame) -> DataFrame:
     """Lag and time index of an autoregressive model with exogenous columns."""
     return df.withColumns({"ar_1": F.coalesce(F.lag("QUANTITE", 1).over(by_date()), F.lit(0.0)), "t": F.row_number().over(by_date()).cast("double")})
+
+
+def refit_from_params(df: DataFrame, stored: str, kind: str = "boosted") -> PipelineModel:
+    """Fit again from a stored JSON object with features and params."""
+    known = json.loads(stored)
+    return fit_model(df, known["features"], kind, **known.get("params", {}))
+
+
+def signed_importance(df: DataFrame, model: PipelineModel, features: list[str], label: str = "QUANTITE") -> list[tuple[str, float]]:
+    """Normalised importance in % with the sign of the feature's least-squares elasticity."""
+    line = Pipeline(stages=[assemble(features), LinearRegression(labelCol=label)]).fit(df).stages[-1].coefficients.toArray()
+    means = df.agg(*[F.avg(f).alias(f"_{i}") for i, f in enumerate(features)], F.avg(label).alias("_y")).first()
+    sign = {f: np.sign(line[i] * means[f"_{i}"] * means["_y"]) for i, f in enumerate(features)}
+    return [(f, round(100 * v * float(sign[f]), 2)) for f, v in feature_importance(model, features)]

@@ -127,6 +127,32 @@ def regression_lags(df: DataFrame, cols: list[str], n: int = 7) -> DataFrame:
 
 
 def version_intervals(versions: DataFrame, end: DataFrame) -> DataFrame:
-    """Validity [date, next date) of model versions; the last one ends after the last history day."""
+    """Validity [date, next date) of model versions; the last one ends at the last history day, which it leaves out."""
     after = F.lead("date").over(by_date())
-    return versions.join(end, K).withColumn("valid_to", F.coalesce(after, F.date_add("last_date", 1))).drop("last_date")
+    return versions.join(end, K).withColumn("valid_to", F.coalesce(after, F.col("last_date"))).drop("last_date")
+
+
+def fill_next_day(df: DataFrame, order: str) -> DataFrame:
+    """An empty date becomes the day after the row before it, chained; rows before the first date stay empty."""
+    w = Window.partitionBy(*K).orderBy(order)
+    known = F.when(F.col("date").isNotNull(), F.struct("date", F.row_number().over(w).alias("rn")))
+    df = df.withColumns({"_rn": F.row_number().over(w), "_known": known})
+    last = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_last", last)
+    return df.withColumn("date", F.date_add("_last.date", F.col("_rn") - F.col("_last.rn"))).drop("_rn", "_known", "_last")
+
+
+def forecast_by_version(df: DataFrame, versions: DataFrame, x: str) -> DataFrame:
+    """Forecast of each row by the line q = a + b x fitted on all rows up to its version's date.
+
+    Versions join the series as marked rows, so running fits and the version in force come
+    from one window; a row takes the latest version dated on or before it.  The last
+    day of a series is in no version's validity.
+    """
+    rows = df.select(*K, "date", "QUANTITE", x, F.lit(False).alias("_mark"))
+    marks = versions.select(*K, "date", F.lit(None).cast("double").alias("QUANTITE"), F.lit(None).cast("double").alias(x), F.lit(True).alias("_mark"))
+    w = by_date().rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fitted = rows.unionByName(marks).withColumns({"_a": F.regr_intercept("QUANTITE", x).over(w), "_b": F.regr_slope("QUANTITE", x).over(w)})
+    version = F.when(F.col("_mark"), F.struct(F.col("date").alias("d"), "_a", "_b"))
+    out = fitted.withColumn("_v", F.last(version, ignorenulls=True).over(w)).withColumn("_end", F.max(F.when(~F.col("_mark"), F.col("date"))).over(whole())).filter("not _mark and _v is not null and date < _end")
+    return out.select(*K, "date", F.col("_v.d").alias("version"), "QUANTITE", F.greatest(F.col("_v._a") + F.col("_v._b") * F.col(x), F.lit(0.0)).alias("prediction"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.ship import ship
 from tidewell.plans.sql import SQL
 from tidewell.functions import features as ft
-from tidewell.operators import clean, demand, elasticity, metrics, models, windows
+from tidewell.operators import clean, demand, elasticity, metrics, models, totals, windows
 from tidewell.schema import CLASSES, K, PRICE_GRIDS, PROMO_LEVELS
 from tidewell.sources import text
 
@@ -433,6 +433,111 @@ def m14_fit_arx(spark, d):
     return models.fit_per_series(models.with_ar(sales(spark, d)), models.ridge_fit(["ar_1", "t", *NAMES]), "ID_PRODUIT string, ID_SO int, feature string, weight double")
 
 
+def _by_weekday(x):
+    return elasticity.demand_curve(x) * (1 + 0.02 * x["PARAM_JOUR_SEMAIN"])
+
+
+def _weekdays(spark, d):
+    return curve(spark, d).withColumn("PARAM_JOUR_SEMAIN", F.weekday("date").cast("double"))
+
+
+@query
+def e8_series_elasticity(spark, d):
+    names = [*NAMES, "PARAM_JOUR_SEMAIN"]
+    return totals.series_elasticity(_weekdays(spark, d), names, _by_weekday, names)
+
+
+@query
+def e9_series_elasticity_1pct(spark, d):
+    return totals.series_elasticity_1pct(_weekdays(spark, d), NAMES, _by_weekday, [*NAMES, "PARAM_JOUR_SEMAIN"])
+
+
+@query
+def e11_perturb_single(spark, d):
+    return totals.perturb_single(curve(spark, d), NAMES, lambda x: F.coalesce(elasticity.demand_curve(x), F.lit(0.0)), NAMES)
+
+
+@query
+def e15_permutation_importance(spark, d):
+    rows = _modelled(spark, d)
+    model = models.fit_model(rows.filter("split = 'train'"), FEATURES, "boosted", maxIter=5)
+    return spark.createDataFrame(models.permutation_importance(rows.filter("split = 'test'"), model, FEATURES), "feature string, rise double")
+
+
+@query
+def e16_elasticity_export(spark, d):
+    rows = naive(spark, d)
+    long = elasticity.elasticities(curve(spark, d), NAMES, elasticity.demand_curve, NAMES)
+    shares = elasticity.attribution_share(sales(spark, d), {"PARAM_PRIX": -0.01, "PARAM_PROMO_1": 40.0, "PARAM_VACANCE": 5.0})
+    dates = rows.groupBy(*K).agg(F.min("date").alias("DATE_HIST_MIN"), F.max("date").alias("DATE_HIST_MAX"))
+    classes = demand.sales_stats_report(dense(spark, d)).select(*K, F.col("profil_demande").alias("CLASSE_SB"))
+    out = elasticity.elasticity_export(long, NAMES, metrics.forecast_metrics_by_series(rows, "QUANTITE", "p"), shares, dates, classes, "curve")
+    return out.select(*K, *r(5, "MAE", "SHAP_PARAM_PRIX"), "ELAST_PARAM_PRIX", "TYPE_PARAM_PRIX", "DATE_HIST_MIN", "DATE_HIST_MAX", "CLASSE_SB", "MODELE", "OK")
+
+
+@query
+def a31_signed_importance(spark, d):
+    rows = _modelled(spark, d)
+    model = models.fit_model(rows, FEATURES, "boosted", maxIter=5)
+    return spark.createDataFrame(models.signed_importance(rows, model, FEATURES), "feature string, importance double")
+
+
+@query
+def w19_fill_next_day(spark, d):
+    rows = sales(spark, d).select(*K, F.row_number().over(windows.by_date()).cast("long").alias("ordre"), F.when(F.dayofmonth("date") % 3 > 0, F.col("date")).alias("date"))
+    return windows.fill_next_day(rows, "ordre")
+
+
+@query
+def m5_search_params(spark, d):
+    rows = _modelled(spark, d)
+    found, error = models.search_params(rows.filter("split = 'train'"), rows.filter("split = 'test'"), FEATURES, {"maxDepth": [2, 4], "maxIter": [3, 5]}, n=2)
+    return spark.createDataFrame([(k, float(v), float(error)) for k, v in found.items()], "param string, value double, mae double")
+
+
+@query
+def m6_grid_search_time_cv(spark, d):
+    found = models.grid_search_time_cv(_modelled(spark, d), FEATURES, [{"regParam": 0.01}, {"regParam": 0.1}], k=2, kind="tweedie")
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "param string, value double")
+
+
+@query
+def m7_choose_model(spark, d):
+    rows = _modelled(spark, d)
+    test = rows.filter("split = 'test'")
+    name, model = models.choose_model(rows.filter("split = 'train'"), test, FEATURES)
+    return models.predict(model, test).select(*K, "date", F.lit(name).alias("modele"), "QUANTITE", "prediction")
+
+
+@query
+def m9_refit_from_params(spark, d):
+    rows = _modelled(spark, d)
+    model = models.refit_from_params(rows.filter("split = 'train'"), '{"features": ["PARAM_PRIX", "dow"], "params": {"maxIter": 3}}')
+    return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+
+
+@query
+def m15_lag_regression(spark, d):
+    rows = windows.split_with_purge(windows.regression_lags(dense(spark, d).select(*K, "date", "QUANTITE"), ["QUANTITE"])).na.drop()
+    model = models.fit_model(rows.filter("split = 'train'"), [f"QUANTITE_lag{k}" for k in range(1, 8)], "boosted", maxIter=5)
+    return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+
+
+@query
+def m16_rolling_backtest(spark, d):
+    s = windows.direct_samples(sales(spark, d), ["PARAM_PRIX"]).filter("horizon = 7")
+    f = ["y_origin_m0", "y_origin_m7", "roll_mean_28", "target_dow", "PARAM_PRIX"]
+    model = models.fit_model(s.filter("not _is_test"), f, "tweedie", label="y")
+    return models.predict(model, s.filter("_is_test")).select(*K, "_origin_date", "_target_date", "y", "prediction")
+
+
+@query
+def m19_forecast_by_version(spark, d):
+    rows = sales(spark, d)
+    versions = rows.filter("month(date) in (1, 7)").select(*K, F.trunc("date", "month").alias("date")).distinct()
+    return windows.forecast_by_version(rows, versions, "PARAM_PRIX").select(*K, "date", "version", F.round(F.coalesce("prediction", F.lit(0.0)), 4).alias("prediction"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

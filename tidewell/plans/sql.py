@@ -96,7 +96,7 @@ SQL = {
     "a30_normalized_share": _s("SELECT ID_PRODUIT, round(sum(QUANTITE) / sum(sum(QUANTITE)) OVER (), 6) AS part FROM sales GROUP BY 1"),
     "j1_rows_of_class": _d(f"SELECT profil_demande, count(*) AS n, sum(QUANTITE) AS q FROM sales JOIN rep USING ({_KEY}) WHERE profil_demande <> 'indetermine' GROUP BY 1", STATS),
     "j4_update_quantity": _s(f"SELECT {_KEY}, date, CASE WHEN day(date) = 1 THEN QUANTITE * 2 ELSE QUANTITE END AS QUANTITE FROM sales"),
-    "j6_version_intervals": _s(f", v AS (SELECT DISTINCT {_KEY}, CAST(date_trunc('month', date) AS DATE) AS f FROM sales WHERE month(date) IN (1, 7)), i AS (SELECT v.*, lead(f) OVER (PARTITION BY {_KEY} ORDER BY f) AS t FROM v) SELECT s.ID_PRODUIT, s.ID_SO, i.f AS valid_from, count(*) AS n, min(date) AS d0, max(date) AS d1 FROM sales s JOIN i ON s.ID_PRODUIT = i.ID_PRODUIT AND s.ID_SO = i.ID_SO AND s.date >= i.f AND (i.t IS NULL OR s.date < i.t) GROUP BY 1, 2, 3"),
+    "j6_version_intervals": _s(f", v AS (SELECT DISTINCT {_KEY}, CAST(date_trunc('month', date) AS DATE) AS f, m FROM (SELECT *, max(date) OVER ({P}) AS m FROM sales) WHERE month(date) IN (1, 7)), i AS (SELECT v.*, lead(f) OVER (PARTITION BY {_KEY} ORDER BY f) AS t FROM v) SELECT s.ID_PRODUIT, s.ID_SO, i.f AS valid_from, count(*) AS n, min(date) AS d0, max(date) AS d1 FROM sales s JOIN i ON s.ID_PRODUIT = i.ID_PRODUIT AND s.ID_SO = i.ID_SO AND s.date >= i.f AND s.date < coalesce(i.t, i.m) GROUP BY 1, 2, 3"),
     "j7_calendar_spine": _d(f"SELECT {_KEY}, date, QUANTITE FROM dense"),
     "j10_with_and_without_promo": _s(f"SELECT {_KEY}, CAST(year(date) AS INTEGER) AS y, CASE WHEN bool_or(PARAM_PROMO_1 > 0.075) THEN 'A' ELSE 'B' END AS estimateur FROM sales GROUP BY 1, 2, 3"),
     "w1_origin_lags": _d(f"SELECT {_KEY}, date, COLUMNS('y_origin.*') FROM o", _ORIGIN),
@@ -140,3 +140,36 @@ ppx AS (SELECT {_KEY}, greatest(-150.0, least(150.0, median(e))) AS v, (quantile
     "a24_elasticity_summary": _s(f", e AS (SELECT round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS v FROM sales GROUP BY {_KEY}) SELECT 'PARAM_PRIX' AS feature, count(*) AS n, round(median(v), 3) AS mediane, round(avg(v), 3) AS moyenne FROM e"),
     "a25_sign_audit": _s(f", e AS (SELECT round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS v FROM sales GROUP BY {_KEY}) SELECT 'PARAM_PRIX' AS feature, count(*) AS n, count(*) FILTER (WHERE v > 0) AS n_faux, CASE WHEN count(*) FILTER (WHERE v > 0) / count(*) < 0.1 THEN 'OK' WHEN count(*) FILTER (WHERE v > 0) / count(*) < 0.3 THEN 'ATTENTION' ELSE 'PROBLEME' END AS verdict FROM e"),
 }
+
+_DAY = "(1 + 0.02 * w)"
+_HELD = f"""WITH {SALES}{CURVE},
+x AS (SELECT *, CAST(isodow(date) - 1 AS DOUBLE) AS w FROM cv),
+b AS (SELECT {_KEY}, avg(PARAM_PRIX) AS m, quantile_cont(PARAM_PRIX, 0.1) AS lo, quantile_cont(PARAM_PRIX, 0.9) AS hi, count(*) FILTER (WHERE PARAM_PROMO_1 > 0) AS np, avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 > 0) AS qa,
+        coalesce(avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 = 0), 0.0) AS qs, stddev_samp(PARAM_PRIX) AS sp, stddev_samp(PARAM_PROMO_1) AS sr, stddev_samp(PARAM_VACANCE) AS sv, avg(PARAM_PROMO_1) AS mr, count(*) FILTER (WHERE PARAM_VACANCE = 0) AS nz FROM x GROUP BY 1, 2),
+t AS (SELECT {_KEY}, greatest(sum({_score()} * {_DAY}), 1) AS q, {", ".join(f"sum({_score(f'(lo + (hi - lo) * {i} / 4)')} * {_DAY}) AS p{i}" for i in range(1, 5))},
+        {", ".join(f"sum({_score(promo=f'{i / 10}')} * {_DAY}) AS r{i}" for i in range(6))}, sum({_score('(PARAM_PRIX * 1.01)')} * {_DAY}) AS up, sum({_score(promo='least(PARAM_PROMO_1 * 1.01, 1.0)')} * {_DAY}) AS ur,
+        sum({_score(free='0.0')} * {_DAY}) FILTER (WHERE PARAM_VACANCE = 0) AS z0, sum({_score(free='1.0')} * {_DAY}) FILTER (WHERE PARAM_VACANCE = 0) AS z1 FROM x JOIN b USING ({_KEY}) GROUP BY 1, 2),
+g AS (SELECT *, {", ".join(f"CASE WHEN abs((lo + (hi - lo) * {i} / 4 - m) / m) > 1e-6 THEN (p{i} - q) / q / ((lo + (hi - lo) * {i} / 4 - m) / m) END AS e{i}" for i in range(1, 5))}, (r3 - r0) / greatest(r0, 1) AS ru FROM t JOIN b USING ({_KEY}))"""
+_FLAG = "CASE WHEN sv < 1e-6 OR nz < 10 THEN 0.0 ELSE (z1 - z0) / greatest(z0, 1) END"
+_VALUE = lambda f, e: f"SELECT {_KEY}, '{f}' AS feature, round({e}, 4) + 0.0 AS value FROM g"
+
+SQL |= {
+    "e8_series_elasticity": f"""{_HELD},
+lv AS (SELECT {_KEY}, v, sum({_score()} * (1 + 0.02 * v)) AS q FROM x JOIN (SELECT DISTINCT {_KEY}, w AS v FROM x) USING ({_KEY}) GROUP BY 1, 2, 3)
+{_VALUE('PARAM_PRIX', 'CASE WHEN sp < 1e-6 OR (hi - lo) / greatest(lo, 1e-6) < 0.10 THEN 0.0 ELSE coalesce(least(list_median([e1, e2, e3, e4]), 0.0), 0.0) END').replace('list_median([', "list_aggregate([").replace('])', "], 'median')")}
+UNION ALL {_VALUE('PARAM_PROMO_1', 'CASE WHEN sr < 1e-6 OR np < 5 THEN 0.0 WHEN qs < 0.01 AND qa > 0 THEN 1.0 WHEN abs(qa - qs) / greatest(qs, 0.01) < 0.15 OR ru < 0.05 THEN 0.0 ELSE ru END')}
+UNION ALL {_VALUE('PARAM_VACANCE', _FLAG)}
+UNION ALL SELECT {_KEY}, 'PARAM_JOUR_SEMAIN' AS feature, round((quantile_cont(q, 0.75) - median(q)) / greatest(median(q), 1), 4) + 0.0 AS value FROM lv GROUP BY 1, 2""",
+    "e9_series_elasticity_1pct": f"""{_HELD} {_VALUE('PARAM_PRIX', 'CASE WHEN sp < 1e-6 THEN 0.0 ELSE least((up - q) / q / 0.01, 0.0) END')}
+UNION ALL {_VALUE('PARAM_PROMO_1', 'CASE WHEN sr < 1e-6 OR abs(mr) < 1e-6 THEN 0.0 ELSE greatest((ur - q) / q / 0.01, 0.0) END')} UNION ALL {_VALUE('PARAM_VACANCE', f'least(greatest({_FLAG}, -1.0), 10.0)')}""",
+    "e11_perturb_single": f"""WITH {SALES}{CURVE}, m AS (SELECT {_KEY}, avg(PARAM_PRIX) * 0.1 AS sp, avg(PARAM_PROMO_1) * 0.1 AS sr FROM sales GROUP BY 1, 2),
+y AS (SELECT {_KEY}, {_score()} AS y, {_score('(PARAM_PRIX + sp)')} AS pu, CASE WHEN PARAM_PRIX > sp THEN {_score('greatest(PARAM_PRIX - sp, 1e-300)')} ELSE 0.0 END AS pd, {_score(promo='(PARAM_PROMO_1 + sr)')} AS ru, {_score(promo='(PARAM_PROMO_1 - sr)')} AS rd, {_score(free='0.0')} AS z0, {_score(free='1.0')} AS z1 FROM cv JOIN m USING ({_KEY}))
+SELECT * FROM (SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(avg((pu - pd) / y / 0.1 / 2) FILTER (WHERE y > 1e-8), 2) + 0.0 AS value FROM y GROUP BY 1, 2
+UNION ALL SELECT {_KEY}, 'PARAM_PROMO_1', round(avg((ru - rd) / y / 0.1 / 2) FILTER (WHERE y > 1e-8), 2) + 0.0 FROM y GROUP BY 1, 2
+UNION ALL SELECT {_KEY}, 'PARAM_VACANCE', round(median((z1 - z0) / z0 * 100) FILTER (WHERE z0 > 0.5), 2) + 0.0 FROM y GROUP BY 1, 2) WHERE abs(value) > 1e-8""",
+    "w19_fill_next_day": _s(f"SELECT {_KEY}, ordre, CAST(last_value(d IGNORE NULLS) OVER u + CAST(ordre - last_value(o IGNORE NULLS) OVER u AS INTEGER) AS DATE) AS date FROM (SELECT *, CASE WHEN d IS NOT NULL THEN ordre END AS o FROM (SELECT {_KEY}, row_number() OVER ({W}) AS ordre, CASE WHEN day(date) % 3 > 0 THEN date END AS d FROM sales)) WINDOW u AS (PARTITION BY {_KEY} ORDER BY ordre ROWS UNBOUNDED PRECEDING)"),
+    "m19_forecast_by_version": _s(f", v AS (SELECT DISTINCT {_KEY}, CAST(date_trunc('month', date) AS DATE) AS d FROM sales WHERE month(date) IN (1, 7)), c AS (SELECT v.ID_PRODUIT, v.ID_SO, v.d, regr_intercept(QUANTITE, PARAM_PRIX) AS a, regr_slope(QUANTITE, PARAM_PRIX) AS b FROM v LEFT JOIN sales s ON s.ID_PRODUIT = v.ID_PRODUIT AND s.ID_SO = v.ID_SO AND s.date <= v.d GROUP BY 1, 2, 3) SELECT s.ID_PRODUIT, s.ID_SO, s.date, c.d AS version, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE greatest(a + b * PARAM_PRIX, 0.0) END, 4) AS prediction FROM (SELECT *, max(date) OVER ({P}) AS last FROM sales) s ASOF JOIN c ON s.ID_PRODUIT = c.ID_PRODUIT AND s.ID_SO = c.ID_SO AND s.date >= c.d WHERE s.date < last"),
+}
+SQL["e16_elasticity_export"] = _d(f"""SELECT r.ID_PRODUIT, r.ID_SO, round(avg(abs(n.p - n.QUANTITE)), 5) AS MAE, any_value(SHAP_PARAM_PRIX) AS SHAP_PARAM_PRIX, any_value(ELAST_PARAM_PRIX) AS ELAST_PARAM_PRIX, any_value(TYPE_PARAM_PRIX) AS TYPE_PARAM_PRIX, min(n.date) AS DATE_HIST_MIN, max(n.date) AS DATE_HIST_MAX, any_value(profil_demande) AS CLASSE_SB, 'curve' AS MODELE, 1 AS OK
+FROM rep r JOIN naive n USING ({_KEY}) LEFT JOIN (SELECT {_KEY}, share AS SHAP_PARAM_PRIX FROM ({SQL['e13_attribution_share']}) WHERE feature = 'PARAM_PRIX') USING ({_KEY})
+LEFT JOIN (SELECT {_KEY}, value AS ELAST_PARAM_PRIX, type AS TYPE_PARAM_PRIX FROM ({SQL['e7_elasticities']}) WHERE feature = 'PARAM_PRIX' AND value <> 0) USING ({_KEY}) GROUP BY 1, 2""", NAIVE + STATS)

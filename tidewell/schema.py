@@ -17,6 +17,7 @@ NEGATIVE_SIGN = ["PARAM_PRIX", "PARAM_LOG_PRIX", "PARAM_PRIX_ACHAT", "PARAM_MARK
 POSITIVE_SIGN = ["PARAM_PRIX_VENTE_PROMO", "PARAM_DISCOUNT_PCT", "PARAM_RATIO_PROMO", "PARAM_EST_PROMO"]
 PRICE_GRIDS = {"a": [0.88, 0.96, 1.04, 1.12, 1.20], "b": [0.8, 0.9, 1.0, 1.1, 1.2], "c": [0.94, 0.98, 1.02, 1.06, 1.10]}
 PROMO_LEVELS = [i / 20 for i in range(19)]
+ORDINAL, TOTALS_BINARY, TOTALS_SKIPPED = {"PARAM_MOIS", "PARAM_JOUR_SEMAIN"}, {"PARAM_VACANCE", "PARAM_STOCK"}, {"PARAM_ANNEE", "PARAM_JOUR"}
 BINARY, CALENDAR_UNIT = {"PARAM_VACANCE", "est_promo"}, {"PARAM_ANNEE"}
 EXCLUDED = {"ID_PRODUIT", "ID_SO", "ID_NOMENCLATURE", "sb_class", "PARAM_MOIS", "PARAM_JOUR", "PARAM_JOUR_SEMAIN", "horizon", "PRIX_ACHAT01", "date", "QUANTITE"}
 EXCLUDED_PREFIXES = ("y_origin", "roll_", "trend_", "momentum_", "target_", "sin_", "cos_", "dow_", "cv_", "days_since_")
