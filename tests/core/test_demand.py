@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import clean, demand, windows
+from tidewell.operators import clean, demand, totals, windows
 from tidewell.plans import registry
 from tidewell.schema import feature_role
 from tidewell.sources import text
@@ -102,11 +102,42 @@ def test_streaming_statistics_equal_batch(spark, tmp_path):
     assert (row["profil_demande"], row["nb_jours_obs"], row["nb_jours_demand"]) == ("intermittent", 30, 10)
 
 
+def test_fill_next_day(spark):
+    day = lambda n: dt.date(2024, 2, n)
+    rows = spark.createDataFrame([(1, 1, 1, None), (1, 1, 2, day(28)), (1, 1, 3, None), (1, 1, 4, None), (1, 1, 5, day(3)), (1, 1, 6, None)], "ID_PRODUIT long, ID_SO long, i int, date date")
+    assert [r["date"] for r in windows.fill_next_day(rows, "i").orderBy("i").collect()] == [None, day(28), day(29), dt.date(2024, 3, 1), day(3), day(4)]
+
+
+def test_versions_learn_only_from_their_past(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    rows = spark.createDataFrame([(1, 1, day(i), q, float(i)) for i, q in enumerate([2.0, 4.0, 6.0, 0.0, 9.0], 1)], "ID_PRODUIT long, ID_SO long, date date, QUANTITE double, x double")
+    versions = spark.createDataFrame([(1, 1, day(2)), (1, 1, day(4))], "ID_PRODUIT long, ID_SO long, date date")
+    got = {r["date"].day: (r["version"].day, round(r["prediction"], 6)) for r in windows.forecast_by_version(rows, versions, "x").collect()}
+    assert got == {2: (2, 4.0), 3: (2, 6.0), 4: (4, 2.4)}
+
+
+def test_totals_of_a_flag_need_ten_rows_off(spark):
+    rows = series(spark, [5] * 20).withColumn("PARAM_STOCK", (F.dayofmonth("date") > 12).cast("double"))
+    scorer = lambda x: 10 + 5 * x["PARAM_STOCK"]
+    value = lambda df: totals.series_elasticity(df, ["PARAM_STOCK"], scorer, ["PARAM_STOCK"]).first()["value"]
+    assert (value(rows), value(rows.filter("dayofmonth(date) > 4"))) == (0.5, 0.0)
+
+
+def test_single_perturbation_of_a_line(spark):
+    rows = series(spark, [5] * 4).withColumn("PARAM_PRIX", F.lit(2.0))
+    assert totals.perturb_single(rows, ["PARAM_PRIX"], lambda x: 10 - 2 * x["PARAM_PRIX"], ["PARAM_PRIX"]).first()["value"] == -0.67
+
+
+def test_jdbc_query(spark):
+    options = {"url": "jdbc:derby:memory:sales;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    assert text.read_sales_jdbc(spark, options, "select 7 as q from sysibm.sysdummy1").first()[0] == 7
+
+
 def test_roles():
     assert [feature_role(n) for n in ("PARAM_JS_1", "PARAM_PROMO_3", "PARAM_ANNEE", "roll_mean_7", "PARAM_PRIX")] == ["binary", "promo", "cal_unit", "excluded", "continuous"]
 
 
-@pytest.mark.parametrize("name", ["a4_sales_stats_report", "m3_direct_samples", "e7_elasticities", "w9_interpolate_linear"])
+@pytest.mark.parametrize("name", ["a4_sales_stats_report", "m3_direct_samples", "e7_elasticities", "e8_series_elasticity", "e16_elasticity_export", "m19_forecast_by_version", "w9_interpolate_linear"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "part", "supplier", "nation"):

@@ -44,9 +44,9 @@ def _cut(v: Column, most: float = CLIP) -> Column:
 
 
 def price_scenarios(df: DataFrame, grid: list[float], scorer: Scorer, names: list[str]) -> DataFrame:
-    """Predicted demand of each row at ``grid`` times its couple's last price; keys PRIX_i."""
+    """Predicted demand of each row at ``grid`` times its couple's last price; keys PRIX_1, PRIX_2, …."""
     last = df.groupBy(*K).agg(F.max_by("PARAM_PRIX", "date").alias("_last"))
-    levels = F.explode(F.array(*[F.struct(F.lit(f"PRIX_{i}").alias("scenario"), F.lit(g).alias("g")) for i, g in enumerate(grid)]))
+    levels = F.explode(F.array(*[F.struct(F.lit(f"PRIX_{i}").alias("scenario"), F.lit(g).alias("g")) for i, g in enumerate(grid, 1)]))
     rows = df.join(last, K).withColumn("_s", levels).withColumn("_price", F.col("_last") * F.col("_s.g"))
     y = scorer({n: F.col("_price") if n == "PARAM_PRIX" else F.col(n) for n in names})
     return rows.select(*K, "date", F.col("_s.scenario").alias("scenario"), F.greatest(y, F.lit(0.0)).alias("prediction"))

@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.metrics import forecast_metrics
+from tidewell.operators.metrics import forecast_metrics, forecast_metrics_by_series
 from tidewell.operators.windows import by_date, expanding_folds
 from tidewell.schema import K
 
@@ -132,3 +132,17 @@ def signed_importance(df: DataFrame, model: PipelineModel, features: list[str],
     means = df.agg(*[F.avg(f).alias(f"_{i}") for i, f in enumerate(features)], F.avg(label).alias("_y")).first()
     sign = {f: np.sign(line[i] * means[f"_{i}"] * means["_y"]) for i, f in enumerate(features)}
     return [(f, round(100 * v * float(sign[f]), 2)) for f, v in feature_importance(model, features)]
+
+
+def compare_with_global(train: DataFrame, test: DataFrame, couples: DataFrame, features: list[str]) -> DataFrame:
+    """Error of each picked couple's own line and of one model of all couples, on the same test rows."""
+    own = fit_per_series(train.join(couples, K, "left_semi"), ridge_fit(features), "ID_PRODUIT string, ID_SO int, feature string, weight double")
+    lines = own.groupBy(*K).pivot("feature", [*features, "intercept"]).agg(F.first("weight"))
+    lines = lines.select(*K, *[F.col(f).alias(f"_w_{f}") for f in (*features, "intercept")])
+    line = F.col("_w_intercept")
+    for f in features:
+        line = line + F.col(f"_w_{f}") * F.col(f)
+    rows = predict(fit_model(train, features), test.join(lines, K)).withColumn("_own", F.greatest(line, F.lit(0.0)))
+    error = lambda p, name: forecast_metrics_by_series(rows, "QUANTITE", p).select(*K, "N_OBS", F.col("MAE").alias(f"MAE_{name}"), F.col("RMSE").alias(f"RMSE_{name}"))
+    out = error("_own", "perprod").join(error("prediction", "global").drop("N_OBS"), K)
+    return out.withColumn("delta_MAE", F.col("MAE_perprod") - F.col("MAE_global"))

@@ -538,6 +538,15 @@ def m19_forecast_by_version(spark, d):
     return windows.forecast_by_version(rows, versions, "PARAM_PRIX").select(*K, "date", "version", F.round(F.coalesce("prediction", F.lit(0.0)), 4).alias("prediction"))
 
 
+@query
+def e17_compare_with_global(spark, d):
+    rows = _modelled(spark, d)
+    train = rows.filter("split = 'train'")
+    volumes = train.groupBy(*K).agg(F.lit("toutes").alias("classe"), F.sum("QUANTITE").alias("volume"))
+    compared = models.compare_with_global(train, rows.filter("split = 'test'"), demand.volume_stratified_pick(volumes, 7), NAMES)
+    return compared.join(elasticity.ols_elasticity(train, "PARAM_PRIX").withColumnRenamed("value", "ELAST_PRIX_ols"), K, "left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

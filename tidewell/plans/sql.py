@@ -122,7 +122,7 @@ SQL = {
     "t6_best_model": _d(f", e AS (SELECT {_KEY}, round(avg(abs(p - QUANTITE)), 6) AS a, round(avg(abs(q - QUANTITE)), 6) AS b FROM (SELECT *, lag(QUANTITE, 1) OVER ({W}) AS q FROM naive) WHERE p IS NOT NULL GROUP BY 1, 2) SELECT {_KEY}, CASE WHEN a <= b THEN 'saison' ELSE 'veille' END AS modele, least(a, b) AS mae FROM e", NAIVE),
     "u2_keys_in_both": _s(f"SELECT {_KEY}, CAST(dayofyear(date) AS INTEGER) AS j FROM sales WHERE PARAM_PROMO_1 > 0 INTERSECT SELECT {_KEY}, CAST(dayofyear(date) AS INTEGER) FROM sales WHERE PARAM_PROMO_1 = 0"),
     "u3_keys_minus": _s(f"SELECT {_KEY}, CAST(dayofyear(date) AS INTEGER) AS j FROM sales WHERE PARAM_PROMO_1 > 0 EXCEPT SELECT {_KEY}, CAST(dayofyear(date) AS INTEGER) FROM sales WHERE PARAM_PROMO_1 = 0"),
-    "e1_price_scenarios": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PRIX_' || i AS scenario, round(sum(greatest({_score('(l * g)')}, 0)), 4) AS total FROM (SELECT cv.*, l, unnest([0.88, 0.96, 1.04, 1.12, 1.20]) AS g, unnest([0, 1, 2, 3, 4]) AS i FROM cv JOIN (SELECT {_KEY}, max_by(PARAM_PRIX, date) AS l FROM sales GROUP BY 1, 2) USING ({_KEY})) GROUP BY 1, 2, 3",
+    "e1_price_scenarios": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PRIX_' || i AS scenario, round(sum(greatest({_score('(l * g)')}, 0)), 4) AS total FROM (SELECT cv.*, l, unnest([0.88, 0.96, 1.04, 1.12, 1.20]) AS g, unnest([1, 2, 3, 4, 5]) AS i FROM cv JOIN (SELECT {_KEY}, max_by(PARAM_PRIX, date) AS l FROM sales GROUP BY 1, 2) USING ({_KEY})) GROUP BY 1, 2, 3",
     "e2_promo_scenarios": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PARAM_PROMO_1_POURCENT_' || (5 * i) AS scenario, round(sum({_score(promo='(i / 20)')}), 4) AS total FROM (SELECT *, unnest(range(0, 19)) AS i FROM cv) GROUP BY 1, 2, 3",
     "e7_elasticities": f"""WITH {SALES}{CURVE},
 w AS (SELECT abs(avg(PARAM_PRIX)) * 0.1 AS step, (SELECT median(PARAM_PROMO_1) FROM sales WHERE PARAM_PROMO_1 > 0) AS lev FROM sales),
