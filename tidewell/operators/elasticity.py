@@ -131,6 +131,13 @@ def attribution_share(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return wide.select(*K, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("share")) for f in weights])).alias("_s")).select(*K, "_s.feature", "_s.share").filter("share > 0.01")
 
 
+def mean_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Mean signed attribution b (x - mean x) of each feature of a linear scorer."""
+    means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in weights])
+    wide = df.crossJoin(F.broadcast(means)).groupBy(*K).agg(*[F.avg(b * (F.col(f) - F.col(f"_m_{f}"))).alias(f) for f, b in weights.items()])
+    return wide.select(*K, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("attribution")) for f in weights])).alias("_s")).select(*K, "_s.feature", "_s.attribution")
+
+
 def elasticity_export(long: DataFrame, features: list[str], metrics: DataFrame, shares: DataFrame, dates: DataFrame, classes: DataFrame, model: str) -> DataFrame:
     """One row for each couple: metrics, attribution shares, elasticities with type and cv, dates, class.
 

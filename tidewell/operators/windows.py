@@ -65,6 +65,11 @@ def split_fraction(df: DataFrame, share: float = 0.3, most: int = 365) -> DataFr
     return df.withColumn("is_test", back <= F.least(F.lit(most), F.floor(n * share)))
 
 
+def split_at_fraction(df: DataFrame, share: float = 0.75) -> DataFrame:
+    """The first ``share`` of a series' rows train, the rest test."""
+    return df.withColumn("is_test", F.row_number().over(by_date()) > F.floor(F.count("*").over(whole()) * share))
+
+
 def expanding_folds(df: DataFrame, k: int) -> DataFrame:
     """k time-ordered folds: all rows before a block train, the block tests."""
     rn, n = F.row_number().over(by_date()) - 1, F.count("*").over(whole())

@@ -547,6 +547,21 @@ def e17_compare_with_global(spark, d):
     return compared.join(elasticity.ols_elasticity(train, "PARAM_PRIX").withColumnRenamed("value", "ELAST_PRIX_ols"), K, "left")
 
 
+@query
+def e14_mean_attribution(spark, d):
+    return elasticity.mean_attribution(sales(spark, d), {"PARAM_PRIX": -0.01, "PARAM_PROMO_1": 40.0}).select(*K, "feature", *r(6, "attribution"))
+
+
+@query
+def e18_product_profile(spark, d):
+    return elasticity.ols_elasticity(sales(spark, d), "PARAM_PRIX").join(demand.demand_segment(dense(spark, d)).select(*K, "profil"), K)
+
+
+@query
+def w14_split_at_fraction(spark, d):
+    return windows.split_at_fraction(sales(spark, d)).groupBy(*K, "is_test").agg(F.count("*").alias("n"), F.min("date").alias("d0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -173,3 +173,8 @@ UNION ALL SELECT {_KEY}, 'PARAM_VACANCE', round(median((z1 - z0) / z0 * 100) FIL
 SQL["e16_elasticity_export"] = _d(f"""SELECT r.ID_PRODUIT, r.ID_SO, round(avg(abs(n.p - n.QUANTITE)), 5) AS MAE, any_value(SHAP_PARAM_PRIX) AS SHAP_PARAM_PRIX, any_value(ELAST_PARAM_PRIX) AS ELAST_PARAM_PRIX, any_value(TYPE_PARAM_PRIX) AS TYPE_PARAM_PRIX, min(n.date) AS DATE_HIST_MIN, max(n.date) AS DATE_HIST_MAX, any_value(profil_demande) AS CLASSE_SB, 'curve' AS MODELE, 1 AS OK
 FROM rep r JOIN naive n USING ({_KEY}) LEFT JOIN (SELECT {_KEY}, share AS SHAP_PARAM_PRIX FROM ({SQL['e13_attribution_share']}) WHERE feature = 'PARAM_PRIX') USING ({_KEY})
 LEFT JOIN (SELECT {_KEY}, value AS ELAST_PARAM_PRIX, type AS TYPE_PARAM_PRIX FROM ({SQL['e7_elasticities']}) WHERE feature = 'PARAM_PRIX' AND value <> 0) USING ({_KEY}) GROUP BY 1, 2""", NAIVE + STATS)
+SQL |= {
+    "e14_mean_attribution": _s(f", m AS (SELECT avg(PARAM_PRIX) AS a, avg(PARAM_PROMO_1) AS b FROM sales) SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(avg(-0.01 * (PARAM_PRIX - a)), 6) + 0.0 AS attribution FROM sales, m GROUP BY 1, 2 UNION ALL SELECT {_KEY}, 'PARAM_PROMO_1', round(avg(40.0 * (PARAM_PROMO_1 - b)), 6) + 0.0 FROM sales, m GROUP BY 1, 2"),
+    "w14_split_at_fraction": _s(f"SELECT {_KEY}, k > floor(n * 0.75) AS is_test, count(*) AS n, min(date) AS d0 FROM (SELECT *, row_number() OVER ({W}) AS k, count(*) OVER ({P}) AS n FROM sales) GROUP BY 1, 2, 3"),
+    "e18_product_profile": _d(f"SELECT o.ID_PRODUIT, o.ID_SO, value, profil FROM ({{ols}}) o JOIN ({{seg}}) s USING ({_KEY})").replace("{ols}", "SELECT ID_PRODUIT, ID_SO, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS value FROM sales GROUP BY 1, 2").replace("{seg}", SQL["a8_demand_segment"]),
+}
