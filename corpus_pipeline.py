@@ -37,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are deleted; a document left without text goes."""
+    """Later copies of repeated line runs and of long lines are deleted; a document left without text goes."""
     names = docs.columns
     cut = drop_repeated_lines(docs).filter("n_removed = 0 or length(trim(text)) > 0")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cut.select(*names)

@@ -164,6 +164,17 @@ def test_line_dedup(spark, heavy, monkeypatch):
     assert out[1]["n_removed"] == 2 and out[1]["n_runs"] == 1 and out[1]["taken"] == 5
 
 
+@pytest.mark.parametrize("heavy", [1, 1000])
+def test_line_dedup_of_a_long_line(spark, heavy, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", heavy)
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", long, f"e\n{short}\nf", f"g\n{short}\nh", f"i\n{long}\n\n{long}"]
+    out = {r["doc_id"]: r for r in lines.drop_repeated_lines(docs(spark, texts)).collect()}
+    assert [out[i]["text"] for i in range(6)] == [texts[0], "c\nd", "", texts[3], texts[4], "i\n"]
+    assert [(out[i]["n_removed"], out[i]["n_runs"]) for i in (0, 1, 2, 5)] == [(0, 0), (1, 1), (1, 1), (2, 1)]
+    assert lines.drop_repeated_lines(docs(spark, texts), min_words=None).filter("n_removed > 0").count() == 0
+
+
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_substrings_against_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(substrings, "MERGE_ROWS", 200)
