@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import clean, demand, totals, windows
+from tidewell.operators import clean, demand, models, totals, windows
 from tidewell.plans import registry
 from tidewell.schema import feature_role
 from tidewell.sources import text
@@ -128,6 +128,22 @@ def test_single_perturbation_of_a_line(spark):
     assert totals.perturb_single(rows, ["PARAM_PRIX"], lambda x: 10 - 2 * x["PARAM_PRIX"], ["PARAM_PRIX"]).first()["value"] == -0.67
 
 
+@pytest.mark.parametrize("bucket", [100_000, 50])
+def test_nearly_all_rows_change_partner(spark, bucket):
+    rows = spark.range(300).selectExpr("id % 30 as ID_PRODUIT", "1 as ID_SO", "date_add(date '2024-01-01', cast(id / 30 as int)) as date", "cast(id as double) as x", "if(id % 7 = 0, null, id) as y")
+    got = [(r["ID_PRODUIT"], r["x"], r["y"], r["_other"]) for r in models.with_partner(rows, ["ID_PRODUIT", "x", "y"], bucket=bucket).collect()]
+    assert sorted(r[1] for r in got) == sorted(r[3]["x"] for r in got) == list(range(300))
+    assert all(x != o["x"] and o["y"] == (None if o["x"] % 7 == 0 else o["x"]) for _, x, _, o in got)
+    assert sum(p != o["ID_PRODUIT"] for p, _, _, o in got) > 270
+
+
+def test_permuted_importance_of_short_series(spark):
+    rows = spark.range(300).selectExpr("id % 30 as ID_PRODUIT", "1 as ID_SO", "date_add(date '2024-01-01', cast(id / 30 as int)) as date", "cast(id % 30 as double) as x", "cast(id % 4 as double) as z")
+    rows = rows.withColumn("QUANTITE", 10 * F.col("x"))
+    rises = dict(models.permutation_importance(rows, models.fit_model(rows, ["x", "z"], "boosted"), ["x", "z"]))
+    assert rises["x"] > 80 and abs(rises["z"]) < 1
+
+
 def test_jdbc_query(spark):
     options = {"url": "jdbc:derby:memory:sales;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     assert text.read_sales_jdbc(spark, options, "select 7 as q from sysibm.sysdummy1").first()[0] == 7

@@ -12,13 +12,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.metrics import forecast_metrics, forecast_metrics_by_series
 from tidewell.operators.windows import by_date, expanding_folds
 from tidewell.schema import K
 
+#: About so many rows are shuffled among themselves.
+SHUFFLE_ROWS = 100_000
+
 
 def assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
@@ -85,11 +88,26 @@ def feature_importance(model: PipelineModel, features: list[str]) -> list[tuple[
     return sorted(zip(features, (values / total).tolist()), key=lambda x: -x[1])
 
 
+def with_partner(df: DataFrame, cols: list[str], seed: int = 42, bucket: int = SHUFFLE_ROWS) -> DataFrame:
+    """Every row with _other, ``cols`` of another row: the rows of a hash bucket over all couples, in hashed order, form a ring.
+
+    Buckets hold about ``bucket`` rows, so no task gets all; only a bucket of one row keeps its own values.
+    """
+    key = F.xxhash64(F.lit(seed), *sorted(df.columns))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), key), F.lit(max(df.count() // bucket, 1))))
+    ring = Window.partitionBy("_bucket").orderBy(key, *sorted(df.drop("_bucket").columns))
+    other = F.struct(*cols)
+    return df.withColumn("_other", F.coalesce(F.lead(other).over(ring), F.first(other).over(ring))).drop("_bucket")
+
+
 def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], label: str = "QUANTITE") -> list[tuple[str, float]]:
-    """Rise of the mean error when a column takes the value of another row of its couple."""
+    """Rise of the mean error when a column takes the value of another row, of any couple."""
     measure = RegressionEvaluator(labelCol=label, metricName="mae")
-    base = measure.evaluate(predict(model, df))
-    return [(f, measure.evaluate(predict(model, df.withColumn(f, F.coalesce(F.lag(f, 17).over(by_date()), F.col(f))))) - base) for f in features]
+    rows = with_partner(df.select(*K, "date", label, *features), features).persist()
+    base = measure.evaluate(predict(model, rows))
+    rises = [(f, measure.evaluate(predict(model, rows.withColumn(f, F.col(f"_other.{f}")))) - base) for f in features]
+    rows.unpersist()
+    return rises
 
 
 def fit_per_series(df: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
