@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import clean, demand, models, totals, windows
 from tidewell.plans import registry
-from tidewell.schema import feature_role
+from tidewell.schema import CLASSES, feature_role
 from tidewell.sources import text
 from tidewell.streaming import stats
 
@@ -144,6 +144,25 @@ def test_permuted_importance_of_short_series(spark):
     assert rises["x"] > 80 and abs(rises["z"]) < 1
 
 
+def test_each_class_gets_its_own_model(spark):
+    name = F.when(F.col("p") == 0, "smooth").when(F.col("p") == 1, "lumpy").otherwise("erratic")
+    rows = spark.range(1000).selectExpr("id", "if(id < 450, 0, if(id < 900, 1, 2)) as p", "cast(id % 10 as double) as x").withColumn("sb_class", name)
+    rows = rows.withColumn("QUANTITE", F.exp(F.when(F.col("p") == 0, F.col("x") / 10).otherwise(2 - F.col("x") / 10))).filter("id < 950")
+    fitted = models.fit_by_class(rows, ["x"], ["smooth", "lumpy", "erratic"])
+    out = models.predict_by_class(fitted, rows)
+    assert sorted(fitted) == ["lumpy", "smooth"] and out.count() == 900
+    assert out.filter("abs(prediction - QUANTITE) > 0.2").count() == 0
+    assert models.predict_by_class({}, rows).count() == 0
+
+
+def test_class_model_query(spark, monkeypatch):
+    seen = []
+    fit = models.fit_by_class
+    monkeypatch.setattr(models, "fit_by_class", lambda df, *rest: seen.extend(r[0] for r in df.select("sb_class").distinct().collect()) or fit(df, *rest))
+    out = registry.queries()["m2_fit_class_model"](spark, DATA)
+    assert seen and set(seen) <= set(CLASSES) and out.columns == ["ID_PRODUIT", "ID_SO", "date", "QUANTITE", "prediction"] and out.count() > 0
+
+
 def test_jdbc_query(spark):
     options = {"url": "jdbc:derby:memory:sales;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     assert text.read_sales_jdbc(spark, options, "select 7 as q from sysibm.sysdummy1").first()[0] == 7

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,13 @@ def fit_by_class(df: DataFrame, features: list[str], classes: list[str], kind: s
     return {c: fit_model(df.filter(F.col("sb_class") == c), features, kind) for c in classes if counts.get(c, 0) >= least}
 
 
+def predict_by_class(fitted: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """Rows of each class predicted by its own model; classes without a model give no rows."""
+    none = df.filter("false").withColumn("prediction", F.lit(0.0))
+    parts = [predict(m, df.filter(F.col("sb_class") == c)).select(none.columns) for c, m in fitted.items()]
+    return reduce(DataFrame.unionByName, parts, none)
+
+
 def search_params(train: DataFrame, holdout: DataFrame, features: list[str], space: dict[str, list], n: int = 5, seed: int = 42, kind: str = "boosted", label: str = "QUANTITE") -> tuple[dict, float]:
     """Seeded random search: the parameters of the least error on the holdout."""
     r, best = random.Random(seed), ({}, float("inf"))

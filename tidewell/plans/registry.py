@@ -405,8 +405,12 @@ FEATURES = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE", "mois", "dow"]
 
 @query
 def m2_fit_class_model(spark, d):
-    rows = _modelled(spark, d)
-    return models.predict(models.fit_model(rows.filter("split = 'train'"), FEATURES, "tweedie"), rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+    classes = demand.sales_stats_report(dense(spark, d)).select(*K, F.col("profil_demande").alias("sb_class"))
+    rows = _modelled(spark, d).join(classes, K)
+    train = rows.filter("split = 'train'").persist()
+    fitted = models.fit_by_class(train, FEATURES, CLASSES)
+    train.unpersist()
+    return models.predict_by_class(fitted, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
 
 
 @query
