@@ -163,6 +163,29 @@ def test_class_model_query(spark, monkeypatch):
     assert seen and set(seen) <= set(CLASSES) and out.columns == ["ID_PRODUIT", "ID_SO", "date", "QUANTITE", "prediction"] and out.count() > 0
 
 
+def test_search_draws_without_repeats_and_over_the_space():
+    assert sorted(p["a"] for p in models.draw_params({"a": [1, 2, 3]}, 15)) == [1, 2, 3]
+    for space in models.SPACE.values():
+        drawn = models.draw_params(space)
+        assert len({tuple(p.items()) for p in drawn}) == len(drawn) == 15 and drawn == models.draw_params(space)
+        assert all(len({p[k] for p in drawn}) > 1 for k in space)
+    assert set().union(*models.SPACE.values()) == {"variancePower", "regParam", "maxDepth", "minInstancesPerNode", "stepSize", "subsamplingRate"}
+
+
+def test_search_takes_the_least_error(spark):
+    rows = spark.range(200).selectExpr("cast(id % 20 as double) as x", "cast(id % 20 as double) as QUANTITE")
+    found, error = models.search_params(rows, rows, ["x"], {"maxDepth": [1, 3, 5], "maxIter": [1, 2]}, seed=1)
+    assert found["maxDepth"] == 5 and error < 0.1
+
+
+def test_queries_do_not_cut_boosting(spark, monkeypatch):
+    seen, whole = [], models.regressor
+    monkeypatch.setattr(models, "regressor", lambda *a, **p: seen.append(whole(*a, **p)) or seen[-1])
+    for name in ("m4_fit_direct_model", "m9_refit_from_params", "e15_permutation_importance", "a31_signed_importance"):
+        registry.queries()[name](spark, DATA)
+    assert len(seen) == 4 and all(m.getMaxIter() >= 10 for m in seen)
+
+
 def test_jdbc_query(spark):
     options = {"url": "jdbc:derby:memory:sales;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     assert text.read_sales_jdbc(spark, options, "select 7 as q from sysibm.sysdummy1").first()[0] == 7

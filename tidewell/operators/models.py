@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +26,13 @@ from tidewell.schema import K
 
 #: About so many rows are shuffled among themselves.
 SHUFFLE_ROWS = 100_000
+#: Candidates of a search that are fitted at the same time.
+FITS_AT_ONCE = 4
+#: What a search draws from, for each learner.
+SPACE = {
+    "tweedie": {"variancePower": [round(1.05 + 0.05 * i, 2) for i in range(19)], "regParam": [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]},
+    "boosted": {"maxDepth": [3, 4, 5, 6, 7], "minInstancesPerNode": [50, 100, 200, 350, 500], "stepSize": [0.01, 0.02, 0.03, 0.05, 0.1], "subsamplingRate": [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]},
+}
 
 
 def assemble(features: list[str]) -> VectorAssembler:
@@ -58,16 +69,38 @@ def predict_by_class(fitted: dict[str, PipelineModel], df: DataFrame) -> DataFra
     return reduce(DataFrame.unionByName, parts, none)
 
 
-def search_params(train: DataFrame, holdout: DataFrame, features: list[str], space: dict[str, list], n: int = 5, seed: int = 42, kind: str = "boosted", label: str = "QUANTITE") -> tuple[dict, float]:
-    """Seeded random search: the parameters of the least error on the holdout."""
-    r, best = random.Random(seed), ({}, float("inf"))
+def draw_params(space: dict[str, list], n: int = 15, seed: int = 42) -> list[dict]:
+    """n different points of the space, or all of a smaller one, in seeded random order."""
+    points = [dict(zip(sorted(space), p)) for p in itertools.product(*[space[k] for k in sorted(space)])]
+    return random.Random(seed).sample(points, min(n, len(points)))
+
+
+def search_params(train: DataFrame, holdout: DataFrame, features: list[str], space: dict[str, list], n: int = 15, seed: int = 42, kind: str = "boosted", label: str = "QUANTITE") -> tuple[dict, float]:
+    """Seeded random search: the parameters of the least error on the holdout, the first drawn of equal ones.
+
+    A candidate whose fit diverges counts with an infinite error.
+    """
     measure = RegressionEvaluator(labelCol=label, metricName="mae")
-    for _ in range(n):
-        params = {k: r.choice(v) for k, v in sorted(space.items())}
-        error = measure.evaluate(predict(fit_model(train, features, kind, label, **params), holdout))
-        if error < best[1]:
-            best = (params, error)
-    return best
+    train, holdout = (x.select(label, *features).persist() for x in (train, holdout))
+
+    def error(params: dict) -> float:
+        try:
+            found = measure.evaluate(predict(fit_model(train, features, kind, label, **params), holdout))
+        except Py4JJavaError as e:
+            if "Sum of weights cannot be zero" not in str(e.java_exception.toString()):  # the Tweedie iterations diverged
+                raise
+            return float("inf")
+        return found if found == found else float("inf")
+
+    drawn = draw_params(space, n, seed)
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        errors = pool.map(inheritable_thread_target(train.sparkSession)(error), drawn)
+    for x in (train, holdout):
+        x.unpersist()
+    best = min(range(len(drawn)), key=lambda i: errors[i])
+    if errors[best] == float("inf"):
+        raise ValueError("no candidate has a finite error")
+    return drawn[best], errors[best]
 
 
 def grid_search_time_cv(df: DataFrame, features: list[str], grid: list[dict], k: int = 3, kind: str = "boosted") -> dict:

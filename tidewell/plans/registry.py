@@ -417,7 +417,7 @@ def m2_fit_class_model(spark, d):
 def m4_fit_direct_model(spark, d):
     s = windows.direct_samples(sales(spark, d), ["PARAM_PRIX", "PARAM_PROMO_1"])
     f = ["horizon", "y_origin_m0", "y_origin_m7", "roll_mean_28", "trend_28", "target_dow", "PARAM_PRIX", "PARAM_PROMO_1"]
-    model = models.fit_model(s.filter("not _is_test"), f, "boosted", label="y", maxIter=5)
+    model = models.fit_model(s.filter("not _is_test"), f, "boosted", label="y")
     return metrics.forecast_metrics(models.predict(model, s.filter("_is_test")), "y", "prediction", ["horizon"])
 
 
@@ -464,7 +464,7 @@ def e11_perturb_single(spark, d):
 @query
 def e15_permutation_importance(spark, d):
     rows = _modelled(spark, d)
-    model = models.fit_model(rows.filter("split = 'train'"), FEATURES, "boosted", maxIter=5)
+    model = models.fit_model(rows.filter("split = 'train'"), FEATURES, "boosted")
     return spark.createDataFrame(models.permutation_importance(rows.filter("split = 'test'"), model, FEATURES), "feature string, rise double")
 
 
@@ -482,7 +482,7 @@ def e16_elasticity_export(spark, d):
 @query
 def a31_signed_importance(spark, d):
     rows = _modelled(spark, d)
-    model = models.fit_model(rows, FEATURES, "boosted", maxIter=5)
+    model = models.fit_model(rows, FEATURES, "boosted")
     return spark.createDataFrame(models.signed_importance(rows, model, FEATURES), "feature string, importance double")
 
 
@@ -495,8 +495,9 @@ def w19_fill_next_day(spark, d):
 @query
 def m5_search_params(spark, d):
     rows = _modelled(spark, d)
-    found, error = models.search_params(rows.filter("split = 'train'"), rows.filter("split = 'test'"), FEATURES, {"maxDepth": [2, 4], "maxIter": [3, 5]}, n=2)
-    return spark.createDataFrame([(k, float(v), float(error)) for k, v in found.items()], "param string, value double, mae double")
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    found = {kind: models.search_params(train, test, FEATURES, space, kind=kind) for kind, space in models.SPACE.items()}
+    return spark.createDataFrame([(kind, k, float(v), float(error)) for kind, (best, error) in found.items() for k, v in best.items()], "modele string, param string, value double, mae double")
 
 
 @query
@@ -516,14 +517,14 @@ def m7_choose_model(spark, d):
 @query
 def m9_refit_from_params(spark, d):
     rows = _modelled(spark, d)
-    model = models.refit_from_params(rows.filter("split = 'train'"), '{"features": ["PARAM_PRIX", "dow"], "params": {"maxIter": 3}}')
+    model = models.refit_from_params(rows.filter("split = 'train'"), '{"features": ["PARAM_PRIX", "dow"], "params": {"maxIter": 10}}')
     return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
 
 
 @query
 def m15_lag_regression(spark, d):
     rows = windows.split_with_purge(windows.regression_lags(dense(spark, d).select(*K, "date", "QUANTITE"), ["QUANTITE"])).na.drop()
-    model = models.fit_model(rows.filter("split = 'train'"), [f"QUANTITE_lag{k}" for k in range(1, 8)], "boosted", maxIter=5)
+    model = models.fit_model(rows.filter("split = 'train'"), [f"QUANTITE_lag{k}" for k in range(1, 8)], "boosted")
     return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
 
 
