@@ -186,6 +186,21 @@ def test_queries_do_not_cut_boosting(spark, monkeypatch):
     assert len(seen) == 4 and all(m.getMaxIter() >= 10 for m in seen)
 
 
+@pytest.mark.parametrize(("horizon", "stride", "origins"), [(1, 1, range(61, 100)), (10, 15, (61, 76))])
+def test_backtest_origins_and_targets(spark, horizon, stride, origins):
+    rows = series(spark, range(1, 101)).withColumn("x", F.col("QUANTITE"))
+    model = models.fit_model(windows.direct_samples(rows, ["x"]), ["x"], "boosted", label="y")
+    out = models.rolling_backtest(model, rows, horizon, stride, ["x"]).select(F.datediff("_origin_date", F.lit(DAY)) + 1, F.datediff("_target_date", F.lit(DAY)) + 1, "y").collect()
+    assert sorted(map(tuple, out)) == [(o, o + horizon, o + horizon) for o in origins if o + horizon <= 100 and o + horizon != 70]  # the purged day
+
+
+def test_lag_regression_has_covariate_lags_and_is_tuned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "search_params", lambda train, holdout, features, space: seen.append((features, space)) or ({"maxIter": 1, "maxDepth": 1}, 0.0))
+    assert registry.queries()["m15_lag_regression"](spark, DATA).count() > 0
+    assert len(seen[0][0]) == 28 and seen[0][1] == models.SPACE["boosted"]
+
+
 def test_jdbc_query(spark):
     options = {"url": "jdbc:derby:memory:sales;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     assert text.read_sales_jdbc(spark, options, "select 7 as q from sysibm.sysdummy1").first()[0] == 7

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.metrics import forecast_metrics, forecast_metrics_by_series
-from tidewell.operators.windows import by_date, expanding_folds
+from tidewell.operators.windows import by_date, direct_samples, expanding_folds
 from tidewell.schema import K
 
 #: About so many rows are shuffled among themselves.
@@ -105,14 +105,23 @@ def search_params(train: DataFrame, holdout: DataFrame, features: list[str], spa
 
 def grid_search_time_cv(df: DataFrame, features: list[str], grid: list[dict], k: int = 3, kind: str = "boosted") -> dict:
     """The parameters of the least mean error over expanding folds."""
-    folds = expanding_folds(df, k)
+    folds = expanding_folds(df, k).select("fold", "role", "QUANTITE", *features).persist()
     measure = RegressionEvaluator(labelCol="QUANTITE", metricName="mae")
 
-    def error(params: dict) -> float:
-        parts = [folds.filter(F.col("fold") == i) for i in range(1, k + 1)]
-        return sum(measure.evaluate(predict(fit_model(p.filter("role = 'train'"), features, kind, **params), p.filter("role = 'test'"))) for p in parts) / k
+    def error(at: tuple[int, int]) -> float:
+        part = folds.filter(F.col("fold") == at[1])
+        return measure.evaluate(predict(fit_model(part.filter("role = 'train'"), features, kind, **grid[at[0]]), part.filter("role = 'test'")))
+
+    each = [(i, fold) for i in range(len(grid)) for fold in range(1, k + 1)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        errors = dict(zip(each, pool.map(inheritable_thread_target(df.sparkSession)(error), each)))
+    folds.unpersist()
+    return grid[min(range(len(grid)), key=lambda i: sum(errors[i, fold] for fold in range(1, k + 1)))]
+
 
-    return min(grid, key=error)
+def rolling_backtest(model: PipelineModel, df: DataFrame, horizon: int, stride: int, covariates: list[str]) -> DataFrame:
+    """Forecasts, by a direct model that is not fitted again, of the ``horizon``-th row after every ``stride``-th origin."""
+    return predict(model, direct_samples(df, covariates, [horizon], stride))
 
 
 def choose_model(train: DataFrame, test: DataFrame, features: list[str], kinds: tuple[str, ...] = ("tweedie", "boosted")) -> tuple[str, PipelineModel]:

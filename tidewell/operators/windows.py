@@ -32,21 +32,21 @@ def origin_features(df: DataFrame) -> DataFrame:
     return df.withColumn("cv_28", F.col("roll_std_28") / (F.col("roll_mean_28") + 1e-6)).drop("_rn")
 
 
-def is_origin(rn: Column, n: Column) -> Column:
-    return (rn >= MIN_ROWS) & ((rn - MIN_ROWS) % STRIDE == 0) & (rn <= n - 1)
+def is_origin(rn: Column, n: Column, stride: int = STRIDE) -> Column:
+    return (rn >= MIN_ROWS) & ((rn - MIN_ROWS) % stride == 0) & (rn <= n - 1)
 
 
-def direct_samples(df: DataFrame, covariates: list[str]) -> DataFrame:
+def direct_samples(df: DataFrame, covariates: list[str], horizons: list[int] = HORIZONS, stride: int = STRIDE) -> DataFrame:
     """(origin, horizon, target) rows: features at the origin, covariates and y at the target.
 
     Horizons count rows.  Test targets lie in the last 30 days of the series, training
     targets at least one day before them; targets on the day between are dropped.
     """
     target = F.struct("date", F.col("QUANTITE").alias("y"), *covariates)
-    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(target, h).over(by_date()).alias("t")) for h in HORIZONS])
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(target, h).over(by_date()).alias("t")) for h in horizons])
     df = origin_features(df).withColumns({"_rn": F.row_number().over(by_date()), "_n": F.count("*").over(whole()), "_end": F.max("date").over(whole()), "_ahead": ahead})
     features = [c for c in df.columns if c.startswith(("y_origin", "roll_", "trend_", "days_", "cv_"))]
-    rows = df.filter(is_origin(F.col("_rn"), F.col("_n"))).select(*K, F.col("date").alias("_origin_date"), "_end", *features, F.explode("_ahead").alias("_a")).filter("_a.t is not null")
+    rows = df.filter(is_origin(F.col("_rn"), F.col("_n"), stride)).select(*K, F.col("date").alias("_origin_date"), "_end", *features, F.explode("_ahead").alias("_a")).filter("_a.t is not null")
     day = F.col("_a.t.date")
     cut = F.date_sub("_end", TEST_DAYS)
     rows = rows.withColumn("_is_test", F.when(day > cut, True).when(day <= F.date_sub(cut, 1), False)).filter("_is_test is not null")

@@ -426,10 +426,15 @@ def m8_fit_per_series(spark, d):
     return models.fit_per_series(sales(spark, d), models.ridge_fit(NAMES), "ID_PRODUIT string, ID_SO int, feature string, weight double")
 
 
+FOREST_GRID = [{"numTrees": n, "maxDepth": depth, "minInstancesPerNode": leaf} for n in (20, 50) for depth in (6, 10) for leaf in (1, 4)]
+
+
 @query
 def m12_random_forest(spark, d):
     rows = _modelled(spark, d)
-    return models.predict(models.fit_model(rows.filter("split = 'train'"), FEATURES, "forest"), rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+    train = rows.filter("split = 'train'")
+    best = models.grid_search_time_cv(train, FEATURES, FOREST_GRID, k=5, kind="forest")
+    return models.predict(models.fit_model(train, FEATURES, "forest", **best), rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
 
 
 @query
@@ -523,17 +528,28 @@ def m9_refit_from_params(spark, d):
 
 @query
 def m15_lag_regression(spark, d):
-    rows = windows.split_with_purge(windows.regression_lags(dense(spark, d).select(*K, "date", "QUANTITE"), ["QUANTITE"])).na.drop()
-    model = models.fit_model(rows.filter("split = 'train'"), [f"QUANTITE_lag{k}" for k in range(1, 8)], "boosted")
-    return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+    """Days without sale have the last price, no promotion and their own weekday."""
+    known = {"PARAM_PRIX": F.last("PARAM_PRIX", ignorenulls=True).over(windows.by_date()), "PARAM_PROMO_1": F.coalesce("PARAM_PROMO_1", F.lit(0.0)), "PARAM_VACANCE": (F.weekday("date") >= 5).cast("double")}
+    cols = ["QUANTITE", *NAMES]
+    rows = windows.split_with_purge(windows.regression_lags(dense(spark, d).withColumns(known).select(*K, "date", *cols), cols)).na.drop()
+    lags = [f"{c}_lag{k}" for c in cols for k in range(1, 8)]
+    train = rows.filter("split = 'train'")
+    inner = windows.split_with_purge(train)
+    best, _ = models.search_params(inner.filter("split = 'train'"), inner.filter("split = 'test'"), lags, models.SPACE["boosted"])
+    return models.predict(models.fit_model(train, lags, "boosted", **best), rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
 
 
 @query
 def m16_rolling_backtest(spark, d):
-    s = windows.direct_samples(sales(spark, d), ["PARAM_PRIX"]).filter("horizon = 7")
-    f = ["y_origin_m0", "y_origin_m7", "roll_mean_28", "target_dow", "PARAM_PRIX"]
-    model = models.fit_model(s.filter("not _is_test"), f, "tweedie", label="y")
-    return models.predict(model, s.filter("_is_test")).select(*K, "_origin_date", "_target_date", "y", "prediction")
+    rows, covariates = sales(spark, d), ["PARAM_PRIX", "PARAM_PROMO_1"]
+    f = ["horizon", "y_origin_m0", "y_origin_m7", "roll_mean_28", "trend_28", "target_dow", *covariates]
+    model = models.fit_model(windows.direct_samples(rows, covariates).filter("not _is_test"), f, "boosted", label="y")
+
+    def measured(horizon: int, stride: int) -> DataFrame:
+        out = metrics.forecast_metrics(models.rolling_backtest(model, rows, horizon, stride, covariates), "y", "prediction", ["_is_test"])
+        return out.select(F.lit(horizon).alias("horizon"), F.lit(stride).alias("stride"), F.col("_is_test").alias("est_test"), "n", "mae", "rmse", "mean_y", "mape_pct")
+
+    return measured(1, 1).unionByName(measured(10, 15))
 
 
 @query
