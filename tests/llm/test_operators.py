@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -73,6 +74,42 @@ def test_top_k_against_brute_force(spark):
         assert [(-x["score"], x["vec_id"]) for x in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])] == want
 
 
+
+def best_of(rows, k=5):
+    """query_id -> the k best (score, vec_id), by integers."""
+    known = {(i, tuple(int(math.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(256 * x) for x in v)}
+    low, high = topk.LONG
+    dot = lambda a, b: max(low, min(high, sum(x * y for x, y in zip(a, b))))
+    return {q: [(-s, i) for s, i in sorted((-dot(v, w), j) for j, w in known if j != q and len(w) == len(v))[:k]] for q, v in known if q % 50 == 0}
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**18, 1e12, 1e200])
+def test_top_k_of_wide_components_lengths_and_many_groups(spark, scale, monkeypatch):
+    monkeypatch.setattr(topk, "PACK_ROWS", 32)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(0, scale, 4 + i % 2)]) for i in range(300)]
+    rows += [(400 + i, rows[50][1]) for i in range(8)] + [(None, [1.0] * 4), (450, []), (500, []), (600, [1.0] * 4), (601, [math.inf] * 4), rows[50]]
+    data = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, dim int")
+    for sizes in ({}, {"group_bytes": 1, "block_bytes": 600, "n_pivots": 3})[scale != 1.0 :]:
+        got = {}
+        for x in sorted(topk.exact_top_k(data, **sizes).collect()):
+            got.setdefault(x["query_id"], []).append((x["score"], x["vec_id"]))
+        assert got == {q: found for q, found in best_of(rows).items() if found}
+        assert all(len(f) == 5 for q, f in got.items() if q not in (450, 500))
+
+
+def test_pivots_rule_out_candidates_without_loss():
+    r = np.random.default_rng(7)
+    x = np.floor(256 * (np.repeat(r.normal(0, 1, (20, 8)), 50, axis=0) + r.normal(0, 0.02, (1000, 8))))
+    top = float((x * x).sum(axis=1).max())
+    pivots = np.column_stack([x[::50], np.sqrt(np.maximum(top - (x[::50] ** 2).sum(axis=1), 0))])
+    ids, ask = np.arange(1000), x[::40]
+    best = topk.Best(ids[::40], np.full(25, -np.inf), 5)
+    topk.search(best, (ask, topk.to_pivots(ask, pivots, top, False)), (ids, x, topk.to_pivots(x, pivots, top, True)), top)
+    for i, q in enumerate(ids[::40]):
+        assert sorted(zip((-best.scores[i]).tolist(), best.ids[i].tolist())) == sorted((-int(ask[i] @ x[j]), j) for j in ids if j != q)[:5]
+    assert best.scored < 0.5 * 25 * 1000
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
