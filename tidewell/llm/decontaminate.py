@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import table
+from tidewell.llm.shared import durable, table
 
 #: Edits allowed: this share of an item's characters.
 ERROR_RATE = 0.05
@@ -137,8 +137,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     Both sides are normalized; an item of n characters may differ by floor(rate * n)
     edits, and its least distance is returned.  Null or blank items and texts match
     nothing.  Repeated documents are answered each; items of equal text each match,
-    repeated item rows count once.  The benchmark is held in bounded portions of about
-    ``pass_chars`` characters, one pass over the documents for each portion.
+    repeated item rows count once.  Texts of any length are searched whole; other columns
+    do not matter; an empty table on either side gives no rows.  The benchmark is held in
+    bounded portions of about ``pass_chars`` characters, one pass over the documents for
+    each portion; of several portions each is written to the shared folder before the next
+    is read, so neither the driver nor a task ever holds two.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -147,6 +150,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     for i in range(passes):
         portion = [(r[0], text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).collect() if (text := normalize(r[1]))]
         part = _matches(docs, Matcher(sorted(portion, key=str), rate))
+        part = durable(part, "leaks") if passes > 1 else part
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -11,15 +11,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import table
+from tidewell.llm.shared import free_names, table
 
 SLOTS = 1 << 15
-#: Documents of each language that the model is fitted on, about; the bound of the sample.
+#: Distinct texts of each language that the model is fitted on, about; the bound of the sample.
 PER_LANGUAGE = 1500
 #: Price of one more language, in units of log(trigrams); neighbouring trigrams are not independent.
 PENALTY = 3.0
@@ -86,42 +85,58 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``by`` at most, chosen by a hash of doc_id and text.
+    """About ``most`` distinct texts of each value of ``by`` at most: ``by`` and text, each once.
 
+    A text is drawn by its hash, with a chance from the number of distinct texts (estimated to
+    a few per cent, without a shuffle), so copies of a text are drawn together and count once.
     The counts have one row for each language, far less than the model, which the driver holds
     as well: so they may be broadcast, and no text is shuffled before the sample is taken.
     """
-    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(F.broadcast(counts), F.col(by) == F.col("_by")).filter(chance < most / F.col("_n")).drop("_by", "_n")
+    hashed = rows.select(F.col(by).alias("_by"), "text", F.xxhash64("text").alias("_h"))
+    counts = hashed.groupBy(F.col("_by").alias("_of")).agg(F.approx_count_distinct("_h", 0.02).alias("_n"))
+    drawn = hashed.join(F.broadcast(counts), F.col("_by") == F.col("_of")).filter(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) / float(1 << 20) < most / F.col("_n"))
+    return drawn.groupBy("_by", "_h").agg(F.min("text").alias("text")).select(F.col("_by").alias(by), "text")
 
 
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on whole texts of a bounded sample of rows with doc_id, text and lang.
+    """Fit on whole texts of a bounded sample of the distinct texts of rows with text and lang.
 
-    Rows with a null text or lang teach nothing.
+    Rows with a null text or lang teach nothing; a text repeated in a language counts once.
+    Tasks count trigrams text by text, however long, and Spark adds up the counts; the driver
+    gets one row of at most SLOTS counts for each language.  No rows give a model without
+    languages.
     """
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS, np.int64)
-        for text in pdf["text"]:
-            total += trigram_counts(text)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "grams": [total.astype(np.float32).tobytes()]})
-
-    rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    found = sorted(sampled(rows, "lang", per_language).select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, grams binary").collect())
-    if not found:
-        return LanguageModel([], np.zeros((SLOTS, 0)))
-    grams = np.stack([np.frombuffer(r["grams"], np.float32).astype(np.float64) for r in found], axis=1) + 0.05
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = totals.setdefault(lang, np.zeros(SLOTS, np.int64))
+                own += trigram_counts(text.as_py())
+        for lang, own in totals.items():
+            used = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(own[used], pa.int64())], ["lang", "slot", "n"])
+
+    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    slots = sampled(rows, "lang", per_language).select("lang", "text").mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    found = sorted(slots.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("grams")).collect(), key=lambda r: r["lang"])
+    grams = np.full((SLOTS, len(found)), 0.05)
+    for i, r in enumerate(found):
+        used = np.array(r["grams"], np.int64).reshape(-1, 2)
+        grams[used[:, 0], i] += used[:, 1]
     return LanguageModel([r["lang"] for r in found], grams / grams.sum(axis=0))
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of each row with lang_pred and score, from the whole text.
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter, or where
-    the model knows no language.  Repeated rows are answered each.
+    the model knows no language.  Repeated rows are answered each; a text of any length is
+    judged whole.  ``names`` are the two new columns' own; a kept column of such a name is an
+    error, one that is not kept does not matter.
     """
+    if {n.lower() for n in names} & {c.lower() for c in keep}:
+        raise ValueError(f"kept columns clash with {names}: give other names")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +144,11 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             found = [model.infer(x.as_py() or "") for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(keep))], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*keep, "lang_pred", "score"],
+                [*keep, *names],
             )
 
-    return docs.select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(free_names([*keep, *names], "whole_text")[0]))
+    return rows.mapInArrow(run, f"{schema + ', ' if keep else ''}`{names[0]}` string, `{names[1]}` double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
