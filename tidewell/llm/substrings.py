@@ -135,12 +135,10 @@ def _core_hashes(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
                 core, n = np.unique(window_hash(prefix_hash(BYTE_CODES[data]), at, at + length - WINDOW + 1), return_counts=True)
                 part = core % np.uint64(buckets)
                 order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(buckets + 1, dtype=np.uint64))
+                held, cuts = np.unique(part[order], return_index=True)
                 rows = []
-                for b in range(buckets):
-                    own = order[cuts[b] : cuts[b + 1]]
-                    if len(own):
-                        rows.append(("core", block, b, core[own][n[own] == 1].tobytes(), core[own][n[own] > 1].tobytes()))
+                for b, own in zip(held.tolist(), np.split(order, cuts[1:])):
+                    rows.append(("core", block, b, core[own][n[own] == 1].tobytes(), core[own][n[own] > 1].tobytes()))
                 yield _parts(rows)
 
     return blocks.select("block", "lens", "data").mapInArrow(run, _PARTS)
@@ -179,8 +177,10 @@ def _by_key(block: int, tag: str, buckets: int, core, x, y, lo, n, d) -> list[tu
     keys["several"] = count > 1
     part = keys["core"] % np.uint64(buckets)
     rows = [(f"local{tag}", block, -1, local.tobytes(), b"")]
-    for b in np.unique(part):
-        rows.append((f"key{tag}", block, int(b), keys[part == b].tobytes(), b""))
+    order = np.argsort(part, kind="stable")
+    held, cuts = np.unique(part[order], return_index=True)
+    for b, own in zip(held.tolist(), np.split(order, cuts[1:])):
+        rows.append((f"key{tag}", block, b, keys[own].tobytes(), b""))
     return rows
 
 
