@@ -4,12 +4,17 @@ import math
 import zipfile
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tidewell.operators import clean, demand, models, totals, windows
+from tidewell.operators import clean, demand, elasticity, metrics, models, totals, windows
+from tidewell.operators.quantiles import exact_quantiles
 from tidewell.plans import registry
-from tidewell.schema import CLASSES, feature_role
+from tidewell.schema import CLASSES, SIGNS, feature_role
 from tidewell.sources import text
 from tidewell.streaming import stats
 
@@ -207,13 +212,117 @@ def test_jdbc_query(spark):
 
 
 def test_roles():
-    assert [feature_role(n) for n in ("PARAM_JS_1", "PARAM_PROMO_3", "PARAM_ANNEE", "roll_mean_7", "PARAM_PRIX")] == ["binary", "promo", "cal_unit", "excluded", "continuous"]
-
-
-@pytest.mark.parametrize("name", ["a4_sales_stats_report", "m3_direct_samples", "e7_elasticities", "e8_series_elasticity", "e16_elasticity_export", "m19_forecast_by_version", "w9_interpolate_linear"])
+    names = ("PARAM_JS_1", "est_promo", "PARAM_PROMO_3", "PARAM_PRIX", "discount_pct", "PARAM_ANNEE", "roll_mean_7", "dow", "month_sin", "mois", "semaine", "jour_annee", "mean_dow_today", "ratio_dow", "target_week")
+    assert [feature_role(n) for n in names] == ["binary", "binary", "promo", "continuous", "continuous"] + ["excluded"] * 10
+
+
+def test_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 1, 30_000), np.zeros(20_000), r.integers(0, 5, 300)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).withColumn("none", F.lit(None).cast("double"))
+    probs = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    for accuracy in (100, 10_000):
+        got = exact_quantiles(df, {"x": (F.col("x"), probs), "none": (F.col("none"), [0.5])}, accuracy)
+        assert np.allclose(got["x"], np.quantile(x, probs), atol=1e-9) and got["none"] == [None]
+    small = spark.createDataFrame([(float(i),) for i in (3, 1, 2)], "x double")
+    assert exact_quantiles(small, {"x": (F.col("x"), [0.1, 0.5])})["x"] == pytest.approx([1.2, 2.0])
+
+
+def promo_rows(spark, couples):
+    rows = [(p, 1, DAY + dt.timedelta(i), float(q), float(x)) for p, values in couples.items() for i, (q, x) in enumerate(values)]
+    return spark.createDataFrame(rows, "ID_PRODUIT int, ID_SO int, date date, QUANTITE double, PARAM_PROMO_1 double")
+
+
+def test_promotions_by_history_or_simulated(spark):
+    """Couple 1 ran promotions, 2 never did, 3 shows no empirical effect, 4 has noise below the threshold of activity."""
+    scorer = lambda x: 10 * (1 + x["PARAM_PROMO_1"])
+    rows = promo_rows(spark, {1: [(10, 0)] * 5 + [(20, 0.2), (20, 0.4)], 2: [(10, 0)] * 4, 3: [(10, 0), (10.5, 0.3)], 4: [(10, 1e-9)] * 3})
+    out = {r["ID_PRODUIT"]: r for r in elasticity.elasticities(rows, ["PARAM_PROMO_1"], scorer, ["PARAM_PROMO_1"]).collect()}
+    assert set(out) == {1, 2, 4}
+    assert (out[1]["value"], out[1]["type"], out[1]["std"]) == (30.0, "impact_promo", 7.41)
+    assert (out[2]["value"], out[2]["type"]) == (out[4]["value"], out[4]["type"]) == (30.0, "impact_promo_simule")
+    never = elasticity.elasticities(promo_rows(spark, {2: [(10, 0)] * 4}), ["PARAM_PROMO_1"], scorer, ["PARAM_PROMO_1"]).collect()
+    assert [(r["value"], r["type"], r["cv"]) for r in never] == [(100.0, "impact_promo_simule", 0.0)]
+
+
+def test_continuous_effects_guards_and_zero(spark):
+    rows = spark.createDataFrame([(p, 1, DAY, 5.0, float(v), 7.0, 100.0 + v, -float(v)) for p in (1, 2) for v in range(1, 11)], "ID_PRODUIT int, ID_SO int, date date, QUANTITE double, x double, same double, narrow double, minus double")
+    names = ["x", "same", "narrow", "minus"]
+    scorer = lambda c: F.when(F.col("ID_PRODUIT") == 1, 20 + c["x"] - c["minus"] + c["narrow"] + c["same"]).otherwise(30.0)
+    out = elasticity.elasticities(rows, names, scorer, names).collect()
+    y = [20 + v + v + 100 + v + 7 for v in range(1, 11)]
+    e = np.mean([1.1 / v / 0.2 for v in y])
+    # the step is a tenth of the signed mean; constant and narrow features and zero effects are left out
+    assert {(r["ID_PRODUIT"], r["feature"]): r["value"] for r in out} == {(1, "x"): round(e, 2), (1, "minus"): round(e, 2)}
+
+
+def test_elasticities_of_a_fitted_model(spark):
+    rows = spark.createDataFrame([(p, 1, DAY + dt.timedelta(i), 50.0 - 2 * i + 5 * (i % 2), float(1 + i), float(i % 2)) for p in (1, 2) for i in range(12)], "ID_PRODUIT int, ID_SO int, date date, QUANTITE double, PARAM_PRIX double, PARAM_VACANCE double")
+    names = ["PARAM_PRIX", "PARAM_VACANCE"]
+    model = Pipeline(stages=[models.assemble(names), LinearRegression(labelCol="QUANTITE")]).fit(rows)
+    w, b = model.stages[-1].coefficients, model.stages[-1].intercept
+    line = lambda x: b + float(w[0]) * x["PARAM_PRIX"] + float(w[1]) * x["PARAM_VACANCE"]
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(elasticity.elasticities(rows, names, model, names)) == order(elasticity.elasticities(rows, names, line, names))
+    assert len(order(elasticity.elasticities(rows, names, model, names))) == 4
+
+
+def test_observations(spark):
+    rows = series(spark, range(200)).unionByName(series(spark, [1] * 20, 2))
+    tab = elasticity.observations(rows, "tabular", ["mois", "PARAM_X"])
+    assert tab.columns == ["ID_PRODUIT", "ID_SO", "date", "mois", "PARAM_X", "QUANTITE"] and tab.count() == 90
+    direct = elasticity.observations(rows, "direct", ["horizon", "y_origin_m0", "target_dow"])
+    every = windows.direct_samples(rows, [], purged=0)
+    assert direct.count() == every.count() > windows.direct_samples(rows, []).count()
+    assert direct.filter("QUANTITE - y_origin_m0 <> horizon").count() == 0
+
+
+def test_sign_audit_has_five_features(spark):
+    long = spark.createDataFrame([(f, 1.0) for f in SIGNS], "feature string, value double")
+    assert {r["feature"] for r in metrics.sign_audit(long).collect()} == {"PARAM_PRIX", "PARAM_LOG_PRIX", "PARAM_EST_PROMO", "PARAM_PRIX_VENTE_PROMO", "PARAM_DISCOUNT_PCT"}
+
+
+def test_run_outputs_and_json(spark, tmp_path):
+    rows = series(spark, [1, 2])
+    text.write_kv_text(rows, text.to_kv_line(rows, ["ID_PRODUIT", "QUANTITE"]), f"{tmp_path}/kv")
+    assert {r[0] for r in spark.read.text(f"{tmp_path}/kv").collect()} == {"{ID_PRODUIT=1, QUANTITE=1.0}", "{ID_PRODUIT=1, QUANTITE=2.0}"}
+    text.write_run_metadata(spark.createDataFrame([("smooth", 1.5)], "sb_class string, mae double"), ["a", "b"], {"depth": 3}, rows, f"{tmp_path}/meta")
+    row = text.read_json_table(spark, f"{tmp_path}/meta", "sb_class string, mae double, features array<string>, params string, date_min date, date_max date").first()
+    assert (row["features"], json.loads(row["params"]), row["date_max"]) == (["a", "b"], {"depth": 3}, DAY + dt.timedelta(1))
+    (tmp_path / "one.json").write_text('[\n{"a": 1},\n{"a": 2}]')
+    assert text.read_json_table(spark, f"{tmp_path}/one.json", lines=False).count() == 2
+
+
+def test_small_table_operators(spark):
+    assert clean.split_numeric_exogenous(["PARAM_A", "QUANTITE", "B"]) == ["PARAM_A", "B"]
+    nulls = spark.createDataFrame([(1.0, None), (float("nan"), 2)], "a double, b int")
+    assert [tuple(r) for r in clean.fill_or_drop_nulls(nulls, ["a", "b"]).collect()] == [(1.0, 0), (0.0, 2)] and clean.fill_or_drop_nulls(nulls, ["a"], drop=True).count() == 1
+    log = spark.createDataFrame([(1, 1, DAY, "x", 2.0), (1, 1, DAY, "y", 1.0), (1, 1, DAY - dt.timedelta(1), "z", 0.5)], "id_produit int, id_so int, date_entrainement date, model_name string, rmse_train double")
+    assert clean.latest_training(log).first()["date_entrainement"] == DAY and clean.latest_training(log, best=True).first()["model_name"] == "y"
+    bench = spark.createDataFrame([(1.0, 0.5), (1.0, 1.0), (1.0, 3.0), (1.0, None)], "MAE_perprod double, MAE_global double")
+    assert tuple(metrics.benchmark_summary(bench).first()) == (3, 1, 2, pytest.approx(-0.5))
+    assert [r["feature"] for r in metrics.top_features(spark.createDataFrame([("a", 1.0), ("c", 2.0), ("b", 2.0)], "feature string, importance double"), 2).collect()] == ["b", "c"]
+    rows = series(spark, [4, 8, 6])
+    for how in ("minmax", "maxabs"):
+        back = windows.unscale_series(windows.scale_series(rows, "QUANTITE", how).drop("QUANTITE"), rows, "QUANTITE", "QUANTITE_scaled", how)
+        assert sorted(r["QUANTITE"] for r in back.collect()) == pytest.approx([4.0, 6.0, 8.0])
+
+
+def test_early_stopping_and_two_kinds_of_rows(spark):
+    rows = spark.createDataFrame([(1, 1, DAY + dt.timedelta(i), float(i % 7), float(i % 7), i % 5 == 0) for i in range(300)], "ID_PRODUIT int, ID_SO int, date date, QUANTITE double, x double, held boolean")
+    model = models.fit_boosted_early_stop(rows, ["x"], "held", rounds=30)
+    assert model.stages[-1].getNumTrees < 30
+    out = models.fitted_vs_future(model, rows, rows.limit(7).drop("QUANTITE"))
+    assert {r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"QUANTITE_AJUSTE": 300, "QUANTITE_0": 7}
+
+
+NEW = ["p2_date_from_parts", "p12_feature_role", "e0_observations", "e5_calendar_unit", "a27_benchmark_summary", "a29_latest_training", "t8_compare_elasticities", "w21_holdout_slice"]
+
+
+@pytest.mark.parametrize("name", ["a4_sales_stats_report", "m3_direct_samples", "e7_elasticities", "e8_series_elasticity", "e16_elasticity_export", "m19_forecast_by_version", "w9_interpolate_linear", *NEW])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "part", "supplier", "nation"):
+    for t in ("lineitem", "part", "supplier", "nation", "orders"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = registry.queries()[name](spark, DATA)
     cols = sorted(df.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.schema import K, NEGATIVE_SIGN, POSITIVE_SIGN
+from tidewell.schema import K, SIGNS
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -83,7 +83,35 @@ def systematic_sample(df: DataFrame, every: int, order: list[str]) -> DataFrame:
 
 
 def business_sign_clip(value: Column, feature: Column) -> Column:
-    return F.when(feature.isin(NEGATIVE_SIGN), F.least(value, F.lit(0.0))).when(feature.isin(POSITIVE_SIGN), F.greatest(value, F.lit(0.0))).otherwise(value)
+    """Value cut to the sign that a feature's elasticity may have; null stays null."""
+    of = lambda sign: feature.isin([f for f, s in SIGNS.items() if s == sign])
+    cut = F.when(of("max"), F.least(value, F.lit(0.0))).when(of("min"), F.greatest(value, F.lit(0.0))).otherwise(value)
+    return F.when(value.isNotNull(), cut)
+
+
+def fill_or_drop_nulls(df: DataFrame, cols: list[str], drop: bool = False) -> DataFrame:
+    """Nulls of number columns become 0, or their rows go; NaN counts as null."""
+    df = df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c, t in df.dtypes if c in cols and t in ("double", "float")})
+    return df.na.drop(subset=cols) if drop else df.na.fill(0, subset=cols)
+
+
+def split_numeric_exogenous(cols: list[str], target: str = "QUANTITE") -> list[str]:
+    """The parameters without the target, in their order."""
+    return [c for c in cols if c != target]
+
+
+def first_nomenclature(df: DataFrame) -> DataFrame:
+    """The nomenclature of each couple's earliest row that has one; of equal dates the least."""
+    known = F.col("ID_NOMENCLATURE").isNotNull()
+    return df.groupBy(*K).agg(F.min(F.when(known, F.struct("date", "ID_NOMENCLATURE")))["ID_NOMENCLATURE"].alias("ID_NOMENCLATURE"))
+
+
+def latest_training(log: DataFrame, best: bool = False) -> DataFrame:
+    """Last training date of each couple; with ``best`` the row of that date with the lowest RMSE, ties by model name."""
+    if not best:
+        return log.groupBy("id_produit", "id_so").agg(F.max("date_entrainement").alias("date_entrainement"))
+    w = Window.partitionBy("id_produit", "id_so").orderBy(F.col("date_entrainement").desc_nulls_last(), F.col("rmse_train").asc_nulls_last(), "model_name")
+    return log.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def update_quantity(df: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Scenarios, elasticities by perturbation, and attribution, with a column scorer.
+"""Scenarios, elasticities by perturbation, and attribution.
 
-A scorer maps column expressions by name to a predicted demand; all variants of a row
-stand side by side in one projection, so a feature costs one scan and no copy.
+A scorer maps column expressions by name to a predicted demand, or is a fitted Spark
+model.  All variants of a row stand side by side, so features cost no scan or copy of
+their own.
 """
 
 from __future__ import annotations
@@ -9,16 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.features import safe_cv
-from tidewell.operators.clean import business_sign_clip
-from tidewell.operators.windows import winsorize_by_series
-from tidewell.schema import CALENDAR_UNIT, K, MIN_PROMO_LIFT, MIN_RANGE, feature_role
+from tidewell.functions.features import build_features, safe_cv
+from tidewell.operators.clean import align_features, business_sign_clip, history_window
+from tidewell.operators.quantiles import exact_quantiles
+from tidewell.operators.windows import direct_samples
+from tidewell.schema import HORIZONS, K, MIN_PROMO_LIFT, MIN_RANGE, feature_role
 
 Scorer = Callable[[dict[str, Column]], Column]
-CLIP = 300.0
+# The clip of effects, and the prediction from which on effects count.
+CLIP, MIN_PREDICTION = 300.0, 0.5
 
 
 def log_linear(df: DataFrame) -> DataFrame:
@@ -33,14 +37,24 @@ def demand_curve(x: dict[str, Column]) -> Column:
     return F.exp(F.col("_a") + F.col("_b") * F.ln(x["PARAM_PRIX"])) * (1 + 0.5 * x["PARAM_PROMO_1"]) * (1 + 0.1 * x["PARAM_VACANCE"])
 
 
-def _long(df: DataFrame, feature: str, kind: str, value: Column, std: Column) -> DataFrame:
-    out = df.groupBy(*K).agg(value.alias("value"), std.alias("std"))
-    clipped = F.round(business_sign_clip(F.col("value"), F.lit(feature)), 2)
-    return out.filter("value is not null").select(*K, F.lit(feature).alias("feature"), clipped.alias("value"), F.round("std", 2).alias("std"), safe_cv(business_sign_clip(F.col("value"), F.lit(feature)), F.col("std")).alias("cv"), F.lit(kind).alias("type"))
+def _cut(v: Column, most: float = CLIP) -> Column:
+    return F.when(v.isNotNull(), F.greatest(F.lit(-most), F.least(F.lit(most), v)))
 
 
-def _cut(v: Column, most: float = CLIP) -> Column:
-    return F.greatest(F.lit(-most), F.least(F.lit(most), v))
+def with_predictions(df: DataFrame, variants: dict[str, dict[str, Column]], scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
+    """A column of predicted demand, at least 0, for each variant: the columns that it changes, as expressions.
+
+    A column scorer's variants stand in one projection.  A fitted Spark model scores one variant
+    after the other, with the changed columns in place; rows are neither copied nor shuffled.
+    """
+    positive = lambda y: F.when(y.isNotNull(), F.greatest(y, F.lit(0.0)))
+    if not isinstance(scorer, Transformer):
+        return df.withColumns({v: positive(scorer({n: change.get(n, F.col(n)) for n in names})) for v, change in variants.items()})
+    for v, change in variants.items():
+        own = {n: f"_own_{i}" for i, n in enumerate(change)}
+        scored = scorer.transform(df.withColumns({own[n]: F.col(n) for n in change} | change))
+        df = scored.select(*[F.col(own[c]).alias(c) if c in own else F.col(c) for c in df.columns], positive(F.col("prediction")).alias(v))
+    return df
 
 
 def price_scenarios(df: DataFrame, grid: list[float], scorer: Scorer, names: list[str]) -> DataFrame:
@@ -59,54 +73,87 @@ def promo_scenarios(df: DataFrame, levels: list[float], scorer: Scorer, names: l
     return rows.select(*K, "date", F.col("_s.scenario").alias("scenario"), F.greatest(y, F.lit(0.0)).alias("prediction"))
 
 
-def perturb_binary(df: DataFrame, feature: str, scorer: Scorer, names: list[str]) -> DataFrame:
-    at = lambda v: scorer({n: F.lit(v) if n == feature else F.col(n) for n in names})
-    e = df.withColumns({"_0": at(0.0), "_1": at(1.0)}).withColumn("_e", F.when(F.col("_0") > 0.5, _cut((F.col("_1") - F.col("_0")) / F.col("_0") * 100)))
-    return _long(e, feature, "impact_binaire", F.avg("_e"), F.stddev_pop("_e")).filter("value <> 0")
-
-
-def perturb_promo(df: DataFrame, feature: str, scorer: Scorer, names: list[str]) -> DataFrame:
-    """Effect of switching promotions off where they ran, or simulated at the median level elsewhere.
+def _facts(df: DataFrame, roles: dict[str, str]) -> dict[str, dict]:
+    """What holds for all rows: the median level of each promotion that ran; step and guards of continuous features.
 
-    Couples with both kinds of rows whose mean demand differs by less than the threshold are left out.
+    The result has a few numbers for each feature, which the driver turns into literals.
     """
-    at = lambda c: scorer({n: c if n == feature else F.col(n) for n in names})
-    on = F.col(feature) > 0
-    stats = df.groupBy(*K).agg(F.avg(F.when(on, F.col("QUANTITE"))).alias("_qa"), F.avg(F.when(~on, F.col("QUANTITE"))).alias("_qs"))
-    weak = F.coalesce(F.abs(F.col("_qa") - F.col("_qs")) / F.greatest("_qs", F.lit(0.01)) < MIN_PROMO_LIFT, F.lit(False))
-    level = df.filter(on).agg(F.coalesce(F.median(feature), F.lit(0.0)).alias("_level"))
-    rows = df.join(stats.filter(~weak), K).crossJoin(F.broadcast(level)).withColumns({"_y": at(F.col(feature)), "_off": at(F.lit(0.0)), "_on": at(F.col("_level"))})
-    real = F.when(on & (F.col("_off") > 0.5), (F.col("_y") - F.col("_off")) / F.col("_off") * 100)
-    simulated = F.when(F.col("_y") > 0.5, (F.col("_on") - F.col("_y")) / F.col("_y") * 100)
-    rows = rows.withColumns({"_r": real, "_m": simulated})
-    has = rows.groupBy(*K).agg((F.count("_r") > 0).alias("_has"))
-    e = winsorize_by_series(rows.join(has, K).withColumn("_e", F.when(F.col("_has"), F.col("_r")).otherwise(F.col("_m"))).filter("_e is not null"), "_e")
-    q = F.percentile("_e", F.array(F.lit(0.25), F.lit(0.75)))
-    return _long(e, feature, "impact_promo", _cut(F.median("_e"), 150.0), (q[1] - q[0]) / 1.349)
-
-
-def perturb_calendar_unit(df: DataFrame, feature: str, scorer: Scorer, names: list[str]) -> DataFrame:
-    at = lambda d: scorer({n: F.col(n) + d if n == feature else F.col(n) for n in names})
-    e = df.withColumns({"_y": at(0), "_u": at(1), "_d": at(-1)}).withColumn("_e", F.when(F.col("_y") > 0.5, _cut((F.col("_u") - F.col("_d")) / F.col("_y") / 2 * 100)))
-    return _long(e, feature, "impact_annuel", F.median("_e"), F.stddev_pop("_e"))
-
-
-def perturb_continuous(df: DataFrame, feature: str, scorer: Scorer, names: list[str]) -> DataFrame:
-    """Central elasticity for a step of 10 % of the class mean; nothing for constant or narrow features."""
-    q = F.percentile(feature, F.array(F.lit(0.1), F.lit(0.9)))
-    step = F.when(F.abs(F.avg(feature)) > 1e-6, F.abs(F.avg(feature)) * 0.1).otherwise(F.stddev_pop(feature) * 0.1)
-    whole = df.agg(step.alias("_step"), ((F.stddev_pop(feature) >= 1e-6) & (F.coalesce(F.try_divide(q[1] - q[0], F.abs(q[0])), F.lit(1.0)) >= MIN_RANGE)).alias("_ok"))
-    at = lambda c: scorer({n: c if n == feature else F.col(n) for n in names})
-    rows = df.crossJoin(F.broadcast(whole)).filter("_ok").withColumns({"_y": at(F.col(feature)), "_u": at(F.col(feature) + F.col("_step")), "_d": at(F.col(feature) - F.col("_step"))})
-    e = rows.withColumn("_e", F.when(F.col("_y") > 0.5, _cut((F.col("_u") - F.col("_d")) / F.col("_y") / 0.1 / 2)))
-    return _long(e, feature, "elasticite", F.avg("_e"), F.stddev_pop("_e"))
-
-
-def elasticities(df: DataFrame, features: list[str], scorer: Scorer, names: list[str]) -> DataFrame:
-    """Long table (couple, feature, value, std, cv, type), by the role of each feature."""
-    by_role = {"binary": perturb_binary, "promo": perturb_promo, "cal_unit": perturb_calendar_unit, "continuous": perturb_continuous}
-    parts = [by_role[r](df, f, scorer, names) for f in features if (r := feature_role(f)) in by_role or f in CALENDAR_UNIT]
-    return reduce(DataFrame.unionByName, parts)
+    of = {f: F.when(F.col(f) > 1e-8, F.col(f)) if r == "promo" else F.col(f) for f, r in roles.items() if r in ("promo", "continuous")}
+    if not of:
+        return {}
+    whole = df.agg(*[x for i, (f, c) in enumerate(of.items()) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
+    quantiles = exact_quantiles(df, {f: (c, [0.5] if roles[f] == "promo" else [0.1, 0.9]) for f, c in of.items()})
+    out: dict[str, dict] = {}
+    for i, f in enumerate(of):
+        q, mean, std = quantiles[f], whole[f"m{i}"], whole[f"s{i}"]
+        if roles[f] == "promo":
+            out[f] = {"level": 1.0 if q[0] is None else q[0]}
+        elif std is not None and std >= 1e-6 and not (abs(q[0]) > 1e-6 and (q[1] - q[0]) / abs(q[0]) < MIN_RANGE):
+            out[f] = {"step": 0.1 * (mean if abs(mean) > 1e-8 else std)}
+    return out
+
+
+def elasticities(df: DataFrame, features: list[str], scorer: Scorer | Transformer, names: list[str], roles: dict[str, str] | None = None) -> DataFrame:
+    """Long table (couple, feature, value, std, cv, type) of the rows of one class, by the role of each feature.
+
+    binary: mean effect of 0 to 1 in %.  promo: median effect in % where it ran ("impact_promo"), or
+    simulated at its median level for couples without such rows ("impact_promo_simule"; the level is
+    1 if it never ran); couples whose mean demand with and without it differs by less than the
+    threshold are left out.  cal_unit: median effect of one unit.  continuous: mean elasticity for a
+    step of 10 % of the mean of all rows; nothing for constant or narrow features.  Rows predicted at
+    or below 0.5 and null effects do not count; zero values are left out except for promotions.
+    ``roles`` overrides the role that a feature has by its name.  However many features there are,
+    their variants stand in one projection and one aggregate by couple.
+    """
+    roles = {f: r for f in features if (r := (roles or {}).get(f) or feature_role(f)) != "excluded"}
+    facts = _facts(df, roles)
+    roles = {f: r for f, r in roles.items() if r != "continuous" or f in facts}
+    at: dict[str, dict[str, Column]] = {"_y": {}}
+    for i, (f, role) in enumerate(roles.items()):
+        low, high = {
+            "binary": lambda f: (F.lit(0.0), F.lit(1.0)),
+            "promo": lambda f: (F.lit(0.0), F.lit(facts[f]["level"])),
+            "cal_unit": lambda f: (F.col(f) - 1, F.col(f) + 1),
+            "continuous": lambda f: (F.col(f) - facts[f]["step"], F.col(f) + facts[f]["step"]),
+        }[role](f)
+        at |= {f"_l{i}": {f: low}, f"_h{i}": {f: high}}
+    scored = with_predictions(df, at, scorer, names)
+    y, sums, found = F.col("_y"), [], []
+    typed = lambda kind: F.lit(kind)
+    for i, (f, role) in enumerate(roles.items()):
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        over = lambda base, change: F.when(base > MIN_PREDICTION, change / base)
+        if role in ("binary", "continuous"):
+            e = _cut(over(low, high - low) * 100 if role == "binary" else over(y, high - low) / 0.2)
+            sums += [F.avg(e).alias(f"v{i}"), F.stddev_pop(e).alias(f"s{i}")]
+            found.append((f, F.col(f"v{i}"), F.col(f"s{i}"), typed("impact_binaire" if role == "binary" else "elasticite"), F.lit(False)))
+            continue
+        quartiles = lambda e: F.percentile(e, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+        if role == "cal_unit":
+            sums.append(quartiles(_cut(over(y, high - low) * 50)).alias(f"q{i}"))
+            q, kind, weak = F.col(f"q{i}"), typed("impact_annuel"), F.lit(False)
+        else:
+            # clipping a couple's effects to its 5th and 95th percentile moves neither its median nor its quartiles
+            on = F.col(f) > 1e-8
+            real, simulated = F.when(on, over(low, y - low) * 100), over(y, high - y) * 100
+            sums += [quartiles(real).alias(f"r{i}"), quartiles(simulated).alias(f"q{i}"), F.avg(F.when(on, F.col("QUANTITE"))).alias(f"a{i}"), F.avg(F.when(~on, F.col("QUANTITE"))).alias(f"b{i}")]
+            q, kind = F.coalesce(f"r{i}", f"q{i}"), F.when(F.col(f"r{i}").isNotNull(), "impact_promo").otherwise("impact_promo_simule")
+            weak = F.coalesce(F.abs(F.col(f"a{i}") - F.col(f"b{i}")) / F.greatest(f"b{i}", F.lit(0.01)) < MIN_PROMO_LIFT, F.lit(False))
+        found.append((f, q[1], (q[2] - q[0]) / 1.349, kind, weak))
+    if not found:
+        return df.select(*K, F.lit("").alias("feature"), *[F.lit(0.0).alias(c) for c in ("value", "std", "cv")], F.lit("").alias("type")).limit(0)
+    each = []
+    for f, value, std, kind, weak in found:
+        value = F.round(business_sign_clip(_cut(value, 150.0) if roles[f] == "promo" else value, F.lit(f)), 2)
+        keep = value.isNotNull() & ~weak & (F.lit(roles[f] == "promo") | (value != 0))
+        each.append(F.when(keep, F.struct(F.lit(f).alias("feature"), (value + 0.0).alias("value"), F.round(F.coalesce(std, F.lit(0.0)), 2).alias("std"), kind.alias("type"))))
+    long = scored.groupBy(*K).agg(*sums).select(*K, F.explode(F.array_compact(F.array(*each))).alias("_x")).select(*K, "_x.*")
+    return long.select(*K, "feature", "value", "std", safe_cv(F.col("value"), F.col("std")).alias("cv"), "type")
+
+
+def perturb(df: DataFrame, feature: str, role: str, scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
+    """One feature's effects under a given role: binary, promo, cal_unit or continuous."""
+    return elasticities(df, [feature], scorer, names, {feature: role})
 
 
 def ols_elasticity(df: DataFrame, x: str, y: str = "QUANTITE") -> DataFrame:
@@ -116,9 +163,27 @@ def ols_elasticity(df: DataFrame, x: str, y: str = "QUANTITE") -> DataFrame:
     return out.withColumn("value", F.round(business_sign_clip(F.col("value"), F.lit(x)), 2))
 
 
-def slope_pm10(df: DataFrame, feature: str, scorer: Scorer, names: list[str]) -> DataFrame:
-    at = lambda g: scorer({n: F.col(n) * g if n == feature else F.col(n) for n in names})
-    return df.groupBy(*K).agg(F.avg(F.try_divide(at(1.1) - at(0.9), F.col(feature) * 0.2)).alias("slope"))
+def slope_pm10(df: DataFrame, feature: str, scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
+    scored = with_predictions(df, {"_l": {feature: F.col(feature) * 0.9}, "_h": {feature: F.col(feature) * 1.1}}, scorer, names)
+    return scored.groupBy(*K).agg(F.avg(F.try_divide(F.col("_h") - F.col("_l"), F.col(feature) * 0.2)).alias("slope"))
+
+
+def observations(df: DataFrame, kind: str, features: list[str], days: int = 90, least: int = 30) -> DataFrame:
+    """The rows to score for elasticities, with all ``features`` (0 where the history lacks one), date and QUANTITE.
+
+    direct: every direct sample (of couples with rows enough), its
+    target's date and demand as date and QUANTITE, none left out as purged.  tabular: the last ``days`` days of the whole
+    history, couples with at least ``least`` rows there, with calendar and price features.
+    """
+    if kind == "direct":
+        extra = [c for c, t in df.dtypes if c not in (*K, "ID_NOMENCLATURE", "date", "QUANTITE", "PARAM_ANNEE", "PARAM_MOIS", "PARAM_JOUR", "PARAM_JOUR_SEMAIN") and t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+        rows = direct_samples(df, extra, HORIZONS, purged=0).withColumns({"date": F.col("_target_date"), "QUANTITE": F.col("y")})
+    else:
+        last = df.agg(F.max("date").alias("_max"))
+        recent = df.crossJoin(F.broadcast(last)).filter(F.datediff("_max", "date") < days).drop("_max")
+        many = recent.groupBy(*K).count().filter(F.col("count") >= least).select(*K)
+        rows = build_features(recent.join(many, K, "left_semi"))
+    return align_features(rows, [*features, "QUANTITE"])
 
 
 def attribution_share(df: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from tidewell.schema import K, NEGATIVE_SIGN, POSITIVE_SIGN
+from tidewell.schema import AUDITED, SIGNS, K
 
 
 def forecast_metrics_by_series(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -42,13 +43,35 @@ def elasticity_summary(long: DataFrame) -> DataFrame:
 
 
 def sign_audit(long: DataFrame) -> DataFrame:
-    """Share of wrong signs of each feature that has a sign rule, and its verdict."""
-    wrong = F.when(F.col("feature").isin(NEGATIVE_SIGN), F.col("value") > 0).when(F.col("feature").isin(POSITIVE_SIGN), F.col("value") < 0)
+    """Share of wrong signs of each audited feature, and its verdict."""
+    of = lambda sign: F.col("feature").isin([f for f in AUDITED if SIGNS[f] == sign])
+    wrong = F.when(of("max"), F.col("value") > 0).when(of("min"), F.col("value") < 0)
     out = long.withColumn("_w", wrong).filter("_w is not null").groupBy("feature").agg(F.count("*").alias("n"), F.count_if("_w").alias("n_faux"))
     share = F.col("n_faux") / F.col("n")
     return out.withColumn("verdict", F.when(share < 0.10, "OK").when(share < 0.30, "ATTENTION").otherwise("PROBLEME"))
 
 
+def benchmark_summary(rows: DataFrame) -> DataFrame:
+    """Of couples with both errors: how often the global model or the own one wins (ties: its own), and the mean difference."""
+    both = rows.filter("MAE_perprod is not null and MAE_global is not null").withColumn("_d", F.round(F.col("MAE_perprod") - F.col("MAE_global"), 4))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("_d") > 0).alias("global_gagne"), F.count_if(F.col("_d") <= 0).alias("perprod_gagne"), F.avg("_d").alias("delta_moyen"))
+
+
+def compare_elasticities(methods: dict[str, DataFrame], most: int = 15) -> DataFrame:
+    """Elasticities of each couple by method, side by side, of its first ``most`` features by name; what a method lacks is null."""
+    tall = None
+    for name, long in methods.items():
+        own = long.select(*K, "feature", "value", F.lit(name).alias("_m"))
+        tall = own if tall is None else tall.unionByName(own)
+    wide = tall.groupBy(*K, "feature").pivot("_m", list(methods)).agg(F.first("value", ignorenulls=True))
+    return wide.withColumn("_n", F.row_number().over(Window.partitionBy(*K).orderBy("feature"))).filter(F.col("_n") <= most).drop("_n")
+
+
+def top_features(importance: DataFrame, most: int = 20, by: str = "importance") -> DataFrame:
+    """The features of the highest importance, ties by name."""
+    return importance.orderBy(F.col(by).desc(), "feature").limit(most)
+
+
 def accuracy_buckets(metrics: DataFrame) -> DataFrame:
     w = F.col("WMAPE")
     return metrics.agg(F.count_if(w <= 50).alias("n_50"), F.count_if((w > 50) & (w <= 100)).alias("n_100"), F.count_if(w > 100).alias("n_plus"), F.median(w).alias("mediane_wmape"))

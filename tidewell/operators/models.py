@@ -188,6 +188,20 @@ def with_ar(df: DataFrame) -> DataFrame:
     return df.withColumns({"ar_1": F.coalesce(F.lag("QUANTITE", 1).over(by_date()), F.lit(0.0)), "t": F.row_number().over(by_date()).cast("double")})
 
 
+def fit_boosted_early_stop(df: DataFrame, features: list[str], held: str, loss: str = "squared", rounds: int = 100, **params) -> PipelineModel:
+    """Boosting that stops when the error of the rows marked by ``held`` no longer falls; loss squared or absolute."""
+    learner = GBTRegressor(**{"labelCol": "QUANTITE", "maxDepth": 4, "seed": 42, "validationTol": 0.001} | params)
+    learner.setMaxIter(rounds).setLossType(loss).setValidationIndicatorCol(held)
+    return Pipeline(stages=[assemble(features), learner]).fit(df)
+
+
+def fitted_vs_future(model: PipelineModel, history: DataFrame, future: DataFrame) -> DataFrame:
+    """Predictions of the history (kind QUANTITE_AJUSTE) and of the future (QUANTITE_0), the columns that both have."""
+    both = [c for c in history.columns if c in future.columns]
+    rows = history.select(*both, F.lit("QUANTITE_AJUSTE").alias("kind")).unionByName(future.select(*both, F.lit("QUANTITE_0").alias("kind")))
+    return predict(model, rows)
+
+
 def refit_from_params(df: DataFrame, stored: str, kind: str = "boosted") -> PipelineModel:
     """Fit again from a stored JSON object with features and params."""
     known = json.loads(stored)

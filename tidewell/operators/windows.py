@@ -36,11 +36,11 @@ def is_origin(rn: Column, n: Column, stride: int = STRIDE) -> Column:
     return (rn >= MIN_ROWS) & ((rn - MIN_ROWS) % stride == 0) & (rn <= n - 1)
 
 
-def direct_samples(df: DataFrame, covariates: list[str], horizons: list[int] = HORIZONS, stride: int = STRIDE) -> DataFrame:
+def direct_samples(df: DataFrame, covariates: list[str], horizons: list[int] = HORIZONS, stride: int = STRIDE, purged: int = 1) -> DataFrame:
     """(origin, horizon, target) rows: features at the origin, covariates and y at the target.
 
     Horizons count rows.  Test targets lie in the last 30 days of the series, training
-    targets at least one day before them; targets on the day between are dropped.
+    targets at least ``purged`` days before them; targets on days between are dropped.
     """
     target = F.struct("date", F.col("QUANTITE").alias("y"), *covariates)
     ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(target, h).over(by_date()).alias("t")) for h in horizons])
@@ -49,7 +49,7 @@ def direct_samples(df: DataFrame, covariates: list[str], horizons: list[int] = H
     rows = df.filter(is_origin(F.col("_rn"), F.col("_n"), stride)).select(*K, F.col("date").alias("_origin_date"), "_end", *features, F.explode("_ahead").alias("_a")).filter("_a.t is not null")
     day = F.col("_a.t.date")
     cut = F.date_sub("_end", TEST_DAYS)
-    rows = rows.withColumn("_is_test", F.when(day > cut, True).when(day <= F.date_sub(cut, 1), False)).filter("_is_test is not null")
+    rows = rows.withColumn("_is_test", F.when(day > cut, True).when(day <= F.date_sub(cut, purged), False)).filter("_is_test is not null")
     calendar = [F.weekday(day).alias("target_dow"), F.month(day).alias("target_month"), F.dayofmonth(day).alias("target_day"), F.dayofyear(day).alias("target_doy"), (F.weekday(day) >= 5).cast("int").alias("target_is_weekend")]
     return rows.select(*K, "_origin_date", day.alias("_target_date"), "_is_test", F.col("_a.horizon").alias("horizon"), *features, *calendar, *[F.col(f"_a.t.{c}").alias(c) for c in covariates], F.col("_a.t.y").alias("y"))
 
@@ -121,6 +121,25 @@ def scale_series(df: DataFrame, col: str, how: str = "minmax") -> DataFrame:
     return df.withColumn(f"{col}_scaled", scaled)
 
 
+def unscale_series(df: DataFrame, history: DataFrame, col: str, scaled: str, how: str = "minmax") -> DataFrame:
+    """Scaled values of ``df`` back on the scale of each series' history, as column ``col``."""
+    span = history.groupBy(*K).agg(F.min(col).alias("_low"), F.max(col).alias("_high"), F.max(F.abs(F.col(col))).alias("_top"))
+    back = F.col("_low") + F.col(scaled) * (F.col("_high") - F.col("_low")) if how == "minmax" else F.col(scaled) * F.col("_top")
+    return df.join(span, K).withColumn(col, back).drop("_low", "_high", "_top")
+
+
+def holdout_slice(samples: DataFrame, days: int = 10, most: int = 300_000) -> DataFrame:
+    """Training samples whose target lies in the last ``days`` days before the last training target of all, ``most`` at most.
+
+    The bound is the operator's own; of more samples those of the least hashes are taken, so reruns agree.
+    """
+    train = samples.filter("not _is_test")
+    last = train.agg(F.max("_target_date").alias("_last"))
+    late = train.crossJoin(F.broadcast(last)).filter(F.datediff("_last", "_target_date") < days).drop("_last")
+    at = [*K, "_origin_date", "horizon"]
+    return late.orderBy(F.xxhash64(*at), *at).limit(most)
+
+
 def winsorize_by_series(df: DataFrame, col: str, least: int = 20) -> DataFrame:
     p = F.percentile(col, F.array(F.lit(0.05), F.lit(0.95))).over(whole())
     clipped = F.least(F.greatest(F.col(col), p[0]), p[1])

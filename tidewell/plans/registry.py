@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.ship import ship
-from tidewell.plans.sql import SQL
+from tidewell.plans.sql import ROLES, SQL
 from tidewell.functions import features as ft
 from tidewell.operators import clean, demand, elasticity, metrics, models, totals, windows
-from tidewell.schema import CLASSES, K, PRICE_GRIDS, PROMO_LEVELS
+from tidewell.schema import CLASSES, K, PRICE_GRIDS, PROMO_LEVELS, feature_role
 from tidewell.sources import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,6 +583,154 @@ def w14_split_at_fraction(spark, d):
     return windows.split_at_fraction(sales(spark, d)).groupBy(*K, "is_test").agg(F.count("*").alias("n"), F.min("date").alias("d0"))
 
 
+@query
+def p1_coerce_numeric(spark, d):
+    n = F.col("p_partkey") % 3
+    raw = F.when(n == 0, F.col("p_brand")).when(n == 1, F.concat(F.col("p_size").cast("string"), F.lit(".0"))).otherwise(F.col("p_size").cast("string"))
+    return clean.coerce_numeric(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", raw.alias("x")), ["x"])
+
+
+@query
+def p2_date_from_parts(spark, d):
+    day = F.col("o_orderdate")
+    parts = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.year(day).alias("y"), F.month(day).alias("m"), (F.dayofmonth(day) + F.col("o_orderkey") % 4).alias("j"))
+    return parts.select("o_orderkey", clean.date_from_parts(F.col("y"), F.col("m"), F.col("j"), "1998-06-01", 1000).alias("date"))
+
+
+@query
+def p3_valid_sales(spark, d):
+    holes = {"QUANTITE": F.when(F.col("QUANTITE").cast("long") % 7 != 0, F.col("QUANTITE")), "ID_SO": F.when(F.col("ID_SO") != 2, F.col("ID_SO"))}
+    return clean.valid_sales(sales(spark, d).withColumns(holes)).groupBy(*K).agg(F.count("*").alias("n"), F.sum("QUANTITE").alias("q"))
+
+
+@query
+def p4_usable_target(spark, d):
+    rows = sales(spark, d).withColumn("QUANTITE", F.col("QUANTITE") - 30)
+    train, clipped = (clean.usable_target(rows, clip).select(*K, F.lit(clip).alias("clip"), "QUANTITE") for clip in (False, True))
+    of = lambda clip: F.col("clip") if clip else ~F.col("clip")
+    return train.unionByName(clipped).groupBy(*K).agg(*[x for clip, name in ((False, "train"), (True, "clip")) for x in (F.count_if(of(clip)).alias(f"n_{name}"), F.sum(F.when(of(clip), F.col("QUANTITE"))).alias(f"q_{name}"))])
+
+
+@query
+def p5_fill_or_drop_nulls(spark, d):
+    rows, cols = dense(spark, d), ["PARAM_PRIX", "PARAM_PROMO_1"]
+    full, some = clean.fill_or_drop_nulls(rows, cols), clean.fill_or_drop_nulls(rows, cols, drop=True)
+    kept = some.groupBy(*K).agg(F.count("*").alias("n_drop"))
+    return full.groupBy(*K).agg(F.count("PARAM_PRIX").alias("n_fill"), F.round(F.sum("PARAM_PROMO_1"), 6).alias("s")).join(kept, K)
+
+
+@query
+def p7_drop_uninformative(spark, d):
+    """Names of the columns that stay."""
+    cols = ["QUANTITE", "PARAM_PRIX", "PARAM_RARE", "PARAM_STOCK"]
+    rows = dense(spark, d).select(*K, "QUANTITE", "PARAM_PRIX", F.when(F.dayofmonth("date") == 1, F.col("PARAM_PRIX")).alias("PARAM_RARE"), F.lit(1.0).alias("PARAM_STOCK"))
+    left = [c for c in clean.drop_uninformative(rows, cols).columns if c in cols]
+    return spark.createDataFrame([(c,) for c in left], "colonne string")
+
+
+@query
+def p10_align_features(spark, d):
+    return clean.align_features(sales(spark, d), ["PARAM_ABSENT", "PARAM_PROMO_1"])
+
+
+@query
+def p12_feature_role(spark, d):
+    """How many rows each of some features takes part in, by the role that its name has."""
+    roles = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(feature_role(f)).alias("role")) for f in ROLES])
+    return sales(spark, d).select(F.explode(roles).alias("x")).groupBy("x.feature", "x.role").agg(F.count("*").alias("n"))
+
+
+@query
+def p13_normalize_feature_name(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("nom"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("PARAM_"), F.lower("p_type"))).otherwise(F.lower("p_type")).alias("x"))
+    return rows.groupBy("nom", clean.normalize_feature_name(F.col("x")).alias("feature")).agg(F.count("*").alias("n"))
+
+
+def _by_year(x):
+    return elasticity.demand_curve(x) * (1 + 0.02 * (x["PARAM_ANNEE"] - 1990))
+
+
+@query
+def e5_calendar_unit(spark, d):
+    rows = curve(spark, d).withColumn("PARAM_ANNEE", F.year("date").cast("double"))
+    return elasticity.perturb(rows, "PARAM_ANNEE", "cal_unit", _by_year, [*NAMES, "PARAM_ANNEE"])
+
+
+@query
+def e0_observations(spark, d):
+    return elasticity.observations(sales(spark, d), "tabular", ["PARAM_PRIX", "mois", "PARAM_ABSENT"])
+
+
+@query
+def e7_elasticities_of_model(spark, d):
+    """Elasticities of a fitted model: of the tabular observations, by a model of the history before them."""
+    seen = elasticity.observations(sales(spark, d), "tabular", FEATURES)
+    model = models.fit_model(_modelled(spark, d).filter("split = 'train'"), FEATURES)
+    return elasticity.elasticities(seen, FEATURES, model, FEATURES)
+
+
+@query
+def a10_first_nomenclature(spark, d):
+    return clean.first_nomenclature(sales(spark, d).withColumn("ID_NOMENCLATURE", F.when(F.dayofmonth("date") % 3 == 0, F.month("date"))))
+
+
+@query
+def a27_benchmark_summary(spark, d):
+    rows = naive(spark, d).withColumn("p1", F.lag("QUANTITE", 1).over(windows.by_date())).na.drop(subset=["p", "p1"])
+    error = lambda p: F.round(F.avg(F.abs(F.col(p) - F.col("QUANTITE"))), 4)
+    both = rows.groupBy(*K).agg(error("p").alias("MAE_perprod"), F.when(F.col("ID_SO") != 3, error("p1")).alias("MAE_global"))
+    return metrics.benchmark_summary(both).withColumn("delta_moyen", F.round("delta_moyen", 5))
+
+
+@query
+def a29_latest_training(spark, d):
+    rows = sales(spark, d).select(F.col("ID_PRODUIT").alias("id_produit"), F.col("ID_SO").alias("id_so"), F.trunc("date", "month").alias("date_entrainement"), F.when(F.weekday("date") == 0, "lundi").otherwise("autre").alias("model_name"), "QUANTITE")
+    log = rows.groupBy("id_produit", "id_so", "date_entrainement", "model_name").agg(F.round(F.stddev_pop("QUANTITE"), 6).alias("rmse_train"))
+    return clean.latest_training(log, best=True)
+
+
+@query
+def t8_compare_elasticities(spark, d):
+    ols = lambda rows, f: elasticity.ols_elasticity(rows, f).withColumn("feature", F.lit(f))
+    rows = sales(spark, d)
+    both = ols(rows, "PARAM_PRIX").unionByName(ols(rows, "PARAM_PROMO_1"))
+    return metrics.compare_elasticities({"ols": both, "promo": ols(rows.filter("PARAM_PROMO_1 > 0"), "PARAM_PRIX")})
+
+
+@query
+def w20_unscale_series(spark, d):
+    rows = sales(spark, d)
+    scaled = windows.scale_series(rows, "QUANTITE").drop("QUANTITE")
+    return windows.unscale_series(scaled, rows, "QUANTITE", "QUANTITE_scaled").select(*K, "date", *r(6, "QUANTITE"))
+
+
+@query
+def w21_holdout_slice(spark, d):
+    out = windows.holdout_slice(windows.direct_samples(dense(spark, d), ["PARAM_PROMO_1"]))
+    return out.select(*K, "_origin_date", "_target_date", "horizon", "y")
+
+
+@query
+def s14_forecast_json(spark, d):
+    return text.forecast_json(sales(spark, d).filter("year(date) = 1999"), "QUANTITE")
+
+
+@query
+def m13_boosted_early_stop(spark, d):
+    rows = _modelled(spark, d)
+    train = rows.filter("split = 'train'")
+    train = windows.split_with_purge(train.drop("split"), days=10).withColumn("_hold", F.col("split") == "test")
+    model = models.fit_boosted_early_stop(train, FEATURES, "_hold")
+    return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
+
+
+@query
+def m18_fitted_vs_future(spark, d):
+    rows = _modelled(spark, d)
+    past, future = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    return models.fitted_vs_future(models.fit_model(past, FEATURES), past, future).select(*K, "date", "kind", "prediction")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

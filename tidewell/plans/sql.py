@@ -67,7 +67,7 @@ _KEY = "ID_PRODUIT, ID_SO"
 _FULL = lambda n: f"CASE WHEN rn >= {n} THEN round(avg(QUANTITE) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 5) END AS mean_{n}, CASE WHEN rn >= {n} THEN round(var_samp(QUANTITE) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 5) END AS var_{n}"
 _CLIP = lambda e: f"greatest(-300.0, least(300.0, {e}))"
 _LONG = """SELECT ID_PRODUIT, ID_SO, '{f}' AS feature, round({sign}, 2) AS value, round(s, 2) AS std,
-  CASE WHEN abs({sign}) <= 1e-8 THEN 99.0 ELSE round(abs(s / v), 2) END AS cv, '{t}' AS type FROM {x}"""
+  CASE WHEN abs(round({sign}, 2)) <= 1e-8 THEN 99.0 ELSE round(abs(round(s, 2) / round({sign}, 2)) + 1e-9, 2) END AS cv, {t} AS type FROM {x}"""
 
 SQL = {
     "a1_series_stats": _d(f"SELECT {_KEY}, nb_records, nb_records_avec_vente, somme, round(moyenne_all, 6) AS moyenne_all, round(ecart_type_all, 6) AS ecart_type_all, round(moyenne_nz, 6) AS moyenne_nz, round(ecart_type_nz, 6) AS ecart_type_nz, round(ecart_type_all / moyenne_all, 6) AS cv_all, round(ecart_type_nz / moyenne_nz, 6) AS cv_nz FROM st", STATS),
@@ -125,15 +125,16 @@ SQL = {
     "e1_price_scenarios": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PRIX_' || i AS scenario, round(sum(greatest({_score('(l * g)')}, 0)), 4) AS total FROM (SELECT cv.*, l, unnest([0.88, 0.96, 1.04, 1.12, 1.20]) AS g, unnest([1, 2, 3, 4, 5]) AS i FROM cv JOIN (SELECT {_KEY}, max_by(PARAM_PRIX, date) AS l FROM sales GROUP BY 1, 2) USING ({_KEY})) GROUP BY 1, 2, 3",
     "e2_promo_scenarios": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PARAM_PROMO_1_POURCENT_' || (5 * i) AS scenario, round(sum({_score(promo='(i / 20)')}), 4) AS total FROM (SELECT *, unnest(range(0, 19)) AS i FROM cv) GROUP BY 1, 2, 3",
     "e7_elasticities": f"""WITH {SALES}{CURVE},
-w AS (SELECT abs(avg(PARAM_PRIX)) * 0.1 AS step, (SELECT median(PARAM_PROMO_1) FROM sales WHERE PARAM_PROMO_1 > 0) AS lev FROM sales),
-px AS (SELECT {_KEY}, avg(e) AS v, stddev_pop(e) AS s FROM (SELECT *, CASE WHEN y > 0.5 THEN {_CLIP('(u - d) / y / 0.1 / 2')} END AS e FROM (SELECT cv.*, {_score()} AS y, {_score('(PARAM_PRIX + step)')} AS u, CASE WHEN PARAM_PRIX - step > 0 THEN {_score('greatest(PARAM_PRIX - step, 1e-300)')} END AS d FROM cv, w)) GROUP BY 1, 2),
+w AS (SELECT avg(PARAM_PRIX) * 0.1 AS step, coalesce((SELECT median(PARAM_PROMO_1) FROM sales WHERE PARAM_PROMO_1 > 1e-8), 1.0) AS lev,
+      stddev_pop(PARAM_PRIX) >= 1e-6 AND NOT (abs(quantile_cont(PARAM_PRIX, 0.1)) > 1e-6 AND (quantile_cont(PARAM_PRIX, 0.9) - quantile_cont(PARAM_PRIX, 0.1)) / abs(quantile_cont(PARAM_PRIX, 0.1)) < 0.1) AS ok FROM sales),
+px AS (SELECT {_KEY}, avg(e) AS v, stddev_pop(e) AS s FROM (SELECT *, CASE WHEN y > 0.5 THEN {_CLIP('(u - d) / y / 0.2')} END AS e FROM (SELECT cv.*, {_score()} AS y, {_score('(PARAM_PRIX + step)')} AS u, CASE WHEN PARAM_PRIX - step > 0 THEN {_score('greatest(PARAM_PRIX - step, 1e-300)')} END AS d FROM cv, w WHERE ok) WHERE d IS NOT NULL) GROUP BY 1, 2),
 bx AS (SELECT {_KEY}, avg(e) AS v, stddev_pop(e) AS s FROM (SELECT *, CASE WHEN {_score(free='0.0')} > 0.5 THEN {_CLIP(f"({_score(free='1.0')} - {_score(free='0.0')}) / ({_score(free='0.0')}) * 100")} END AS e FROM cv) GROUP BY 1, 2),
-lift AS (SELECT {_KEY} FROM sales GROUP BY 1, 2 HAVING NOT coalesce(abs(avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 > 0) - avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 <= 0)) / greatest(avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 <= 0), 0.01) < 0.15, false)),
+lift AS (SELECT {_KEY} FROM sales GROUP BY 1, 2 HAVING NOT coalesce(abs(avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 > 1e-8) - avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 <= 1e-8)) / greatest(avg(QUANTITE) FILTER (WHERE PARAM_PROMO_1 <= 1e-8), 0.01) < 0.15, false)),
 pr AS (SELECT cv.*, lev, {_score()} AS y, {_score(promo='0.0')} AS off, {_score(promo='lev')} AS yon FROM cv JOIN lift USING ({_KEY}), w),
-pe AS (SELECT {_KEY}, CASE WHEN count(r) OVER ({P}) > 0 THEN r ELSE m END AS e FROM (SELECT *, CASE WHEN PARAM_PROMO_1 > 0 AND off > 0.5 THEN (y - off) / off * 100 END AS r, CASE WHEN y > 0.5 THEN (yon - y) / y * 100 END AS m FROM pr)),
-pc AS (SELECT {_KEY}, CASE WHEN n >= 20 THEN least(greatest(e, a), b) ELSE e END AS e FROM pe JOIN (SELECT {_KEY}, quantile_cont(e, 0.05) AS a, quantile_cont(e, 0.95) AS b, count(e) AS n FROM pe GROUP BY 1, 2) USING ({_KEY}) WHERE e IS NOT NULL),
-ppx AS (SELECT {_KEY}, greatest(-150.0, least(150.0, median(e))) AS v, (quantile_cont(e, 0.75) - quantile_cont(e, 0.25)) / 1.349 AS s FROM pc GROUP BY 1, 2)
-{_LONG.format(f='PARAM_PRIX', t='elasticite', x='px', sign='least(v, 0.0)')} UNION ALL {_LONG.format(f='PARAM_VACANCE', t='impact_binaire', x='bx', sign='v')} WHERE round(v, 2) <> 0 UNION ALL {_LONG.format(f='PARAM_PROMO_1', t='impact_promo', x='ppx', sign='v')}""",
+pe AS (SELECT {_KEY}, count(r) OVER ({P}) > 0 AS ran, CASE WHEN count(r) OVER ({P}) > 0 THEN r ELSE m END AS e FROM (SELECT *, CASE WHEN PARAM_PROMO_1 > 1e-8 AND off > 0.5 THEN (y - off) / off * 100 END AS r, CASE WHEN y > 0.5 THEN (yon - y) / y * 100 END AS m FROM pr)),
+pc AS (SELECT {_KEY}, ran, CASE WHEN n >= 20 THEN least(greatest(e, a), b) ELSE e END AS e FROM pe JOIN (SELECT {_KEY}, quantile_cont(e, 0.05) AS a, quantile_cont(e, 0.95) AS b, count(e) AS n FROM pe GROUP BY 1, 2) USING ({_KEY}) WHERE e IS NOT NULL),
+ppx AS (SELECT {_KEY}, CASE WHEN bool_or(ran) THEN 'impact_promo' ELSE 'impact_promo_simule' END AS t, greatest(-150.0, least(150.0, median(e))) AS v, (quantile_cont(e, 0.75) - quantile_cont(e, 0.25)) / 1.349 AS s FROM pc GROUP BY 1, 2)
+{_LONG.format(f='PARAM_PRIX', t="'elasticite'", x='px', sign='least(v, 0.0)')} WHERE round(least(v, 0.0), 2) <> 0 UNION ALL {_LONG.format(f='PARAM_VACANCE', t="'impact_binaire'", x='bx', sign='v')} WHERE round(v, 2) <> 0 UNION ALL {_LONG.format(f='PARAM_PROMO_1', t='t', x='ppx', sign='v')}""",
     "e10_ols_elasticity": _s(f"SELECT {_KEY}, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS value FROM sales GROUP BY 1, 2"),
     "e12_slope_pm10": f"WITH {SALES}{CURVE} SELECT {_KEY}, round(avg(({_score('(PARAM_PRIX * 1.1)')} - {_score('(PARAM_PRIX * 0.9)').replace('PARAM_PROMO_1', '(PARAM_PROMO_1)')}) / (PARAM_PRIX * 0.2)), 8) AS slope FROM cv GROUP BY 1, 2",
     "e13_attribution_share": _s(f", m AS (SELECT avg(PARAM_PRIX) AS a, avg(PARAM_PROMO_1) AS b, avg(PARAM_VACANCE) AS c FROM sales), t AS (SELECT {_KEY}, avg(abs(-0.01 * (PARAM_PRIX - a))) AS x, avg(abs(40.0 * (PARAM_PROMO_1 - b))) AS y, avg(abs(5.0 * (PARAM_VACANCE - c))) AS z FROM sales, m GROUP BY 1, 2) SELECT {_KEY}, feature, round(share, 5) AS share FROM (SELECT {_KEY}, unnest(['PARAM_PRIX', 'PARAM_PROMO_1', 'PARAM_VACANCE']) AS feature, unnest([x * 100 / (x + y + z), y * 100 / (x + y + z), z * 100 / (x + y + z)]) AS share FROM t) WHERE share > 0.01"),
@@ -178,3 +179,31 @@ SQL |= {
     "w14_split_at_fraction": _s(f"SELECT {_KEY}, k > floor(n * 0.75) AS is_test, count(*) AS n, min(date) AS d0 FROM (SELECT *, row_number() OVER ({W}) AS k, count(*) OVER ({P}) AS n FROM sales) GROUP BY 1, 2, 3"),
     "e18_product_profile": _d(f"SELECT o.ID_PRODUIT, o.ID_SO, value, profil FROM ({{ols}}) o JOIN ({{seg}}) s USING ({_KEY})").replace("{ols}", "SELECT ID_PRODUIT, ID_SO, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS value FROM sales GROUP BY 1, 2").replace("{seg}", SQL["a8_demand_segment"]),
 }
+
+# The roles that names have, one for each rule.
+ROLES = {
+    "PARAM_JS_1": "binary", "PARAM_VACANCE": "binary", "est_promo": "binary", "PARAM_PROMO_1": "promo", "PARAM_PRIX": "continuous", "discount_pct": "continuous", "log_prix": "continuous", "jour": "continuous", "weekend": "continuous",
+    "PARAM_ANNEE": "excluded", "PARAM_MOIS": "excluded", "dow": "excluded", "mois": "excluded", "semaine": "excluded", "jour_annee": "excluded", "sin_jour": "excluded", "cos_mois": "excluded", "y_origin_m7": "excluded", "roll_mean_28": "excluded", "mean_dow_today": "excluded", "ratio_dow": "excluded",
+}
+_EST = f"WITH {SALES}, m AS (SELECT date, {_KEY}, QUANTITE, strftime(date, '%Y-%m') AS mois FROM sales)"
+SQL |= {
+    "p1_coerce_numeric": "SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN CAST(p_size AS VARCHAR) || '.0' ELSE CAST(p_size AS VARCHAR) END AS DOUBLE) AS x FROM part",
+    "p2_date_from_parts": "WITH d AS (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) + o_orderkey % 4 AS j FROM orders) SELECT o_orderkey, CASE WHEN y >= 2000 AND j <= 31 AND TRY_CAST(y || '-' || m || '-' || j AS DATE) - DATE '1998-06-01' BETWEEN 0 AND 999 THEN TRY_CAST(y || '-' || m || '-' || j AS DATE) END AS date FROM d",
+    "p3_valid_sales": _s(f"SELECT {_KEY}, count(*) AS n, sum(QUANTITE) AS q FROM sales WHERE CAST(QUANTITE AS BIGINT) % 7 <> 0 AND ID_SO <> 2 GROUP BY 1, 2"),
+    "p4_usable_target": _s(f"SELECT {_KEY}, count(*) FILTER (WHERE QUANTITE >= 30) AS n_train, sum(QUANTITE - 30) FILTER (WHERE QUANTITE >= 30) AS q_train, count(*) AS n_clip, sum(greatest(QUANTITE - 30, 0.0)) AS q_clip FROM sales GROUP BY 1, 2"),
+    "p5_fill_or_drop_nulls": _d(f"SELECT {_KEY}, count(*) AS n_fill, count(PARAM_PRIX) AS n_drop, round(sum(PARAM_PROMO_1), 6) AS s FROM dense GROUP BY 1, 2"),
+    "p7_drop_uninformative": _d("SELECT c AS colonne FROM (SELECT unnest(['QUANTITE', 'PARAM_PRIX', 'PARAM_RARE', 'PARAM_STOCK']) AS c, unnest([count(DISTINCT QUANTITE) > 1 AND count(QUANTITE) >= count(*) * 0.5, count(DISTINCT PARAM_PRIX) > 1 AND count(PARAM_PRIX) >= count(*) * 0.5, count(DISTINCT PARAM_PRIX) FILTER (WHERE dayofmonth(date) = 1) > 1 AND count(PARAM_PRIX) FILTER (WHERE dayofmonth(date) = 1) >= count(*) * 0.5, false]) AS k FROM dense) WHERE k"),
+    "p10_align_features": _s(f"SELECT {_KEY}, date, 0.0::DOUBLE AS PARAM_ABSENT, PARAM_PROMO_1 FROM sales"),
+    "p12_feature_role": _s("SELECT feature, role, count(*) AS n FROM sales, (SELECT unnest([" + ", ".join(f"'{f}'" for f in ROLES) + "]) AS feature, unnest([" + ", ".join(f"'{r}'" for r in ROLES.values()) + "]) AS role) GROUP BY 1, 2"),
+    "p13_normalize_feature_name": "SELECT p_type AS nom, CASE WHEN p_partkey % 2 = 0 THEN 'PARAM_' || lower(p_type) ELSE 'PARAM_' || upper(p_type) END AS feature, count(*) AS n FROM part GROUP BY 1, 2",
+    "e5_calendar_unit": f"""WITH {SALES}{CURVE}, e AS (SELECT {_KEY}, CASE WHEN y > 0.5 THEN {_CLIP('(u - d) / y / 2 * 100')} END AS e FROM (SELECT {_KEY}, {_score()} * (1 + 0.02 * (year(date) - 1990)) AS y, {_score()} * (1 + 0.02 * (year(date) - 1989)) AS u, {_score()} * (1 + 0.02 * (year(date) - 1991)) AS d FROM cv)),
+x AS (SELECT {_KEY}, median(e) AS v, (quantile_cont(e, 0.75) - quantile_cont(e, 0.25)) / 1.349 AS s FROM e WHERE e IS NOT NULL GROUP BY 1, 2) {_LONG.format(f='PARAM_ANNEE', t="'impact_annuel'", x='x', sign='v')} WHERE round(v, 2) <> 0""",
+    "e0_observations": _s(f", r AS (SELECT * FROM sales WHERE (SELECT max(date) FROM sales) - date < 90), k AS (SELECT {_KEY} FROM r GROUP BY 1, 2 HAVING count(*) >= 30) SELECT {_KEY}, date, QUANTITE, PARAM_PRIX, CAST(month(date) AS INTEGER) AS mois, 0.0::DOUBLE AS PARAM_ABSENT FROM r JOIN k USING ({_KEY})"),
+    "a10_first_nomenclature": _s(f"SELECT {_KEY}, min_by(n, date) AS ID_NOMENCLATURE FROM (SELECT *, CASE WHEN dayofmonth(date) % 3 = 0 THEN CAST(month(date) AS INTEGER) END AS n FROM sales) WHERE n IS NOT NULL GROUP BY 1, 2"),
+    "a27_benchmark_summary": _d(f", e AS (SELECT {_KEY}, round(avg(abs(p - QUANTITE)), 4) AS a, round(avg(abs(q - QUANTITE)), 4) AS b FROM (SELECT *, lag(QUANTITE, 1) OVER ({W}) AS q FROM naive) WHERE p IS NOT NULL AND ID_SO <> 3 GROUP BY 1, 2) SELECT count(*) AS n, count(*) FILTER (WHERE round(a - b, 4) > 0) AS global_gagne, count(*) FILTER (WHERE round(a - b, 4) <= 0) AS perprod_gagne, round(avg(round(a - b, 4)), 5) AS delta_moyen FROM e", NAIVE),
+    "a29_latest_training": f"{_EST}, l AS (SELECT ID_PRODUIT AS id_produit, ID_SO AS id_so, date_trunc('month', date)::DATE AS d, round(stddev_pop(QUANTITE), 6) AS rmse, w AS model_name FROM (SELECT *, unnest(['lundi', 'autre']) AS w FROM m) WHERE (isodow(date) = 1) = (w = 'lundi') GROUP BY ALL) SELECT id_produit, id_so, d AS date_entrainement, model_name, rmse AS rmse_train FROM (SELECT *, row_number() OVER (PARTITION BY id_produit, id_so ORDER BY d DESC, rmse, model_name) AS k FROM l) WHERE k = 1",
+    "t8_compare_elasticities": _s(f", o AS (SELECT {_KEY}, f AS feature, CASE WHEN f = 'PARAM_PRIX' THEN round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) ELSE round(regr_slope(QUANTITE, PARAM_PROMO_1) * avg(PARAM_PROMO_1) / avg(QUANTITE) * 100, 2) END AS ols FROM sales, (SELECT unnest(['PARAM_PRIX', 'PARAM_PROMO_1']) AS f) GROUP BY 1, 2, 3), g AS (SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS promo FROM sales WHERE PARAM_PROMO_1 > 0 GROUP BY 1, 2) SELECT {_KEY}, feature, ols, promo FROM o FULL JOIN g USING ({_KEY}, feature)"),
+    "w20_unscale_series": _s(f"SELECT {_KEY}, date, round(QUANTITE, 6) AS QUANTITE FROM sales"),
+    "s14_forecast_json": _s(f"SELECT {_KEY}, '[' || string_agg('{{\"date\":\"' || strftime(date, '%d/%m/%Y') || '\",\"value\":\"' || CAST(QUANTITE AS VARCHAR) || '\"}}', ',' ORDER BY date) || ']' AS forecast FROM sales WHERE year(date) = 1999 GROUP BY 1, 2"),
+}
+SQL["w21_holdout_slice"] = f"WITH s AS ({SQL['m3_direct_samples']}) SELECT {_KEY}, _origin_date, _target_date, horizon, y FROM s WHERE NOT _is_test AND (SELECT max(_target_date) FROM s WHERE NOT _is_test) - _target_date < 10"

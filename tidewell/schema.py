@@ -13,22 +13,44 @@ ROLLING = [7, 28, 91]
 HORIZONS = [1, 2, 3, 7, 14, 21, 28, 45, 60, 75, 90]
 MIN_ROWS, STRIDE = 61, 7
 TEST_DAYS = 30
-NEGATIVE_SIGN = ["PARAM_PRIX", "PARAM_LOG_PRIX", "PARAM_PRIX_ACHAT", "PARAM_MARKUP_PCT"]
-POSITIVE_SIGN = ["PARAM_PRIX_VENTE_PROMO", "PARAM_DISCOUNT_PCT", "PARAM_RATIO_PROMO", "PARAM_EST_PROMO"]
 PRICE_GRIDS = {"a": [0.88, 0.96, 1.04, 1.12, 1.20], "b": [0.8, 0.9, 1.0, 1.1, 1.2], "c": [0.94, 0.98, 1.02, 1.06, 1.10]}
 PROMO_LEVELS = [i / 20 for i in range(19)]
 ORDINAL, TOTALS_BINARY, TOTALS_SKIPPED = {"PARAM_MOIS", "PARAM_JOUR_SEMAIN"}, {"PARAM_VACANCE", "PARAM_STOCK"}, {"PARAM_ANNEE", "PARAM_JOUR"}
 BINARY, CALENDAR_UNIT = {"PARAM_VACANCE", "est_promo"}, {"PARAM_ANNEE"}
-EXCLUDED = {"ID_PRODUIT", "ID_SO", "ID_NOMENCLATURE", "sb_class", "PARAM_MOIS", "PARAM_JOUR", "PARAM_JOUR_SEMAIN", "horizon", "PRIX_ACHAT01", "date", "QUANTITE"}
-EXCLUDED_PREFIXES = ("y_origin", "roll_", "trend_", "momentum_", "target_", "sin_", "cos_", "dow_", "cv_", "days_since_")
+
+# The sign that an elasticity may have ("max" 0 or "min" 0), and those that the audit looks at.
+SIGNS = {
+    "PARAM_PRIX": "max", "PARAM_LOG_PRIX": "max", "PARAM_PRIX_ACHAT": "max", "PARAM_MARKUP_PCT": "max",
+    "PARAM_PRIX_VENTE_PROMO": "min", "PARAM_DISCOUNT_PCT": "min", "PARAM_RATIO_PROMO": "min", "PARAM_EST_PROMO": "min",
+}
+AUDITED = ["PARAM_PRIX", "PARAM_LOG_PRIX", "PARAM_EST_PROMO", "PARAM_PRIX_VENTE_PROMO", "PARAM_DISCOUNT_PCT"]
+
+# Features without an elasticity, by full name and by prefix.
+EXCLUDED = {
+    "ID_PRODUIT", "ID_SO", "ID_NOMENCLATURE", "sb_class", "date", "QUANTITE",
+    "PARAM_ANNEE", "PARAM_MOIS", "PARAM_JOUR", "PARAM_JOUR_SEMAIN",
+    "dow", "month", "day_of_year", "mois", "semaine", "jour_annee", "horizon",
+    "dow_sin", "dow_cos", "month_sin", "month_cos", "day_sin", "day_cos",
+    "sin_doy", "cos_doy", "sin_dow", "cos_dow", "sin_month", "cos_month",
+    "sin_jour", "cos_jour", "sin_semaine", "cos_semaine", "sin_mois", "cos_mois",
+    "PRIX_ACHAT01",
+    "target_dow", "target_month", "target_day", "target_doy", "target_is_weekend", "target_week",
+    "days_since_sale", "cv_28", "trend_28",
+}
+EXCLUDED_PREFIXES = (
+    "y_origin_m", "y_origin",
+    "roll_mean_", "roll_std_", "roll_max_", "roll_min_", "roll_nonzero_ratio_", "roll_quantile_",
+    "trend_", "momentum_",
+    "ratio_dow", "ratio_month", "cv_month", "interaction_dow", "mean_dow_today", "mean_month_today", "std_month_today",
+)
 
 
 def feature_role(name: str) -> str:
-    """binary, promo, cal_unit, excluded or continuous, by exact name and prefix."""
+    """excluded, binary, promo, cal_unit or continuous: what is excluded comes first, so no calendar unit is left in practice."""
+    if name in EXCLUDED or name.startswith(EXCLUDED_PREFIXES):
+        return "excluded"
     if name in BINARY or name.startswith("PARAM_JS_"):
         return "binary"
     if name.startswith("PARAM_PROMO_"):
         return "promo"
-    if name in CALENDAR_UNIT:
-        return "cal_unit"
-    return "excluded" if name in EXCLUDED or name.startswith(EXCLUDED_PREFIXES) else "continuous"
+    return "cal_unit" if name in CALENDAR_UNIT else "continuous"

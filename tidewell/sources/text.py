@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -94,6 +95,24 @@ def to_kv_line(df: DataFrame, cols: list[str]) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.filter(F.array(*[part(c) for c in cols]), lambda x: x.isNotNull()), ", "), F.lit("}"))
 
 
+def write_kv_text(df: DataFrame, line: Column, path: str) -> None:
+    """All lines in one folder of text files, replaced each run."""
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_run_metadata(metrics: DataFrame, features: list[str], params: dict, history: DataFrame, path: str) -> None:
+    """One JSON object for each row of ``metrics`` (a class), with parameters, features and the dates of the history."""
+    span = history.agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+    facts = {"features": F.array(*[F.lit(f) for f in features]), "params": F.lit(json.dumps(params, sort_keys=True))}
+    metrics.crossJoin(F.broadcast(span)).withColumns(facts).write.mode("overwrite").json(path)
+
+
+def read_json_table(spark: SparkSession, path: str, schema: str | None = None, lines: bool = True) -> DataFrame:
+    """JSON objects by line, or with ``lines`` off one document per file; a schema saves a pass over the files."""
+    reader = spark.read.option("multiLine", not lines)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def write_kv_by_nomenclature(df: DataFrame, line: Column, path: str) -> DataFrame:
     """Text files by nomenclature, replaced each run; returns the index of couples."""
     named = df.withColumn("ID_NOMENCLATURE", F.coalesce(F.col("ID_NOMENCLATURE").cast("string"), F.lit("unknown")))
