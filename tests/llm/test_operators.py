@@ -116,7 +116,8 @@ def shingles(text, k):
 
 
 @pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_against_brute_force(spark, k):
+def test_near_duplicates_against_brute_force(spark, k, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 1000 if k == 2 else 5)
     r, words = vocabulary(3)
     base = [" ".join(r.choice(words) for _ in range(r.randint(1, 120))) for _ in range(40)]
     texts = list(base)

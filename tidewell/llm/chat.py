@@ -64,8 +64,8 @@ def collapse_and_render(log: DataFrame) -> DataFrame:
     once.  A null role or text equals the empty string, a null conv_id is a conversation
     of its own.  A conversation goes when its turns (role, text) are a proper prefix of
     another's; of equal ones the smallest conv_id stays (null last).  Up to 512 turns make
-    one part; chat of part 0, 1, ... joined by newlines is the whole.  Other columns are
-    ignored; an empty log gives no rows.
+    one part; chat of part 0, 1, ... joined by newlines is the whole.  Texts of any length
+    are kept whole; other columns are ignored; an empty log gives no rows.
     """
     turns = durable(number_turns(log), "chat-turns")
     ends = turns.groupBy(F.col("conv_id").alias("_id")).agg(F.max("pos").alias("n_turns"))

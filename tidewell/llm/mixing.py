@@ -53,7 +53,8 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (
     one row for each input row.  The document on which a budget ends is taken in
     part.  Null text counts 0 words, null source is a source of its own, a null
     doc_id is keyed as the empty string; ties of the key fall to doc_id, then size,
-    so that reruns agree, and repeated rows count each.  An empty table gives no rows.
+    so that reruns agree, and repeated rows count each.  Texts of any length are
+    counted whole.  An empty table gives no rows.
     """
     sized = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))

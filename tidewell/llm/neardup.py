@@ -28,6 +28,8 @@ BAND = 4
 SCALE, RATE = 1.001, 20.0
 #: Members of a bucket that meet another such part of it in one task.
 BUCKET_PART = 512
+#: Buckets of more than one in so many of all members meet their leader in a broadcast; there are fewer of them than this.
+HEAVY = 1000
 #: A candidate goes on if its estimate is at most so far below the threshold (over five deviations).
 SLACK = 0.2
 
@@ -203,6 +205,16 @@ def _likely(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np
     return left[keep], right[keep], value[keep]
 
 
+def _of_keys(members: DataFrame, keys: DataFrame, least: float, how: str = "inner") -> DataFrame:
+    """Members with what ``keys`` has for their bucket; ``keys`` has its size n, too.
+
+    Fewer than HEAVY buckets hold more than ``least`` = one in HEAVY of all members: these are
+    broadcast, so that no task gets all members of a hot bucket; the rest meet in a shuffle.
+    """
+    heavy, light = F.broadcast(keys.filter(F.col("n") > least).drop("n")), keys.filter(F.col("n") <= least).drop("n")
+    return members.filter(F.col("n") > least).join(heavy, "key", how).unionByName(members.filter(F.col("n") <= least).join(light, "key", how))
+
+
 def _left_over(members: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components in buckets that the leaders did not connect.
 
@@ -212,10 +224,11 @@ def _left_over(members: DataFrame, links: DataFrame, docs: DataFrame, classes: D
     those whose components have met by then are skipped, and only links come out: never
     more than there are classes.
     """
+    least = members.count() / HEAVY
     crowded = members.filter("n > 2").select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = crowded.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    apart = crowded.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.first("n").alias("n")).filter("x <> y").select("key", "n")
     rows = (
-        crowded.join(apart, "key", "left_semi")
+        _of_keys(crowded, apart, least, "left_semi")
         .join(classes.select("node", "n_shingles", "registers"), "node")
         .withColumn("parts", F.ceil(F.col("n") / BUCKET_PART).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -264,7 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for each input row.  Texts without words, or null, are linked with nothing; a null
     doc_id counts as the largest, is never the name of a group that has another, and is kept
     only where its group has no other name.  Repeated rows are one document and get the same
-    answer.  Equal sets are one class: copies cost one row each, and only classes are paired.
+    answer.  Texts of any length are taken whole, other columns do not matter, an empty table gives
+    no rows.  Equal sets are one class: copies cost one row each, and only classes are paired.
     In each bucket all classes are first verified against the one that meets most others, which
     connects a group of any size in linear work; what stays unconnected meets in bounded parts.
     """
@@ -277,8 +291,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = durable(bands.join(several, "key"), "neardup-members")
     # the class that meets most others leads its buckets: an original rather than one of its variants
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    leaders = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("leader")).select("key", F.col("leader.node").alias("leader"))
-    first = members.join(leaders, "key").filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    leaders = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("leader"), F.first("n").alias("n")).select("key", F.col("leader.node").alias("leader"), "n")
+    first = _of_keys(members, leaders, members.count() / HEAVY).filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = _verified(_plausible(first, classes, percent), docs, classes, k, percent)
     links = links.unionByName(_left_over(members, links, docs, classes, k, percent))
     rooted = classes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))

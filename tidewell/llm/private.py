@@ -130,7 +130,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, one row for
     each input row.  Null text counts as empty; an empty text has no spans and the digest
-    of the empty string.  Other columns are ignored, repeated rows are answered each.
+    of the empty string.  Other columns are ignored, repeated rows are answered each, texts of
+    any length are searched whole, and an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -518,6 +518,8 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CO
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for each input
     row.  Null text is empty, repeated rows are copies of each other, texts shorter than
     ``length`` lose nothing, a null doc_id is returned as such; an empty table gives no rows.
+    Texts of any length are taken whole, as a block of their own if need be; other columns
+    do not matter.
     Settled segments and starts of hot cores rest on 128-bit hashes of their bytes.
     """
     if length < 2 * WINDOW:
