@@ -18,10 +18,12 @@ def _days(day: Column) -> Column:
 def stream_series_stats(sales: DataFrame, first: str = "2018-01-01") -> DataFrame:
     """Running count, sum, squares and distinct days of each couple (complete or update mode).
 
-    Days are bits of one bitmap: 32768 days from ``first`` on; earlier or later ones are not counted.
+    Days are bits of one bitmap: 32768 days (89 years) from ``first`` on; a day outside ends
+    the query with an error, so none is left out in silence.
     """
     since = (F.datediff("date", F.lit(first).cast("date")) + 1).cast("long")
-    since = F.when(since.between(1, 32768), since)
+    outside = F.raise_error(F.concat(F.lit("day outside the bitmap: "), F.col("date").cast("string"))).cast("long")
+    since = F.when(since.isNull() | since.between(1, 32768), since).otherwise(outside)
     q = F.col("QUANTITE")
     return sales.groupBy(*K).agg(F.count("*").alias("n"), F.sum(q).alias("somme"), F.sum(F.when(q > 0, q * q)).alias("carres"), F.sum(F.when(q > 0, q)).alias("somme_nz"), F.count_if(q > 0).alias("n_nz"), _days(since).alias("nb_jours_obs"), _days(F.when(q > 0, since)).alias("nb_jours_demand"))
 
