@@ -213,8 +213,8 @@ def test_line_dedup_of_a_long_line(spark, heavy, monkeypatch):
     assert lines.drop_repeated_lines(docs(spark, texts), min_words=None).filter("n_removed > 0").count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_substrings_against_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "crowded"), [(4096, 512), (2, 512), (4096, 1), (4096, 3)])
+def test_substrings_against_brute_force(spark, hot, crowded, monkeypatch):
     monkeypatch.setattr(substrings, "MERGE_ROWS", 200)
     r, words = vocabulary(8)
     base = [" ".join(r.choice(words) for _ in range(r.randint(5, 300))) for _ in range(20)]
@@ -233,7 +233,7 @@ def test_substrings_against_brute_force(spark, hot, monkeypatch):
     count, raw = Counter(), [(t or "").encode() for t in texts]
     for b in raw:
         count.update(b[p : p + 400] for p in range(len(b) - 399))
-    got = {x["doc_id"]: x for x in substrings.repeated_substrings(docs(spark, texts).repartition(4), 400, hot).collect()}
+    got = {x["doc_id"]: x for x in substrings.repeated_substrings(docs(spark, texts).repartition(4), 400, hot, crowded).collect()}
     for i, b in enumerate(raw):
         gone = bytearray(len(b))
         for p in range(len(b) - 399):

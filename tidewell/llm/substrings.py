@@ -40,11 +40,13 @@ BUCKET_ANCHORS = 1 << 19
 MERGE_ROWS = 1 << 15
 #: Contexts of one core that may meet in a task; of more, each start is settled on its own.
 HOT_CONTEXTS = 4096
+#: Blocks that a core may lie in for its contexts to meet in a task; of a core in more, contexts are dealt by their own hash.
+CROWDED_BLOCKS = 512
 #: Segments from which splitters are drawn, at most.
 SPLITTER_ROWS = 2048
 SECOND_CODES = mix64(BYTE_CODES + np.uint64(77))
 
-_KEY = np.dtype([("core", "<u8"), ("x", "<u8"), ("y", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("d", "<u2"), ("several", "u1")])
+_KEY = np.dtype([("core", "<u8"), ("x", "<u8"), ("y", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("d", "<u2"), ("several", "u1"), ("crowded", "u1")])
 _LOCAL = np.dtype([("lo", "<u4"), ("n", "<u2"), ("key", "<u4")])
 _VERDICT = np.dtype([("lo", "<u4"), ("n", "<u2"), ("d", "<u2"), ("hot", "u1"), ("alone", "u1")])
 _ITEM = np.dtype([("lcp", "<u2"), ("tail", "<u2"), ("d", "<u2"), ("n", "<u2"), ("lo", "<u4"), ("block", "<u2"), ("alone", "u1")])
@@ -144,14 +146,22 @@ def _core_hashes(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
     return blocks.select("block", "lens", "data").mapInArrow(run, _PARTS)
 
 
-def _repeated_cores(pdf: pd.DataFrame) -> pd.DataFrame:
-    once = [np.frombuffer(x, "<u8") for x in pdf["data"]]
-    more = [np.frombuffer(x, "<u8") for x in pdf["more"]]
-    core, n = np.unique(np.concatenate(once + more + more), return_counts=True)
-    core = core[n > 1]
-    found = [np.concatenate([a[np.isin(a, core, assume_unique=True)], b]).tobytes() for a, b in zip(once, more)]
-    out = pd.DataFrame({"kind": "core", "block": pdf["block"], "part": 0, "data": found, "more": b""})
-    return out[out["data"].str.len() > 0]
+def _repeated_cores(crowded: int):
+    """The cores of a bucket that occur more than once: kind crowd if in over ``crowded`` blocks, else core."""
+
+    def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+        once = [np.frombuffer(x, "<u8") for x in pdf["data"]]
+        more = [np.frombuffer(x, "<u8") for x in pdf["more"]]
+        core, n = np.unique(np.concatenate(once + more), return_counts=True)
+        several = np.isin(core, np.concatenate(more))
+        out = []
+        for kind, which in (("core", ((n > 1) | several) & (n <= crowded)), ("crowd", n > crowded)):
+            found = [np.concatenate([x[np.isin(x, core[which], assume_unique=True)] for x in (a, b)]).tobytes() for a, b in zip(once, more)]
+            out.append(pd.DataFrame({"kind": kind, "block": pdf["block"], "part": 0, "data": found, "more": b""}))
+        out = pd.concat(out)
+        return out[out["data"].str.len() > 0]
+
+    return repeated
 
 
 def _with_parts(blocks: DataFrame, parts: DataFrame, how: str = "inner") -> DataFrame:
@@ -160,8 +170,11 @@ def _with_parts(blocks: DataFrame, parts: DataFrame, how: str = "inner") -> Data
     return blocks.join(found, "block", how)
 
 
-def _by_key(block: int, tag: str, buckets: int, core, x, y, lo, n, d) -> list[tuple]:
-    """Local rows (which key each segment has) and one row of distinct keys for each bucket."""
+def _by_key(block: int, tag: str, buckets: int, core, x, y, lo, n, d, crowded) -> list[tuple]:
+    """Local rows (which key each segment has) and one row of distinct keys for each bucket.
+
+    Keys of a core meet in its bucket, those of a crowded core in the bucket of their context.
+    """
     order = np.lexsort((y, x, core))
     new = np.ones(len(order), bool)
     new[1:] = (core[order][1:] != core[order][:-1]) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
@@ -172,10 +185,10 @@ def _by_key(block: int, tag: str, buckets: int, core, x, y, lo, n, d) -> list[tu
     local = np.zeros(len(order), _LOCAL)
     local["lo"], local["n"], local["key"] = lo, n, lo[first][key]
     keys = np.zeros(len(first), _KEY)
-    for name, values in (("core", core), ("x", x), ("y", y), ("lo", lo), ("n", n), ("d", d)):
+    for name, values in (("core", core), ("x", x), ("y", y), ("lo", lo), ("n", n), ("d", d), ("crowded", crowded)):
         keys[name] = values[first]
     keys["several"] = count > 1
-    part = keys["core"] % np.uint64(buckets)
+    part = np.where(keys["crowded"] > 0, mix64(keys["x"]), keys["core"]) % np.uint64(buckets)
     rows = [(f"local{tag}", block, -1, local.tobytes(), b"")]
     order = np.argsort(part, kind="stable")
     held, cuts = np.unique(part[order], return_index=True)
@@ -192,18 +205,23 @@ def _contexts(joined: DataFrame, length: int, buckets: int) -> DataFrame:
                 at, lo, hi = segments(data, offsets, length)
                 h = prefix_hash(BYTE_CODES[data])
                 core = window_hash(h, at, at + length - WINDOW + 1)
-                keep = np.isin(core, np.concatenate([np.frombuffer(f["data"], "<u8") for f in found]))
-                at, lo, hi, core = at[keep], lo[keep], hi[keep], core[keep]
+                known = {kind: np.frombuffer(b"".join(f["data"] for f in found if f["kind"] == kind), "<u8") for kind in ("core", "crowd")}
+                crowded = np.isin(core, known["crowd"])
+                keep = crowded | np.isin(core, known["core"])
+                at, lo, hi, core, crowded = at[keep], lo[keep], hi[keep], core[keep], crowded[keep]
                 if len(at):
                     x = window_hash(h, lo, hi + length)
                     y = window_hash(prefix_hash(SECOND_CODES[data]), lo, hi + length)
-                    yield _parts(_by_key(block, "", buckets, core, x, y, lo, hi - lo + 1, at - lo))
+                    yield _parts(_by_key(block, "", buckets, core, x, y, lo, hi - lo + 1, at - lo, crowded))
 
     return joined.select("block", "lens", "data", "found").mapInArrow(run, _PARTS)
 
 
 def _judge(hot: int, tag: str):
-    """Of the keys of a bucket: those that occur more than once, and those that share only the core."""
+    """Of the keys of a bucket: those that occur more than once, and those that share only the core.
+
+    Other contexts of a crowded core lie in other buckets: each may share the core, and is hot.
+    """
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         each = [np.frombuffer(x, _KEY) for x in pdf["data"]]
@@ -219,17 +237,18 @@ def _judge(hot: int, tag: str):
         contexts = np.bincount(core, new)
         rows = []
         settled = many[group]
-        open_ = new & (contexts[core] > 1)
+        heavy = (contexts[core] > hot) | (key["crowded"] > 0)
+        open_ = new & ((contexts[core] > 1) | heavy)
         verdict = np.zeros(len(key), _VERDICT)
         for name in ("lo", "n", "d"):
             verdict[name] = key[name]
-        verdict["hot"], verdict["alone"] = contexts[core] > hot, ~settled
+        verdict["hot"], verdict["alone"] = heavy, ~settled
         for kind, which in ((f"settled{tag}", settled), ("open", open_ if not tag else open_ & False)):
             picked = np.flatnonzero(which)
             picked = picked[np.argsort(of[picked], kind="stable")]
             for i in np.unique(of[picked]):
                 own = picked[of[picked] == i]
-                rows.append((kind, int(pdf["block"].iloc[i]), int((contexts[core[own]] > hot).sum()), (key["lo"][own] if tag or kind == "settled" else verdict[own]).tobytes(), b""))
+                rows.append((kind, int(pdf["block"].iloc[i]), int(heavy[own].sum()), (key["lo"][own] if tag or kind == "settled" else verdict[own]).tobytes(), b""))
         return pd.DataFrame(rows, columns=["kind", "block", "part", "data", "more"])
 
     return judge
@@ -300,7 +319,7 @@ def _runs(joined: DataFrame, length: int, splitters: list[bytes], buckets: int)
                     start = np.repeat(seg["lo"].astype(np.int64) - np.concatenate([[0], np.cumsum(seg["n"].astype(np.int64))[:-1]]), seg["n"]) + np.arange(total)
                     x = window_hash(prefix_hash(BYTE_CODES[data]), start, start + length)
                     y = window_hash(prefix_hash(SECOND_CODES[data]), start, start + length)
-                    yield _parts(_by_key(block, "_hot", buckets, x, x, y, start, np.ones(total, np.int64), np.zeros(total, np.int64)))
+                    yield _parts(_by_key(block, "_hot", buckets, x, x, y, start, np.ones(total, np.int64), np.zeros(total, np.int64), np.zeros(total, bool)))
         yield from code(items, owners)
 
     return joined.select("block", "lens", "data", "found").mapInArrow(run, _PARTS)
@@ -510,7 +529,7 @@ def _splitters(opened: DataFrame, blocks: DataFrame, length: int, parts: int) ->
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS, crowded: int = CROWDED_BLOCKS) -> DataFrame:
     """What stays of each text when every byte goes that a repeated string covers.
 
     A byte goes if it lies in a string of ``length`` UTF-8 bytes that also starts anywhere
@@ -520,7 +539,9 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CO
     ``length`` lose nothing, a null doc_id is returned as such; an empty table gives no rows.
     Texts of any length are taken whole, as a block of their own if need be; other columns
     do not matter.
-    Settled segments and starts of hot cores rest on 128-bit hashes of their bytes.
+    Settled segments and starts of hot cores rest on 128-bit hashes of their bytes.  No task
+    gets all contexts of a core that lies in over ``crowded`` blocks; its starts are settled
+    one by one, each where all strings of its hash meet.
     """
     if length < 2 * WINDOW:
         raise ValueError(f"length must be at least {2 * WINDOW}")
@@ -532,7 +553,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CO
     blocks = spark.table(name)
     # a bucket holds one blob of each block: tasks that meet to hold few of them
     parts = _core_hashes(blocks, length, buckets)
-    cores = parts.groupBy("part").applyInPandas(_repeated_cores, _PARTS)
+    cores = parts.groupBy("part").applyInPandas(_repeated_cores(crowded), _PARTS)
     contexts = durable(_contexts(_with_parts(blocks, cores), length, buckets), "substring-contexts")
     verdicts = durable(contexts.filter("kind = 'key'").groupBy("part").applyInPandas(_judge(hot, ""), _PARTS), "substring-verdicts")
     opened = verdicts.filter("kind = 'open'")
