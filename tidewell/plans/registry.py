@@ -7,15 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.folders import new_folder
 from tidewell.functions.ship import ship
 from tidewell.plans.sql import ROLES, SQL
 from tidewell.functions import features as ft
 from tidewell.operators import clean, demand, elasticity, metrics, models, totals, windows
 from tidewell.schema import CLASSES, K, PRICE_GRIDS, PROMO_LEVELS, feature_role
 from tidewell.sources import text
+from tidewell.streaming import stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -731,6 +735,121 @@ def m18_fitted_vs_future(spark, d):
     return models.fitted_vs_future(models.fit_model(past, FEATURES), past, future).select(*K, "date", "kind", "prediction")
 
 
+@query
+def s1_kv_text(spark, d):
+    """Sales written as key-value lines and read again."""
+    rows, path = sales(spark, d), new_folder(spark, "kv")
+    text.write_kv_text(rows, text.to_kv_line(rows, [*K, "QUANTITE", "PARAM_PROMO_1"]), path)
+    kv = F.col("kv")
+    return text.read_kv_text(spark, path).groupBy(kv["ID_PRODUIT"].alias("ID_PRODUIT"), kv["ID_SO"].cast("int").alias("ID_SO")).agg(F.count("*").alias("n"), F.sum(kv["QUANTITE"].cast("double")).alias("q"), F.round(F.sum(kv["PARAM_PROMO_1"].cast("double")), 4).alias("s"))
+
+
+@query
+def s4_semicolon_csv(spark, d):
+    """Sales written as CSV and read again."""
+    path = new_folder(spark, "csv")
+    text.write_semicolon_csv(sales(spark, d).select(*K, "date", "QUANTITE"), path)
+    return text.read_semicolon_csv(spark, path, "ID_PRODUIT string, ID_SO int, date date, QUANTITE double")
+
+
+@query
+def s5_series_class(spark, d):
+    """Couples of part and supplier with a class by their number of lines, written as CSV and read as a class file."""
+    path = new_folder(spark, "classes")
+    couples = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("ID_PRODUIT"), F.col("l_suppkey").alias("ID_SO")).count()
+    text.write_semicolon_csv(couples.select(*K, F.when(F.col("count") >= 8, "smooth").otherwise("lumpy").alias("classification")), path)
+    return text.read_series_class(spark, path)
+
+
+@query
+def s7_by_class(spark, d):
+    """The statistics report written in a folder for each class and read again."""
+    path = new_folder(spark, "by-class")
+    text.write_by_class(demand.sales_stats_report(dense(spark, d)).withColumnRenamed("profil_demande", "sb_class"), path)
+    return spark.read.parquet(path).select(*K, "sb_class", "nb_records", "somme")
+
+
+@query
+def s8_sample_cache(spark, d):
+    """Rows cached by class and split; the second call must find them."""
+    path = new_folder(spark, "samples")
+    build = lambda: sales(spark, d).select(*K, "QUANTITE", F.when(F.col("QUANTITE") > 50, "erratic").otherwise("smooth").alias("sb_class"), F.when(F.year("date") >= 1998, 1).otherwise(0).alias("is_test"))
+    text.sample_cache(spark, path, build)
+    again = text.sample_cache(spark, path, lambda: build().limit(0))
+    return again.groupBy("sb_class", "is_test").agg(F.count("*").alias("n"), F.sum("QUANTITE").alias("q"))
+
+
+@query
+def s11_kv_by_nomenclature(spark, d):
+    """The index of couples by nomenclature, with the lines that the files hold of each."""
+    rows, path = sales(spark, d).withColumn("ID_NOMENCLATURE", F.when(F.col("ID_SO") != 2, F.col("ID_SO") * 100)), new_folder(spark, "kv-nomenclature")
+    index = text.write_kv_by_nomenclature(rows, text.to_kv_line(rows, [*K, "QUANTITE"]), path)
+    kv = F.col("kv")
+    held = text.read_kv_text(spark, f"{path}/*").groupBy(kv["ID_PRODUIT"].alias("ID_PRODUIT"), kv["ID_SO"].cast("int").alias("ID_SO")).agg(F.count("*").alias("n"))
+    return index.join(held, K)
+
+
+@query
+def s13_payloads(spark, d):
+    """Requests of couples of part and supplier, written as JSON and read as history rows; negative quantities become 0."""
+    path = new_folder(spark, "payloads")
+    day = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("ID_PRODUIT"), F.col("l_suppkey").alias("ID_SO"), F.col("l_shipdate").cast("date").alias("date")).agg((F.sum("l_quantity") - 20).alias("q"))
+    lists = day.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("date", F.col("q").cast("string").alias("q")))).alias("rows"))
+    histo = F.transform("rows.date", lambda x: F.create_map(F.lit("DATE_IMPORT"), F.date_format(x, "dd/MM/yyyy")))
+    lists.select(*K, histo.alias("LIST_HISTO"), F.col("rows.q").alias("LIST_QUANTITE")).write.json(path)
+    return text.read_payloads(spark, path).select(*K, "date", "QUANTITE")
+
+
+@query
+def s16_run_metadata(spark, d):
+    """One JSON object for each class of the history, written and read as a table."""
+    path, rows = new_folder(spark, "metadata"), dense(spark, d)
+    counts = demand.sales_stats_report(rows).groupBy("profil_demande").agg(F.count("*").alias("n"), F.sum("nb_records").alias("lignes"))
+    text.write_run_metadata(counts, NAMES, {"depth": 4}, rows, path)
+    schema = "profil_demande string, n long, lignes long, date_min date, date_max date, features array<string>, params string"
+    return text.read_json_table(spark, path, schema).select("profil_demande", "n", "lignes", "date_min", "date_max", F.array_join("features", ",").alias("features"), "params")
+
+
+@query
+def p11_select_sales_columns(spark, d):
+    return clean.select_sales_columns(sales(spark, d), [*K, "date", "PARAM_ABSENT", "QUANTITE"])
+
+
+@query
+def r2_stream_class_updates(spark, d):
+    """Sales that arrive file by file: statistics and class of each couple after the last batch."""
+    into, out = new_folder(spark, "stream-in"), new_folder(spark, "stream-out")
+    rows = dense(spark, d).select(*K, "date", "QUANTITE")
+    rows.repartition(6, "date").write.parquet(into)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(into)
+    stats.stream_class_updates(stream, out, new_folder(spark, "stream-state"), "1990-01-01").awaitTermination()
+    return spark.read.parquet(out).select(*K, "profil_demande", "n", "somme", "carres", "somme_nz", "n_nz", "nb_jours_obs", "nb_jours_demand")
+
+
+@query
+def r3_stream_daily_demand(spark, d):
+    """Daily totals that the watermark has closed."""
+    into, out = new_folder(spark, "events-in"), new_folder(spark, "events-out")
+    events = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "user_id", "value")
+    events.write.parquet(into)
+    daily = stats.stream_daily_demand(spark.readStream.schema(events.schema).parquet(into))
+    daily = daily.select(F.col("window.start").cast("date").alias("day"), "event_type", "user_id", "total", "n")
+    daily.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "events-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(daily.schema).parquet(out).withColumn("total", F.round("total", 4))
+
+
+@query
+def r4_stream_score(spark, d):
+    """Rows of the last year, scored as they arrive by a line on the price that the years before fitted."""
+    rows = sales(spark, d).select(*K, "date", "QUANTITE", "PARAM_PRIX")
+    model = Pipeline(stages=[models.assemble(["PARAM_PRIX"]), LinearRegression(labelCol="QUANTITE", solver="normal")]).fit(rows.filter("year(date) < 1998"))
+    into, out = new_folder(spark, "score-in"), new_folder(spark, "score-out")
+    rows.filter("year(date) >= 1998").write.parquet(into)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(into)
+    stats.stream_score(stream, model, out, new_folder(spark, "score-state")).awaitTermination()
+    return spark.read.parquet(out).select(*K, "date", F.round("prediction", 4).alias("prediction"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

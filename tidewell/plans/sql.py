@@ -207,3 +207,18 @@ x AS (SELECT {_KEY}, median(e) AS v, (quantile_cont(e, 0.75) - quantile_cont(e,
     "s14_forecast_json": _s(f"SELECT {_KEY}, '[' || string_agg('{{\"date\":\"' || strftime(date, '%d/%m/%Y') || '\",\"value\":\"' || CAST(QUANTITE AS VARCHAR) || '\"}}', ',' ORDER BY date) || ']' AS forecast FROM sales WHERE year(date) = 1999 GROUP BY 1, 2"),
 }
 SQL["w21_holdout_slice"] = f"WITH s AS ({SQL['m3_direct_samples']}) SELECT {_KEY}, _origin_date, _target_date, horizon, y FROM s WHERE NOT _is_test AND (SELECT max(_target_date) FROM s WHERE NOT _is_test) - _target_date < 10"
+_LINES = "SELECT l_partkey AS ID_PRODUIT, l_suppkey AS ID_SO, CAST(l_shipdate AS DATE) AS date, l_quantity AS q FROM lineitem"
+SQL |= {
+    "s1_kv_text": _s(f"SELECT {_KEY}, count(*) AS n, sum(QUANTITE) AS q, round(sum(PARAM_PROMO_1), 4) AS s FROM sales GROUP BY 1, 2"),
+    "s4_semicolon_csv": _s(f"SELECT {_KEY}, date, QUANTITE FROM sales"),
+    "s5_series_class": f"SELECT {_KEY}, CASE WHEN count(*) >= 8 THEN 'smooth' ELSE 'lumpy' END AS classification FROM ({_LINES}) GROUP BY 1, 2",
+    "s7_by_class": _d(f"SELECT {_KEY}, profil_demande AS sb_class, nb_records, round(somme, 2) AS somme FROM rep", STATS),
+    "s8_sample_cache": _s("SELECT CASE WHEN QUANTITE > 50 THEN 'erratic' ELSE 'smooth' END AS sb_class, CAST(year(date) >= 1998 AS INTEGER) AS is_test, count(*) AS n, sum(QUANTITE) AS q FROM sales GROUP BY 1, 2"),
+    "s11_kv_by_nomenclature": _s(f"SELECT {_KEY}, CASE WHEN ID_SO = 2 THEN 'unknown' ELSE CAST(ID_SO * 100 AS VARCHAR) END AS ID_NOMENCLATURE, count(*) AS n FROM sales GROUP BY 1, 2, 3"),
+    "s13_payloads": f"SELECT {_KEY}, date, greatest(sum(q) - 20, 0.0) AS QUANTITE FROM ({_LINES}) GROUP BY 1, 2, 3",
+    "s16_run_metadata": _d("SELECT profil_demande, count(*) AS n, CAST(sum(nb_records) AS BIGINT) AS lignes, (SELECT min(date) FROM sales) AS date_min, (SELECT max(date) FROM sales) AS date_max, 'PARAM_PRIX,PARAM_PROMO_1,PARAM_VACANCE' AS features, '{\"depth\": 4}' AS params FROM rep GROUP BY 1", STATS),
+    "p11_select_sales_columns": _s(f"SELECT {_KEY}, date, QUANTITE, PARAM_PROMO_1 FROM sales"),
+    "r2_stream_class_updates": _d(f"SELECT {_KEY}, profil_demande, nb_records AS n, somme, (SELECT sum(QUANTITE * QUANTITE) FROM dense x WHERE x.ID_PRODUIT = rep.ID_PRODUIT AND x.ID_SO = rep.ID_SO) AS carres, somme AS somme_nz, nb_records_avec_vente AS n_nz, nb_jours_obs, nb_jours_demand FROM rep", STATS),
+    "r3_stream_daily_demand": "SELECT CAST(ts AS DATE) AS day, event_type, user_id, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
+    "r4_stream_score": _s(f", l AS (SELECT regr_slope(QUANTITE, PARAM_PRIX) AS b, regr_intercept(QUANTITE, PARAM_PRIX) AS a FROM sales WHERE year(date) < 1998) SELECT {_KEY}, date, round(greatest(a + b * PARAM_PRIX, 0.0), 4) AS prediction FROM sales, l WHERE year(date) >= 1998"),
+}

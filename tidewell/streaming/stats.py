@@ -34,13 +34,13 @@ def running_class(stats: DataFrame) -> DataFrame:
     return stats.withColumn("profil_demande", classify_demand(F.try_divide("nb_jours_obs", "nb_jours_demand"), F.try_divide(var, mean * mean)))
 
 
-def stream_class_updates(sales: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Classes rewritten after each batch, by class."""
+def stream_class_updates(sales: DataFrame, path: str, checkpoint: str, first: str = "2018-01-01") -> StreamingQuery:
+    """Classes rewritten after each batch, by class; no day is before ``first``."""
 
     def upsert(batch: DataFrame, _: int) -> None:
         running_class(batch).write.mode("overwrite").partitionBy("profil_demande").parquet(path)
 
-    return stream_series_stats(sales).writeStream.outputMode("complete").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_series_stats(sales, first).writeStream.outputMode("complete").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_daily_demand(events: DataFrame, late: str = "2 days") -> DataFrame:
