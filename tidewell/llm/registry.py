@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.functions.ship import ship
-from tidewell.llm import chat, decontaminate, language, lines, mixing, neardup, private, substrings, topk, toxicity
+from tidewell.llm import centroids, chat, decontaminate, jaccard, language, lines, mixing, neardup, negatives, private, substrings, topk, toxicity
 
 _QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -20,6 +20,9 @@ _QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
+    "op11_jaccard_join": jaccard.op11_jaccard_join,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 
@@ -28,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op2_top_k": topk.SQL, "op6_line_dedup": lines.SQL, "op10_chat": chat.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_top_k": topk.SQL, "op6_line_dedup": lines.SQL, "op10_chat": chat.SQL, "op11_jaccard_join": jaccard.SQL, "op12_hard_negatives": negatives.SQL, "op13_centroids": centroids.SQL}
