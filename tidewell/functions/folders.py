@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,43 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there, and nothing is computed twice."""
+    path = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers see all of it or nothing: a hidden file is renamed."""
+    folder, name = path.rsplit("/", 1)
+    (fs, at), (_, hidden) = _at(spark, path), _at(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    out = fs.create(hidden, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(hidden, at):
+        raise OSError(f"could not name {path}")
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of what a folder holds, hidden ones left out; a missing folder is empty."""
+    fs, at = _at(spark, path)
+    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(at)) if not n.startswith(".")) if fs.exists(at) else []
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)

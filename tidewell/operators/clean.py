@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,23 @@ def valid_sales(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ID_PRODUIT").isNotNull() & F.col("ID_SO").isNotNull() & F.col("QUANTITE").isNotNull())
 
 
+def counted_ingest(raw: DataFrame, name: str | Observation, first: str = "2018-01-01", days: int = 3660) -> DataFrame:
+    """Dated sales of raw rows with the columns PARAM_ANNEE, PARAM_MOIS and PARAM_JOUR (numbers or text).
+
+    Rows without product, store or quantity are left out; a date that is not real or not in the window becomes null.
+    Counters are taken in the same pass, in batch or stream, under ``name`` or an Observation:
+    lignes, sans_produit (no product or quantity), sans_so (of the others, no store) and
+    dates_invalides (of the valid rows).  They count each time that Spark reads the rows, which a sort does twice:
+    write the result first.
+    """
+    part = lambda c: F.col(c).try_cast("double").cast("int")
+    dated = raw.withColumn("date", date_from_parts(part("PARAM_ANNEE"), part("PARAM_MOIS"), part("PARAM_JOUR"), first, days))
+    known = F.col("ID_PRODUIT").isNotNull() & F.col("QUANTITE").isNotNull()
+    placed = known & F.col("ID_SO").isNotNull()
+    counters = {"lignes": F.lit(True), "sans_produit": ~known, "sans_so": known & ~placed, "dates_invalides": placed & F.col("date").isNull()}
+    return valid_sales(dated.observe(name, *[F.count_if(c).alias(n) for n, c in counters.items()]))
+
+
 def usable_target(df: DataFrame, clip: bool = False) -> DataFrame:
     """Dated rows with a target of at least 0; with ``clip`` negative targets become 0."""
     if clip:

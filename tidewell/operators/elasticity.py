@@ -11,14 +11,16 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Transformer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.folders import durable
 from tidewell.functions.features import build_features, safe_cv
 from tidewell.operators.clean import align_features, business_sign_clip, history_window
-from tidewell.operators.quantiles import exact_quantiles
+from tidewell.operators.least_squares import business_sign
+from tidewell.operators.quantiles import quantiles_and
 from tidewell.operators.windows import direct_samples
-from tidewell.schema import HORIZONS, K, MIN_PROMO_LIFT, MIN_RANGE, feature_role
+from tidewell.schema import HORIZONS, K, MIN_PROMO_LIFT, MIN_RANGE, feature_role, has_share
 
 Scorer = Callable[[dict[str, Column]], Column]
 # The clip of effects, and the prediction from which on effects count.
@@ -27,9 +29,10 @@ CLIP, MIN_PREDICTION = 300.0, 0.5
 
 def log_linear(df: DataFrame) -> DataFrame:
     """Per couple, the demand curve ln q = a + b ln price of its history: columns _a and _b."""
-    q, p = F.ln("QUANTITE"), F.ln("PARAM_PRIX")
-    curve = df.filter("QUANTITE > 0 and PARAM_PRIX > 0").groupBy(*K).agg(F.regr_intercept(q, p).alias("_a"), F.regr_slope(q, p).alias("_b"))
-    return df.join(curve, K)
+    some = (F.col("QUANTITE") > 0) & (F.col("PARAM_PRIX") > 0)
+    q, p, w = F.when(some, F.ln("QUANTITE")), F.when(some, F.ln("PARAM_PRIX")), Window.partitionBy(*K)
+    curve = df.withColumns({"_a": F.regr_intercept(q, p).over(w), "_b": F.regr_slope(q, p).over(w), "_some": F.count_if(some).over(w)})
+    return curve.filter("_some > 0").drop("_some")
 
 
 def demand_curve(x: dict[str, Column]) -> Column:
@@ -57,20 +60,46 @@ def with_predictions(df: DataFrame, variants: dict[str, dict[str, Column]], scor
     return df
 
 
-def price_scenarios(df: DataFrame, grid: list[float], scorer: Scorer, names: list[str]) -> DataFrame:
-    """Predicted demand of each row at ``grid`` times its couple's last price; keys PRIX_1, PRIX_2, …."""
-    last = df.groupBy(*K).agg(F.max_by("PARAM_PRIX", "date").alias("_last"))
-    levels = F.explode(F.array(*[F.struct(F.lit(f"PRIX_{i}").alias("scenario"), F.lit(g).alias("g")) for i, g in enumerate(grid, 1)]))
-    rows = df.join(last, K).withColumn("_s", levels).withColumn("_price", F.col("_last") * F.col("_s.g"))
-    y = scorer({n: F.col("_price") if n == "PARAM_PRIX" else F.col(n) for n in names})
-    return rows.select(*K, "date", F.col("_s.scenario").alias("scenario"), F.greatest(y, F.lit(0.0)).alias("prediction"))
+def price_levels(df: DataFrame, levels: list[float] | int) -> DataFrame:
+    """The price levels of each couple, as an array _prices: shares of its last price, or so many steps from its lowest to its highest."""
+    if isinstance(levels, int):
+        low, high = F.min("PARAM_PRIX"), F.max("PARAM_PRIX")
+        return df.groupBy(*K).agg(F.array(*[low + (high - low) * i / (levels - 1) for i in range(levels)]).alias("_prices"))
+    last = F.max_by("PARAM_PRIX", "date")
+    return df.groupBy(*K).agg(F.array(*[last * g for g in levels]).alias("_prices"))
 
 
-def promo_scenarios(df: DataFrame, levels: list[float], scorer: Scorer, names: list[str], promo: str = "PARAM_PROMO_1") -> DataFrame:
-    steps = F.explode(F.array(*[F.struct(F.lit(f"{promo}_POURCENT_{int(100 * v)}").alias("scenario"), F.lit(v).alias("v")) for v in levels]))
-    rows = df.withColumn("_s", steps)
-    y = scorer({n: F.col("_s.v") if n == promo else F.col(n) for n in names})
-    return rows.select(*K, "date", F.col("_s.scenario").alias("scenario"), F.greatest(y, F.lit(0.0)).alias("prediction"))
+def _scenarios(rows: DataFrame, change: dict[str, Column], scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
+    """Predicted demand, at least 0, of exploded rows that name their _scenario."""
+    scored = with_predictions(rows, {"_p": change}, scorer, names)
+    return scored.select(*K, "date", F.col("_scenario").alias("scenario"), F.greatest("_p", F.lit(0.0)).alias("prediction"))
+
+
+def price_scenarios(df: DataFrame, grid: list[float] | int, scorer: Scorer | Transformer, names: list[str], history: DataFrame | None = None) -> DataFrame:
+    """Predicted demand of each row at each price level of its couple; keys PRIX_1, PRIX_2, ….
+
+    ``grid`` holds shares of the last price, or is the number of evenly spaced levels from the
+    lowest to the highest price; both are those of ``history`` (by default of the rows themselves).
+    The scorer is a column expression or a fitted model.
+    """
+    rows = df.join(price_levels(df if history is None else history, grid), K)
+    rows = rows.select("*", F.posexplode("_prices").alias("_i", "_price")).withColumn("_scenario", F.concat(F.lit("PRIX_"), F.col("_i") + 1)).drop("_prices", "_i")
+    return _scenarios(rows, {"PARAM_PRIX": F.col("_price")}, scorer, names)
+
+
+def promo_scenarios(df: DataFrame, levels: list[float], scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
+    """Predicted demand of each row at each level of each promotion of ``names``; keys {promotion}_POURCENT_{percent}.
+
+    Where no name starts with PARAM_PROMO_, the column PARAM_PROMO takes the levels, with the keys PROMO_{percent}.
+    """
+    promos = [n for n in names if n.startswith("PARAM_PROMO_")]
+    own = [(f"{p}_POURCENT", p) for p in promos] or [("PROMO", "PARAM_PROMO")]
+    if not promos:
+        names = [*names, *[n for n in ("PARAM_PROMO",) if n not in names]]
+        df = df if "PARAM_PROMO" in df.columns else df.withColumn("PARAM_PROMO", F.lit(0.0))
+    steps = [F.struct(F.lit(f"{key}_{int(100 * v)}").alias("key"), F.lit(p).alias("promo"), F.lit(v).alias("v")) for key, p in own for v in levels]
+    rows = df.withColumn("_s", F.explode(F.array(*steps))).withColumn("_scenario", F.col("_s.key"))
+    return _scenarios(rows, {p: F.when(F.col("_s.promo") == p, F.col("_s.v")).otherwise(F.col(p)) for _, p in own}, scorer, names)
 
 
 def _facts(df: DataFrame, roles: dict[str, str]) -> dict[str, dict]:
@@ -81,8 +110,8 @@ def _facts(df: DataFrame, roles: dict[str, str]) -> dict[str, dict]:
     of = {f: F.when(F.col(f) > 1e-8, F.col(f)) if r == "promo" else F.col(f) for f, r in roles.items() if r in ("promo", "continuous")}
     if not of:
         return {}
-    whole = df.agg(*[x for i, (f, c) in enumerate(of.items()) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
-    quantiles = exact_quantiles(df, {f: (c, [0.5] if roles[f] == "promo" else [0.1, 0.9]) for f, c in of.items()})
+    moments = [x for i, c in enumerate(of.values()) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]
+    quantiles, whole = quantiles_and(df, {f: (c, [0.5] if roles[f] == "promo" else [0.1, 0.9]) for f, c in of.items()}, moments)
     out: dict[str, dict] = {}
     for i, f in enumerate(of):
         q, mean, std = quantiles[f], whole[f"m{i}"], whole[f"s{i}"]
@@ -103,9 +132,12 @@ def elasticities(df: DataFrame, features: list[str], scorer: Scorer | Transforme
     step of 10 % of the mean of all rows; nothing for constant or narrow features.  Rows predicted at
     or below 0.5 and null effects do not count; zero values are left out except for promotions.
     ``roles`` overrides the role that a feature has by its name.  However many features there are,
-    their variants stand in one projection and one aggregate by couple.
+    their variants stand in one projection and one aggregate by couple.  The rows are written
+    once; two passes over them give what holds for all rows, a third the effects.
     """
     roles = {f: r for f in features if (r := (roles or {}).get(f) or feature_role(f)) != "excluded"}
+    used = [c for c in df.columns if c in {*K, "QUANTITE", *names, *roles} or c.startswith("_")]
+    df = durable(df.select(*used), "elasticity")
     facts = _facts(df, roles)
     roles = {f: r for f, r in roles.items() if r != "continuous" or f in facts}
     at: dict[str, dict[str, Column]] = {"_y": {}}
@@ -157,10 +189,10 @@ def perturb(df: DataFrame, feature: str, role: str, scorer: Scorer | Transformer
 
 
 def ols_elasticity(df: DataFrame, x: str, y: str = "QUANTITE") -> DataFrame:
-    """Slope times mean over mean, in %; a positive price effect counts as 0."""
-    e = F.regr_slope(y, x) * F.avg(x) / F.avg(y) * 100
-    out = df.groupBy(*K).agg(e.alias("value"), F.avg(y).alias("_m")).filter("abs(_m) >= 1e-8 and value is not null").drop("_m")
-    return out.withColumn("value", F.round(business_sign_clip(F.col("value"), F.lit(x)), 2))
+    """Slope of one feature alone times mean over mean, in %; the wrong sign of a price or promotion counts as 0, zeros are left out."""
+    e = F.regr_slope(y, x) * F.avg(x) / F.avg(y)
+    out = df.groupBy(*K).agg(e.alias("_e"), F.avg(y).alias("_m")).filter("abs(_m) >= 1e-8")
+    return out.withColumn("_e", business_sign(F.col("_e"), F.lit(x))).filter("abs(_e) > 1e-8").select(*K, F.round(F.col("_e") * 100, 2).alias("value"))
 
 
 def slope_pm10(df: DataFrame, feature: str, scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
@@ -187,13 +219,19 @@ def observations(df: DataFrame, kind: str, features: list[str], days: int = 90,
 
 
 def attribution_share(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Mean |b (x - mean x)| of each feature of a linear scorer, as a share of the couple's total in %."""
+    """Mean |b (x - mean x)| of each feature of a linear scorer, as a share of the couple's total in %, to two digits.
+
+    All features count in the total; identifiers, the calendar and its cycles are then left out,
+    while lags, rolling statistics and trends stay.  Nulls count as 0.
+    """
+    df = df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in weights})
     means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in weights])
     parts = [F.avg(F.abs(b * (F.col(f) - F.col(f"_m_{f}")))).alias(f) for f, b in weights.items()]
     wide = df.crossJoin(F.broadcast(means)).groupBy(*K).agg(*parts)
     total = reduce(lambda a, b: a + b, [F.col(f) for f in weights])
-    wide = wide.withColumn("_t", total).withColumns({f: F.try_divide(F.col(f) * 100, F.col("_t")) for f in weights})
-    return wide.select(*K, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("share")) for f in weights])).alias("_s")).select(*K, "_s.feature", "_s.share").filter("share > 0.01")
+    shown = [f for f in weights if has_share(f)]
+    wide = wide.withColumn("_t", total).select(*K, *[F.round(F.try_divide(F.col(f) * 100, F.col("_t")), 2).alias(f) for f in shown])
+    return wide.select(*K, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("share")) for f in shown])).alias("_s")).select(*K, "_s.feature", "_s.share").filter("share > 0.01")
 
 
 def mean_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:

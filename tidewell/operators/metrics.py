@@ -27,10 +27,10 @@ def tweedie_deviance(y: Column, mu: Column, power: float = 1.5) -> Column:
     return 2 * (F.pow(y, 2 - power) / ((1 - power) * (2 - power)) - y * F.pow(mu, 1 - power) / (1 - power) + F.pow(mu, 2 - power) / (2 - power))
 
 
-def volume_accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
+def volume_accuracy(df: DataFrame, y: str, p: str, by: list[str] = K) -> DataFrame:
     total, off = F.greatest(F.sum(y), F.lit(1.0)), F.abs(F.sum(p) - F.sum(y))
     wmape, volume = F.sum(F.abs(F.col(p) - F.col(y))) / total * 100, off / total * 100
-    return df.groupBy(*K).agg(wmape.alias("wmape"), F.greatest(100 - wmape, F.lit(0.0)).alias("accuracy"), off.alias("volume_error"), F.greatest(100 - volume, F.lit(0.0)).alias("volume_accuracy"))
+    return df.groupBy(*by).agg(wmape.alias("wmape"), F.greatest(100 - wmape, F.lit(0.0)).alias("accuracy"), off.alias("volume_error"), F.greatest(100 - volume, F.lit(0.0)).alias("volume_accuracy"))
 
 
 def smape(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -52,9 +52,10 @@ def sign_audit(long: DataFrame) -> DataFrame:
 
 
 def benchmark_summary(rows: DataFrame) -> DataFrame:
-    """Of couples with both errors: how often the global model or the own one wins (ties: its own), and the mean difference."""
+    """Of couples with both errors: how often the global model or the own one wins (ties: its own), and the mean
+    difference, of decimals of four digits, so that its own rounding does not depend on an order."""
     both = rows.filter("MAE_perprod is not null and MAE_global is not null").withColumn("_d", F.round(F.col("MAE_perprod") - F.col("MAE_global"), 4))
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("_d") > 0).alias("global_gagne"), F.count_if(F.col("_d") <= 0).alias("perprod_gagne"), F.avg("_d").alias("delta_moyen"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("_d") > 0).alias("global_gagne"), F.count_if(F.col("_d") <= 0).alias("perprod_gagne"), (F.sum(F.col("_d").cast("decimal(20,4)")) / F.count("*")).alias("delta_moyen"))
 
 
 def compare_elasticities(methods: dict[str, DataFrame], most: int = 15) -> DataFrame:

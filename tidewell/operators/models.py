@@ -16,12 +16,16 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.metrics import forecast_metrics, forecast_metrics_by_series
-from tidewell.operators.windows import by_date, direct_samples, expanding_folds
+from tidewell.operators.elasticity import with_predictions
+from tidewell.operators.least_squares import fit_least_squares, linear_scorer, ols_elasticities
+from tidewell.operators.metrics import forecast_metrics, volume_accuracy
+from tidewell.operators.totals import perturb_single
+from tidewell.operators.windows import by_date, direct_samples, expanding_folds, split_aligned, split_fraction
 from tidewell.schema import K
 
 #: About so many rows are shuffled among themselves.
@@ -33,6 +37,12 @@ SPACE = {
     "tweedie": {"variancePower": [round(1.05 + 0.05 * i, 2) for i in range(19)], "regParam": [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]},
     "boosted": {"maxDepth": [3, 4, 5, 6, 7], "minInstancesPerNode": [50, 100, 200, 350, 500], "stepSize": [0.01, 0.02, 0.03, 0.05, 0.1], "subsamplingRate": [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]},
 }
+#: What a grid search tries for each learner, and what is taken where it fails.
+GRIDS = {
+    "tweedie": [{"variancePower": v, "regParam": r} for v in (1.2, 1.5, 1.8) for r in (0.01, 0.1, 1.0)],
+    "boosted": [{"maxDepth": d, "minInstancesPerNode": n} for d in (3, 5, 7) for n in (6, 7, 8, 9)],
+}
+FALLBACK = {"tweedie": {"variancePower": 1.5, "regParam": 0.1}, "boosted": {"maxDepth": 3, "minInstancesPerNode": 6}}
 
 
 def assemble(features: list[str]) -> VectorAssembler:
@@ -103,20 +113,38 @@ def search_params(train: DataFrame, holdout: DataFrame, features: list[str], spa
     return drawn[best], errors[best]
 
 
-def grid_search_time_cv(df: DataFrame, features: list[str], grid: list[dict], k: int = 3, kind: str = "boosted") -> dict:
-    """The parameters of the least mean error over expanding folds."""
+def grid_errors(df: DataFrame, features: list[str], grid: list[dict], k: int = 3, kind: str = "boosted") -> list[float]:
+    """Mean error over k expanding folds of each point of the grid; infinite where a fit fails or no fold has rows to test."""
     folds = expanding_folds(df, k).select("fold", "role", "QUANTITE", *features).persist()
     measure = RegressionEvaluator(labelCol="QUANTITE", metricName="mae")
 
     def error(at: tuple[int, int]) -> float:
         part = folds.filter(F.col("fold") == at[1])
-        return measure.evaluate(predict(fit_model(part.filter("role = 'train'"), features, kind, **grid[at[0]]), part.filter("role = 'test'")))
+        try:
+            found = measure.evaluate(predict(fit_model(part.filter("role = 'train'"), features, kind, **grid[at[0]]), part.filter("role = 'test'")))
+        except (Py4JJavaError, IllegalArgumentException):
+            return float("inf")
+        return found if found == found else float("inf")
 
     each = [(i, fold) for i in range(len(grid)) for fold in range(1, k + 1)]
     with ThreadPool(FITS_AT_ONCE) as pool:
         errors = dict(zip(each, pool.map(inheritable_thread_target(df.sparkSession)(error), each)))
     folds.unpersist()
-    return grid[min(range(len(grid)), key=lambda i: sum(errors[i, fold] for fold in range(1, k + 1)))]
+    return [sum(errors[i, fold] for fold in range(1, k + 1)) / k for i in range(len(grid))]
+
+
+def grid_search_time_cv(df: DataFrame, features: list[str], grid: list[dict], k: int = 3, kind: str = "boosted", fallback: dict | None = None) -> dict:
+    """The parameters of the least mean error over expanding folds, the first of equal ones.
+
+    Where no point of the grid has an error, ``fallback`` is taken; without one the search fails.
+    """
+    errors = grid_errors(df, features, grid, k, kind)
+    best = min(range(len(grid)), key=lambda i: errors[i])
+    if errors[best] == float("inf"):
+        if fallback is None:
+            raise ValueError("no point of the grid could be fitted")
+        return fallback
+    return grid[best]
 
 
 def rolling_backtest(model: PipelineModel, df: DataFrame, horizon: int, stride: int, covariates: list[str]) -> DataFrame:
@@ -124,11 +152,27 @@ def rolling_backtest(model: PipelineModel, df: DataFrame, horizon: int, stride:
     return predict(model, direct_samples(df, covariates, [horizon], stride))
 
 
-def choose_model(train: DataFrame, test: DataFrame, features: list[str], kinds: tuple[str, ...] = ("tweedie", "boosted")) -> tuple[str, PipelineModel]:
-    """The learner of the least mean error on the test rows, fitted again on all rows."""
-    errors = {k: forecast_metrics(predict(fit_model(train, features, k), test), "QUANTITE", "prediction").first()["mae"] for k in kinds}
-    best = min(kinds, key=lambda k: errors[k])
-    return best, fit_model(train.unionByName(test), features, best)
+def choose_model(df: DataFrame, features: list[str], kinds: tuple[str, ...] = ("boosted", "tweedie"), k: int = 3) -> tuple[str, PipelineModel, DataFrame]:
+    """The learner of the lowest wMAPE on the last rows of each couple, fitted again on all rows, and a report.
+
+    The rows are split once (``split_fraction``); each learner is tuned on the training part by
+    ``grid_search_time_cv`` over GRIDS, so that no test row is seen before the errors are taken.  The
+    report has a row for each learner: wmape, its accuracy, mae, rmse, volume_error with its
+    accuracy, params (JSON) and whether it was chosen; of equal errors the first learner is.
+    """
+    rows = split_fraction(df).select(*K, "date", "QUANTITE", "is_test", *features).persist()
+    train, test = rows.filter("not is_test"), rows.filter("is_test")
+    params = {kind: grid_search_time_cv(train, features, GRIDS[kind], k, kind, FALLBACK[kind]) for kind in kinds}
+    found = {}
+    for kind in kinds:
+        tested = predict(fit_model(train, features, kind, **params[kind]), test).select("QUANTITE", "prediction")
+        found[kind] = volume_accuracy(tested, "QUANTITE", "prediction", []).crossJoin(forecast_metrics(tested, "QUANTITE", "prediction")).first()
+    best = min(kinds, key=lambda kind: found[kind]["wmape"])
+    model = fit_model(rows, features, best, **params[best])
+    rows.unpersist()
+    columns = ["wmape", "accuracy", "mae", "rmse", "volume_error", "volume_accuracy"]
+    report = [(kind, *[found[kind][c] for c in columns], json.dumps(params[kind], sort_keys=True), kind == best) for kind in kinds]
+    return best, model, df.sparkSession.createDataFrame(report, f"modele string, {', '.join(f'{c} double' for c in columns)}, params string, choisi boolean")
 
 
 def feature_importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
@@ -188,11 +232,47 @@ def with_ar(df: DataFrame) -> DataFrame:
     return df.withColumns({"ar_1": F.coalesce(F.lag("QUANTITE", 1).over(by_date()), F.lit(0.0)), "t": F.row_number().over(by_date()).cast("double")})
 
 
-def fit_boosted_early_stop(df: DataFrame, features: list[str], held: str, loss: str = "squared", rounds: int = 100, **params) -> PipelineModel:
-    """Boosting that stops when the error of the rows marked by ``held`` no longer falls; loss squared or absolute."""
-    learner = GBTRegressor(**{"labelCol": "QUANTITE", "maxDepth": 4, "seed": 42, "validationTol": 0.001} | params)
-    learner.setMaxIter(rounds).setLossType(loss).setValidationIndicatorCol(held)
-    return Pipeline(stages=[assemble(features), learner]).fit(df)
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) of the least error before ``patience`` rounds pass without a lower one, and whether they did."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def cut_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first rounds only."""
+    java, sc = model._java_obj, SparkSession.active().sparkContext
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    cut = GBTRegressionModel(sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights, model.numFeatures))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
+def fit_boosted_early_stop(df: DataFrame, features: list[str], held: str, loss: str = "squared", rounds: int = 100, patience: int = 20, **params) -> tuple[PipelineModel, list[float]]:
+    """Boosting that stops when ``patience`` rounds bring no lower error of the rows marked by ``held``; loss squared or absolute.
+
+    Returns the model cut to its best round and the error after each round.  The rounds grow by
+    doubling from twice the patience, as a fit cannot be carried on: less than twice the rounds in all.
+    """
+    assembler = assemble(features)
+    rows = assembler.transform(df.select("QUANTITE", held, *features)).persist()
+    train, hold, n = rows.filter(~F.col(held)), rows.filter(F.col(held)), 2 * patience
+    while True:
+        learner = GBTRegressor(**{"labelCol": "QUANTITE", "maxDepth": 4, "seed": 42} | params).setMaxIter(min(n, rounds)).setLossType(loss)
+        model = learner.fit(train)
+        errors = list(model.evaluateEachIteration(hold, loss))
+        best, stopped = best_round(errors, patience)
+        if stopped or n >= rounds:
+            break
+        n *= 2
+    rows.unpersist()
+    return PipelineModel([assembler, cut_rounds(model, best)]), errors
 
 
 def fitted_vs_future(model: PipelineModel, history: DataFrame, future: DataFrame) -> DataFrame:
@@ -216,15 +296,33 @@ def signed_importance(df: DataFrame, model: PipelineModel, features: list[str],
     return [(f, round(100 * v * float(sign[f]), 2)) for f, v in feature_importance(model, features)]
 
 
-def compare_with_global(train: DataFrame, test: DataFrame, couples: DataFrame, features: list[str]) -> DataFrame:
-    """Error of each picked couple's own line and of one model of all couples, on the same test rows."""
-    own = fit_per_series(train.join(couples, K, "left_semi"), ridge_fit(features), "ID_PRODUIT string, ID_SO int, feature string, weight double")
-    lines = own.groupBy(*K).pivot("feature", [*features, "intercept"]).agg(F.first("weight"))
-    lines = lines.select(*K, *[F.col(f).alias(f"_w_{f}") for f in (*features, "intercept")])
-    line = F.col("_w_intercept")
-    for f in features:
-        line = line + F.col(f"_w_{f}") * F.col(f)
-    rows = predict(fit_model(train, features), test.join(lines, K)).withColumn("_own", F.greatest(line, F.lit(0.0)))
-    error = lambda p, name: forecast_metrics_by_series(rows, "QUANTITE", p).select(*K, "N_OBS", F.col("MAE").alias(f"MAE_{name}"), F.col("RMSE").alias(f"RMSE_{name}"))
-    out = error("_own", "perprod").join(error("prediction", "global").drop("N_OBS"), K)
-    return out.withColumn("delta_MAE", F.col("MAE_perprod") - F.col("MAE_global"))
+def compare_with_global(df: DataFrame, couples: DataFrame, features: list[str], scorer, names: list[str] | None = None, price: str = "PARAM_PRIX", promo: str = "PARAM_PROMO_1", alpha: float = 1e-3) -> DataFrame:
+    """Each picked couple's own linear model against one model of all couples, and three kinds of elasticities.
+
+    Both are measured on the couple's last 30 days (``split_aligned``); the own model is fitted on its
+    rows before, the global ``scorer`` (a column expression or a fitted model of the columns
+    ``names``) comes from outside.  Elasticities of price and promotion, in %: by least squares of all
+    rows (ols), by perturbing the own model on all rows (pert_pp) and the global one on the
+    last 90 days (global; on all rows where these are fewer than 30).  A couple with fewer than five
+    test rows has no error of the global model.  Weights stand beside the rows, so every method
+    is a projection and an aggregate by couple.
+    """
+    names = names or features
+    rows = split_aligned(df.join(couples.select(*K), K, "left_semi"))
+    own = fit_least_squares(rows.filter("is_train"), features, alpha)
+    beside = rows.join(own.select(*K, "w"), K)
+    scored = with_predictions(with_predictions(beside, {"_own": {}}, linear_scorer(features), features), {"_global": {}}, scorer, names)
+    test, y = F.col("is_test"), F.col("QUANTITE")
+    mae = lambda p: F.round(F.avg(F.when(test, F.abs(F.col(p) - y))), 4)
+    rmse = lambda p: F.round(F.sqrt(F.avg(F.when(test, (F.col(p) - y) * (F.col(p) - y)))), 4)
+    errors = scored.groupBy(*K).agg(F.count_if(F.col("is_train")).alias("n_train"), F.count_if(test).alias("n_test"), mae("_own").alias("MAE_perprod"), mae("_global").alias("MAE_global"), rmse("_own").alias("RMSE_perprod"), rmse("_global").alias("RMSE_global"))
+    enough = F.col("n_test") >= 5
+    errors = errors.withColumns({c: F.when(enough, F.col(c)) for c in ("MAE_global", "RMSE_global")}).withColumn("delta_MAE", F.round(F.col("MAE_perprod") - F.col("MAE_global"), 4))
+    late = F.col("date") > F.date_sub(F.max("date").over(Window.partitionBy(*K)), 90)
+    recent = beside.withColumn("_late", late).withColumn("_n", F.count_if("_late").over(Window.partitionBy(*K))).filter("_late or _n < 30").drop("_late", "_n")
+    kept = [price, promo]
+    methods = {"ols": ols_elasticities(rows, features), "pert_pp": perturb_single(beside, kept, linear_scorer(features), features), "global": perturb_single(recent, kept, scorer, names)}
+    long = reduce(DataFrame.unionByName, [d.select(*K, "feature", "value", F.lit(m).alias("_method")) for m, d in methods.items()])
+    pick = lambda f, m: F.max(F.when((F.col("feature") == f) & (F.col("_method") == m), F.col("value")))
+    wide = long.groupBy(*K).agg(*[pick(f, m).alias(f"ELAST_{label}_{m}") for label, f in (("PRIX", price), ("PROMO", promo)) for m in methods])
+    return errors.join(wide, K, "left")

@@ -1,4 +1,4 @@
-"""Elasticities of a couple's total demand, with a column scorer.
+"""Elasticities of a couple's total demand, with a column scorer or a fitted model.
 
 Statistics of the couple come from one aggregate, the totals of all variants of all
 features from a second one on the same key, so features add columns and no shuffles.
@@ -6,11 +6,12 @@ features from a second one on the same key, so features add columns and no shuff
 
 from __future__ import annotations
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.elasticity import Scorer
-from tidewell.schema import K, MIN_PROMO_LIFT, MIN_RANGE, ORDINAL, TOTALS_BINARY, TOTALS_SKIPPED, feature_role
+from tidewell.operators.elasticity import Scorer, with_predictions
+from tidewell.schema import BENCH_EXCLUDED, K, MIN_PROMO_LIFT, MIN_RANGE, ORDINAL, TOTALS_BINARY, TOTALS_SKIPPED
 
 # Guards, levels and shocks that results must share.
 MIN_OFF_ROWS, MIN_PROMO_ROWS, MIN_UPLIFT = 10, 5, 0.05
@@ -42,21 +43,35 @@ def _long(wide: DataFrame, values: dict[str, Column]) -> DataFrame:
     return wide.select(*K, F.explode(pairs).alias("_p")).select(*K, "_p.feature", "_p.value")
 
 
-def _scored(scorer: Scorer, names: list[str], feature: str = "", value: Column | None = None) -> Column:
-    return F.greatest(scorer({n: value if n == feature else F.col(n) for n in names}), F.lit(0.0))
+class Variants:
+    """Collects the changes of a row whose predictions are summed, and gives each a column."""
 
+    def __init__(self) -> None:
+        self.changes: dict[str, dict[str, Column]] = {}
 
-def _ordinal(df: DataFrame, feature: str, scorer: Scorer, names: list[str]) -> DataFrame:
+    def at(self, feature: str = "", value: Column | None = None) -> Column:
+        name = f"_v{len(self.changes)}"
+        self.changes[name] = {feature: value} if feature else {}
+        return F.coalesce(name, F.lit(0.0))
+
+    def of(self, df: DataFrame, scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
+        return with_predictions(df, self.changes, scorer, names)
+
+
+def _ordinal(df: DataFrame, feature: str, scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
     """Upper quartile against median of the totals at each level that the couple has seen (at most 12 or 7)."""
     levels = df.groupBy(*K).agg(F.collect_set(feature).alias("_levels"), F.stddev_samp(feature).alias("_std"))
-    totals = df.join(levels, K).withColumn("_v", F.explode("_levels")).groupBy(*K, "_v").agg(F.sum(_scored(scorer, names, feature, F.col("_v"))).alias("_q"), F.first("_std").alias("_std"))
+    tried = Variants()
+    here = tried.at(feature, F.col("_level"))
+    rows = tried.of(df.join(levels, K).withColumn("_level", F.explode("_levels")), scorer, names)
+    totals = rows.groupBy(*K, "_level").agg(F.sum(here).alias("_q"), F.first("_std").alias("_std"))
     q = F.percentile("_q", F.array(F.lit(0.5), F.lit(0.75)))
     wide = totals.groupBy(*K).agg(q.alias("_q"), F.first("_std").alias("_std"))
     e = (F.col("_q")[1] - F.col("_q")[0]) / F.greatest(F.col("_q")[0], F.lit(1.0))
     return _long(wide, {feature: F.when(F.col("_std") < 1e-6, 0.0).otherwise(e)})
 
 
-def series_elasticity(df: DataFrame, features: list[str], scorer: Scorer, names: list[str]) -> DataFrame:
+def series_elasticity(df: DataFrame, features: list[str], scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
     """Response of each couple's total by the kind of the feature: (couple, feature, value), zeros kept.
 
     Flags: switching on where off, with at least ten such rows.  Prices and rival prices: median
@@ -65,14 +80,15 @@ def series_elasticity(df: DataFrame, features: list[str], scorer: Scorer, names:
     """
     named = {f: _kind(f) for f in features if f not in TOTALS_SKIPPED}
     flat = {f"_{i}": (f, k) for i, (f, k) in enumerate(named.items()) if k != "ordinal"}
-    stats, sums = [], [F.greatest(F.sum(_scored(scorer, names)), F.lit(1.0)).alias("_q")]
+    tried, stats = Variants(), []
+    sums = [F.greatest(F.sum(tried.at()), F.lit(1.0)).alias("_q")]
     for p, (f, k) in flat.items():
         c, on = F.col(f), F.col(f) > 0
         d = F.percentile(f, F.array(F.lit(0.1), F.lit(0.9)))
         stats += [F.stddev_samp(f).alias(f"{p}_std"), F.avg(f).alias(f"{p}_avg")]
-        at = lambda v, f=f: F.sum(_scored(scorer, names, f, v))
+        at = lambda v, f=f: F.sum(tried.at(f, v))
         if k == "binary":
-            off = lambda v, f=f: F.sum(F.when(F.col(f) == 0, _scored(scorer, names, f, F.lit(v))))
+            off = lambda v, f=f: F.sum(F.when(F.col(f) == 0, tried.at(f, F.lit(v))))
             sums += [F.count_if(c == 0).alias(f"{p}_n"), off(0.0).alias(f"{p}_a"), off(1.0).alias(f"{p}_b")]
         elif k in ("price", "rival"):
             stats += [d[0].alias(f"{p}_lo"), d[1].alias(f"{p}_hi")]
@@ -86,7 +102,7 @@ def series_elasticity(df: DataFrame, features: list[str], scorer: Scorer, names:
     parts = [_ordinal(df, f, scorer, names) for f, k in named.items() if k == "ordinal"]
     if flat:
         known = df.groupBy(*K).agg(*stats)
-        totals = df.join(known, K).groupBy(*K).agg(*sums)
+        totals = tried.of(df.join(known, K), scorer, names).groupBy(*K).agg(*sums)
         wide = known.join(totals, K)
         parts.append(_long(wide, {f: F.when(F.col(f"{p}_std") < 1e-6, 0.0).otherwise(F.coalesce(_total_response(p, k), F.lit(0.0))) for p, (f, k) in flat.items()}))
     out = parts[0]
@@ -115,40 +131,42 @@ def _total_response(p: str, kind: str) -> Column:
     return F.when(F.abs(c("avg")) >= 1e-6, _middle(F.array(*[(c(i) - F.col("_q")) / F.col("_q") / s for i, s in enumerate(SHOCKS)])))
 
 
-def series_elasticity_1pct(df: DataFrame, features: list[str], scorer: Scorer, names: list[str]) -> DataFrame:
+def series_elasticity_1pct(df: DataFrame, features: list[str], scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
     """Older form: a shock of 1 %, promotions at most 1, flags cut to [-1, 10]; one aggregate for all features."""
     named = {f: _kind(f) for f in features if f not in TOTALS_SKIPPED}
-    aggs, values = [F.sum(_scored(scorer, names)).alias("_q")], {}
+    tried, values = Variants(), {}
+    aggs = [F.sum(tried.at()).alias("_q")]
     for i, (f, k) in enumerate(named.items()):
         c, p = F.col(f), f"_{i}"
         aggs += [F.stddev_samp(f).alias(f"{p}_std"), F.avg(f).alias(f"{p}_avg")]
         if k == "binary":
-            off = lambda v, f=f: F.sum(F.when(F.col(f) == 0, _scored(scorer, names, f, F.lit(v))))
+            off = lambda v, f=f: F.sum(F.when(F.col(f) == 0, tried.at(f, F.lit(v))))
             aggs += [F.count_if(c == 0).alias(f"{p}_n"), off(0.0).alias(f"{p}_a"), off(1.0).alias(f"{p}_b")]
             e = (F.col(f"{p}_b") - F.col(f"{p}_a")) / F.greatest(F.col(f"{p}_a"), F.lit(1.0))
             e = F.when(F.col(f"{p}_n") >= MIN_OFF_ROWS, F.greatest(F.least(e, F.lit(10.0)), F.lit(-1.0)))
         else:
             shocked = F.least(c * 1.01, F.lit(1.0)) if k == "promo" else c * 1.01
-            aggs.append(F.sum(_scored(scorer, names, f, shocked)).alias(f"{p}_u"))
+            aggs.append(F.sum(tried.at(f, shocked)).alias(f"{p}_u"))
             e = (F.col(f"{p}_u") - F.col("_q")) / F.greatest("_q", F.lit(1.0)) / 0.01
             e = F.least(e, F.lit(0.0)) if k == "price" else F.greatest(e, F.lit(0.0)) if k in ("promo", "rival") else e
             e = F.when(F.abs(F.col(f"{p}_avg")) >= 1e-6, e)
         values[f] = F.when(F.col(f"{p}_std") < 1e-6, 0.0).otherwise(F.coalesce(e, F.lit(0.0)))
-    return _long(df.groupBy(*K).agg(*aggs), values)
+    return _long(tried.of(df, scorer, names).groupBy(*K).agg(*aggs), values)
 
 
-def perturb_single(df: DataFrame, features: list[str], scorer: Scorer, names: list[str]) -> DataFrame:
+def perturb_single(df: DataFrame, features: list[str], scorer: Scorer | Transformer, names: list[str]) -> DataFrame:
     """Benchmark form, per couple, in %: features that only hold 0 and 1 by their median impact,
     others by the mean of both 10 % steps; no clip, no sign rule, zeros left out."""
-    used = [f for f in features if feature_role(f) != "excluded"]
+    used = [f for f in features if f not in BENCH_EXCLUDED]
+    tried = Variants()
+    y = tried.at()
     stats = [s for i, f in enumerate(used) for s in (F.every(F.col(f).isin(0, 1)).alias(f"_{i}_flag"), F.avg(f).alias(f"_{i}_m"), F.stddev_pop(f).alias(f"_{i}_s"))]
     rows, aggs, values = df.join(df.groupBy(*K).agg(*stats), K), [], {}
     for i, f in enumerate(used):
         m, s = F.col(f"_{i}_m"), F.col(f"_{i}_s")
         step = F.when(F.abs(m) > 1e-8, m * 0.1).when(s > 1e-8, s * 0.1)
-        y, off, on = _scored(scorer, names), _scored(scorer, names, f, F.lit(0.0)), _scored(scorer, names, f, F.lit(1.0))
-        up, down = _scored(scorer, names, f, F.col(f) + step), _scored(scorer, names, f, F.col(f) - step)
+        off, on, up, down = tried.at(f, F.lit(0.0)), tried.at(f, F.lit(1.0)), tried.at(f, F.col(f) + step), tried.at(f, F.col(f) - step)
         flag = F.col(f"_{i}_flag")
         aggs += [F.median(F.when(flag & (off > 0.5), (on - off) / off * 100)).alias(f"_{i}_b"), F.avg(F.when(~flag & step.isNotNull() & (y > 1e-8), (up - down) / y / 0.1 / 2)).alias(f"_{i}_c")]
         values[f] = F.round(F.coalesce(f"_{i}_b", f"_{i}_c"), 2)
-    return _long(rows.groupBy(*K).agg(*aggs), values).filter("abs(value) > 1e-8")
+    return _long(tried.of(rows, scorer, names).groupBy(*K).agg(*aggs), values).filter("abs(value) > 1e-8")

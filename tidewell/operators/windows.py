@@ -65,6 +65,21 @@ def split_fraction(df: DataFrame, share: float = 0.3, most: int = 365) -> DataFr
     return df.withColumn("is_test", back <= F.least(F.lit(most), F.floor(n * share)))
 
 
+def split_aligned(df: DataFrame, days: int = TEST_DAYS, purged: int = 1, least_test: int = 5, least_train: int = 30) -> DataFrame:
+    """is_test: the last ``days`` days of each couple; is_train: rows at least ``purged`` days before them.
+
+    Where this leaves fewer than ``least_test`` or ``least_train`` rows, the last ``days`` rows test and all others train.
+    """
+    w = Window.partitionBy(*K)
+    cut = F.date_sub(F.max("date").over(w), days)
+    df = df.withColumns({"_test": F.col("date") > cut, "_train": F.col("date") <= F.date_sub(cut, purged), "_back": F.row_number().over(Window.partitionBy(*K).orderBy(F.col("date").desc()))})
+    few = (F.count_if("_test").over(w) < least_test) | (F.count_if("_train").over(w) < least_train)
+    df = df.withColumn("_few", few)
+    last = F.col("_back") <= days
+    out = df.withColumns({"is_test": F.when(F.col("_few"), last).otherwise(F.col("_test")), "is_train": F.when(F.col("_few"), ~last).otherwise(F.col("_train"))})
+    return out.drop("_test", "_train", "_back", "_few")
+
+
 def split_at_fraction(df: DataFrame, share: float = 0.75) -> DataFrame:
     """The first ``share`` of a series' rows train, the rest test."""
     return df.withColumn("is_test", F.row_number().over(by_date()) > F.floor(F.count("*").over(whole()) * share))
@@ -156,6 +171,23 @@ def version_intervals(versions: DataFrame, end: DataFrame) -> DataFrame:
     return versions.join(end, K).withColumn("valid_to", F.coalesce(after, F.col("last_date"))).drop("last_date")
 
 
+def version_in_force(df: DataFrame, versions: DataFrame, cols: list[str], inside: bool = True) -> DataFrame:
+    """As-of: each row with ``cols`` and date (as version) of the latest version of its couple dated on or before it.
+
+    Versions join the series as marked rows, so the version in force comes from one window: one
+    exchange by couple, and no row meets any version but its own.  With ``inside`` only rows in a
+    version's validity stay: from its date to the next one, the last day of the series left out.
+    """
+    carried = F.struct(F.col("date").alias("version"), *cols)
+    marks = versions.select(*K, "date", carried.alias("_v"), F.lit(True).alias("_mark"))
+    both = df.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    up_to = by_date().rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumns({"_v": F.last("_v", ignorenulls=True).over(up_to), "_end": F.max(F.when(~F.col("_mark"), F.col("date"))).over(whole())}).filter(~F.col("_mark"))
+    if inside:
+        out = out.filter("_v is not null and date < _end")
+    return out.select(*df.columns, "_v.version", *[F.col(f"_v.{c}").alias(c) for c in cols])
+
+
 def fill_next_day(df: DataFrame, order: str) -> DataFrame:
     """An empty date becomes the day after the row before it, chained; rows before the first date stay empty."""
     w = Window.partitionBy(*K).orderBy(order)

@@ -9,17 +9,18 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.folders import new_folder
+from tidewell.functions.folders import durable, new_folder
 from tidewell.functions.ship import ship
 from tidewell.plans.sql import ROLES, SQL
 from tidewell.functions import features as ft
-from tidewell.operators import clean, demand, elasticity, metrics, models, totals, windows
+from tidewell.operators import clean, demand, elasticity, least_squares, metrics, models, totals, windows
 from tidewell.schema import CLASSES, K, PRICE_GRIDS, PROMO_LEVELS, feature_role
 from tidewell.sources import text
 from tidewell.streaming import stats
+from tidewell.streaming.upsert import read_current
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -213,9 +214,7 @@ def j4_update_quantity(spark, d):
 def j6_version_intervals(spark, d):
     rows = sales(spark, d)
     versions = rows.filter("month(date) in (1, 7)").groupBy(*K, F.trunc("date", "month").alias("date")).agg(F.round(F.avg("PARAM_PRIX"), 4).alias("modele"))
-    valid = windows.version_intervals(versions, rows.groupBy(*K).agg(F.max("date").alias("last_date")))
-    v = valid.withColumnRenamed("date", "valid_from")
-    return rows.join(v, K).filter("date >= valid_from and date < valid_to").groupBy(*K, "valid_from").agg(F.count("*").alias("n"), F.min("date").alias("d0"), F.max("date").alias("d1"))
+    return windows.version_in_force(rows, versions, ["modele"]).groupBy(*K, F.col("version").alias("valid_from")).agg(F.count("*").alias("n"), F.min("date").alias("d0"), F.max("date").alias("d1"))
 
 
 @query
@@ -369,6 +368,21 @@ def e2_promo_scenarios(spark, d):
     return out.groupBy(*K, "scenario").agg(F.round(F.sum("prediction"), 4).alias("total"))
 
 
+@query
+def e1_price_range(spark, d):
+    """Five prices from the lowest to the highest of the history."""
+    out = elasticity.price_scenarios(curve(spark, d), 5, elasticity.demand_curve, NAMES)
+    return out.groupBy(*K, "scenario").agg(F.round(F.sum("prediction"), 4).alias("total"))
+
+
+@query
+def e2_one_promo(spark, d):
+    """A scorer without PARAM_PROMO_ columns: its PARAM_PROMO takes the levels."""
+    scorer = lambda x: elasticity.demand_curve(x | {"PARAM_PROMO_1": x["PARAM_PROMO"]})
+    out = elasticity.promo_scenarios(curve(spark, d), PROMO_LEVELS, scorer, ["PARAM_PRIX", "PARAM_VACANCE", "PARAM_PROMO"])
+    return out.groupBy(*K, "scenario").agg(F.round(F.sum("prediction"), 4).alias("total"))
+
+
 @query
 def e7_elasticities(spark, d):
     return elasticity.elasticities(curve(spark, d), NAMES, elasticity.demand_curve, NAMES)
@@ -379,6 +393,27 @@ def e10_ols_elasticity(spark, d):
     return elasticity.ols_elasticity(sales(spark, d), "PARAM_PRIX")
 
 
+def _lagged(spark, d):
+    """Sales with the weekday and the quantity of the row before."""
+    return sales(spark, d).withColumns({"dow": F.weekday("date").cast("double"), "y_origin_m1": F.coalesce(F.lag("QUANTITE", 1).over(windows.by_date()), F.lit(0.0))})
+
+
+OLS_FEATURES = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE", "dow", "y_origin_m1"]
+
+
+@query
+def e10_ols_of_features(spark, d):
+    """A price, a promotion, a flag, an excluded feature of the calendar and a lag in one fit for each couple."""
+    return least_squares.ols_elasticities(_lagged(spark, d), OLS_FEATURES)
+
+
+@query
+def m17_ols(spark, d):
+    """Weights of a common fit of two features for each couple."""
+    fitted = least_squares.fit_least_squares(sales(spark, d), ["PARAM_PRIX", "PARAM_PROMO_1"])
+    return least_squares.weights(fitted, ["PARAM_PRIX", "PARAM_PROMO_1"]).select(*K, "feature", *r(5, "weight"))
+
+
 @query
 def e12_slope_pm10(spark, d):
     return elasticity.slope_pm10(curve(spark, d), "PARAM_PRIX", elasticity.demand_curve, NAMES).select(*K, *r(8, "slope"))
@@ -386,8 +421,8 @@ def e12_slope_pm10(spark, d):
 
 @query
 def e13_attribution_share(spark, d):
-    out = elasticity.attribution_share(sales(spark, d), {"PARAM_PRIX": -0.01, "PARAM_PROMO_1": 40.0, "PARAM_VACANCE": 5.0})
-    return out.select(*K, "feature", *r(5, "share"))
+    """Shares of a price, a promotion, a flag and a lag; the weekday counts in the total only."""
+    return elasticity.attribution_share(_lagged(spark, d), {"PARAM_PRIX": -0.01, "PARAM_PROMO_1": 40.0, "PARAM_VACANCE": 5.0, "dow": 0.7, "y_origin_m1": 0.1})
 
 
 @query
@@ -427,7 +462,9 @@ def m4_fit_direct_model(spark, d):
 
 @query
 def m8_fit_per_series(spark, d):
-    return models.fit_per_series(sales(spark, d), models.ridge_fit(NAMES), "ID_PRODUIT string, ID_SO int, feature string, weight double")
+    """A ridge of three features for each couple."""
+    fitted = least_squares.fit_least_squares(sales(spark, d), NAMES, alpha=1e-3)
+    return least_squares.weights(fitted, NAMES).select(*K, "feature", *r(4, "weight"))
 
 
 FOREST_GRID = [{"numTrees": n, "maxDepth": depth, "minInstancesPerNode": leaf} for n in (20, 50) for depth in (6, 10) for leaf in (1, 4)]
@@ -443,7 +480,10 @@ def m12_random_forest(spark, d):
 
 @query
 def m14_fit_arx(spark, d):
-    return models.fit_per_series(models.with_ar(sales(spark, d)), models.ridge_fit(["ar_1", "t", *NAMES]), "ID_PRODUIT string, ID_SO int, feature string, weight double")
+    """One lag, a time index and three covariates for each couple."""
+    features = ["ar_1", "t", *NAMES]
+    fitted = least_squares.fit_least_squares(models.with_ar(sales(spark, d)), features, alpha=1e-3)
+    return least_squares.weights(fitted, features).select(*K, "feature", *r(4, "weight"))
 
 
 def _by_weekday(x):
@@ -511,16 +551,14 @@ def m5_search_params(spark, d):
 
 @query
 def m6_grid_search_time_cv(spark, d):
-    found = models.grid_search_time_cv(_modelled(spark, d), FEATURES, [{"regParam": 0.01}, {"regParam": 0.1}], k=2, kind="tweedie")
+    found = models.grid_search_time_cv(_modelled(spark, d), FEATURES, models.GRIDS["tweedie"], k=3, kind="tweedie", fallback=models.FALLBACK["tweedie"])
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "param string, value double")
 
 
 @query
 def m7_choose_model(spark, d):
-    rows = _modelled(spark, d)
-    test = rows.filter("split = 'test'")
-    name, model = models.choose_model(rows.filter("split = 'train'"), test, FEATURES)
-    return models.predict(model, test).select(*K, "date", F.lit(name).alias("modele"), "QUANTITE", "prediction")
+    """The report of both learners."""
+    return models.choose_model(_modelled(spark, d), FEATURES)[2]
 
 
 @query
@@ -565,11 +603,25 @@ def m19_forecast_by_version(spark, d):
 
 @query
 def e17_compare_with_global(spark, d):
+    """Picked couples' own models against one Tweedie model of all couples."""
     rows = _modelled(spark, d)
     train = rows.filter("split = 'train'")
+    return models.compare_with_global(rows, _picked(train), NAMES, models.fit_model(train, FEATURES), FEATURES)
+
+
+@query
+def e17_compare_lines(spark, d):
+    """The same with a linear model of all couples, which SQL can state."""
+    rows = _modelled(spark, d)
+    train = rows.filter("split = 'train'")
+    every = least_squares.fit_least_squares(train.withColumn("tous", F.lit(1)), NAMES, by=["tous"]).first()["w"]
+    line = lambda x: sum((w * x[n] for n, w in zip(NAMES, every)), F.lit(every[-1]))
+    return models.compare_with_global(rows, _picked(train), NAMES, line)
+
+
+def _picked(train: DataFrame) -> DataFrame:
     volumes = train.groupBy(*K).agg(F.lit("toutes").alias("classe"), F.sum("QUANTITE").alias("volume"))
-    compared = models.compare_with_global(train, rows.filter("split = 'test'"), demand.volume_stratified_pick(volumes, 7), NAMES)
-    return compared.join(elasticity.ols_elasticity(train, "PARAM_PRIX").withColumnRenamed("value", "ELAST_PRIX_ols"), K, "left")
+    return demand.volume_stratified_pick(volumes, 7)
 
 
 @query
@@ -683,7 +735,7 @@ def a27_benchmark_summary(spark, d):
     rows = naive(spark, d).withColumn("p1", F.lag("QUANTITE", 1).over(windows.by_date())).na.drop(subset=["p", "p1"])
     error = lambda p: F.round(F.avg(F.abs(F.col(p) - F.col("QUANTITE"))), 4)
     both = rows.groupBy(*K).agg(error("p").alias("MAE_perprod"), F.when(F.col("ID_SO") != 3, error("p1")).alias("MAE_global"))
-    return metrics.benchmark_summary(both).withColumn("delta_moyen", F.round("delta_moyen", 5))
+    return metrics.benchmark_summary(both).withColumn("delta_moyen", F.round("delta_moyen", 5).cast("double"))
 
 
 @query
@@ -724,7 +776,7 @@ def m13_boosted_early_stop(spark, d):
     rows = _modelled(spark, d)
     train = rows.filter("split = 'train'")
     train = windows.split_with_purge(train.drop("split"), days=10).withColumn("_hold", F.col("split") == "test")
-    model = models.fit_boosted_early_stop(train, FEATURES, "_hold")
+    model, _ = models.fit_boosted_early_stop(train, FEATURES, "_hold")
     return models.predict(model, rows.filter("split = 'test'")).select(*K, "date", "QUANTITE", "prediction")
 
 
@@ -823,7 +875,48 @@ def r2_stream_class_updates(spark, d):
     rows.repartition(6, "date").write.parquet(into)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(into)
     stats.stream_class_updates(stream, out, new_folder(spark, "stream-state"), "1990-01-01").awaitTermination()
-    return spark.read.parquet(out).select(*K, "profil_demande", "n", "somme", "carres", "somme_nz", "n_nz", "nb_jours_obs", "nb_jours_demand")
+    return read_current(spark, out, K).select(*K, "profil_demande", "n", "somme", "carres", "somme_nz", "n_nz", "nb_jours_obs", "nb_jours_demand")
+
+
+def _raw(spark, d):
+    """Lines of a history as they come in, with holes: some days that do not exist, stores and products that are missing."""
+    rows, n = sales(spark, d), F.dayofyear("date")
+    return rows.select(
+        F.when(n % 11 != 0, F.col("ID_PRODUIT")).alias("ID_PRODUIT"), F.when((n % 7 != 0) | (F.col("ID_SO") != 2), F.col("ID_SO")).alias("ID_SO"),
+        (F.year("date") + 20).cast("string").alias("PARAM_ANNEE"), F.month("date").cast("string").alias("PARAM_MOIS"), (F.dayofmonth("date") + F.col("ID_SO") % 4).cast("string").alias("PARAM_JOUR"), F.when(n % 13 != 0, F.col("QUANTITE")).alias("QUANTITE"),
+    )
+
+
+@query
+def a6_counted_ingest(spark, d):
+    """What an ingest keeps, and its counters, taken in the pass that writes the rows."""
+    counters = Observation("ingest")
+    kept = durable(clean.counted_ingest(_raw(spark, d), counters, days=1100), "ingest")
+    counted = [F.lit(n).alias(c) for c, n in counters.get.items()]
+    return kept.agg(F.count("*").alias("gardees"), F.count_distinct("ID_PRODUIT").alias("produits"), F.count_distinct(*K).alias("couples"), F.min("date").alias("date_min"), F.max("date").alias("date_max")).select(*counted, "gardees", "produits", "couples", "date_min", "date_max")
+
+
+@query
+def r3_stream_ingest(spark, d):
+    """The same counters from a stream of files, summed over its batches, and what it kept of each couple."""
+    into, out = new_folder(spark, "raw-in"), new_folder(spark, "raw-out")
+    raw = _raw(spark, d)
+    raw.repartition(5, "PARAM_JOUR").write.parquet(into)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(into)
+    run = stats.stream_ingest(stream, out, new_folder(spark, "raw-state"), days=1100)
+    run.awaitTermination()
+    counted = [F.lit(n).alias(c) for c, n in stats.ingest_counts(run).items()]
+    return spark.read.parquet(out).groupBy(*K).agg(F.count("*").alias("gardees"), F.count("date").alias("datees")).select(*K, "gardees", "datees", *counted)
+
+
+@query
+def s2_kv_archives(spark, d):
+    """Sales zipped by nomenclature, two archives each, and read again; the numbers come from the archives' names."""
+    path = new_folder(spark, "archives")
+    rows = sales(spark, d).withColumn("ID_NOMENCLATURE", F.col("ID_SO") * 100 + 7)
+    text.write_kv_archives(rows, text.to_kv_line(rows, [*K, "QUANTITE", "PARAM_PROMO_1"]), path, parts=2).count()
+    kv = F.col("kv")
+    return text.read_kv_archives(spark, path).groupBy("ID_NOMENCLATURE", kv["ID_PRODUIT"].alias("ID_PRODUIT"), kv["ID_SO"].cast("int").alias("ID_SO")).agg(F.count("*").alias("n"), F.sum(kv["QUANTITE"].cast("double")).alias("q"))
 
 
 @query

@@ -34,6 +34,7 @@ cv AS (SELECT s.*, a, b FROM sales s JOIN (SELECT ID_PRODUIT, ID_SO, regr_interc
        FROM sales WHERE QUANTITE > 0 AND PARAM_PRIX > 0 GROUP BY 1, 2) USING (ID_PRODUIT, ID_SO))"""
 W = "PARTITION BY ID_PRODUIT, ID_SO ORDER BY date"
 P = "PARTITION BY ID_PRODUIT, ID_SO"
+_KEY_OF = "ID_PRODUIT, ID_SO"
 
 
 def _score(price="PARAM_PRIX", promo="PARAM_PROMO_1", free="PARAM_VACANCE"):
@@ -62,10 +63,22 @@ o AS (SELECT *, {_origin()},
         CASE WHEN rn >= 28 THEN regr_slope(QUANTITE, rn) OVER ({W} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ELSE 0.0 END AS trend_28,
         coalesce(rn - max(CASE WHEN QUANTITE > 0 THEN rn END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), rn) AS days_since_sale,
         count(*) OVER ({P}) AS n, max(date) OVER ({P}) AS last FROM n0)"""
+_HORIZONS = [1, 2, 3, 7, 14, 21, 28, 45, 60, 75, 90]
+# only what the samples show, and the targets by leads of the same window
+_FEW = f""",
+o AS (SELECT {_KEY_OF}, date AS _origin_date, QUANTITE AS y_origin_m0, row_number() OVER w AS rn, count(*) OVER ({P}) AS n, max(date) OVER ({P}) AS last,
+        coalesce(lag(QUANTITE, 7) OVER w, 0.0) AS y_origin_m7, coalesce(lag(QUANTITE, 365) OVER w, 0.0) AS y_origin_m365, round(avg(QUANTITE) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW), 5) AS roll_mean_28,
+        round(stddev_pop(QUANTITE) OVER (w ROWS BETWEEN 90 PRECEDING AND CURRENT ROW), 5) AS roll_std_91, round(regr_slope(QUANTITE, x) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW), 5) + 0.0 AS trend_28,
+        {", ".join(f"lead(date, {h}) OVER w AS d{h}, lead(QUANTITE, {h}) OVER w AS q{h}, lead(PARAM_PROMO_1, {h}) OVER w AS p{h}" for h in _HORIZONS)}
+      FROM (SELECT *, CAST(date - DATE '1990-01-01' AS DOUBLE) AS x FROM dense) WINDOW w AS ({W}))"""
+_ORIGINS = "FROM o WHERE rn >= 61 AND (rn - 61) % 7 = 0 AND rn <= n - 1"
+_SHOWN = "_origin_date, last, y_origin_m0, y_origin_m7, y_origin_m365, roll_mean_28, roll_std_91, trend_28"
+_AHEAD = " UNION ALL ".join(f"SELECT {_KEY_OF}, {_SHOWN}, {h} AS horizon, d{h} AS d, q{h} AS y, p{h} AS PARAM_PROMO_1 {_ORIGINS}" for h in _HORIZONS)
 _ROLLS = ", ".join(f"round({c}_{n}, 5) AS {c}_{n}" for n in (7, 28, 91) for c in ("roll_mean", "roll_std", "roll_max", "roll_nonzero_ratio"))
 _KEY = "ID_PRODUIT, ID_SO"
 _FULL = lambda n: f"CASE WHEN rn >= {n} THEN round(avg(QUANTITE) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 5) END AS mean_{n}, CASE WHEN rn >= {n} THEN round(var_samp(QUANTITE) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 5) END AS var_{n}"
 _CLIP = lambda e: f"greatest(-300.0, least(300.0, {e}))"
+_OLS = lambda x, rows="sales": f"SELECT {_KEY}, regr_slope(QUANTITE, {x}) * avg({x}) / avg(QUANTITE) AS e FROM {rows} GROUP BY 1, 2"
 _LONG = """SELECT ID_PRODUIT, ID_SO, '{f}' AS feature, round({sign}, 2) AS value, round(s, 2) AS std,
   CASE WHEN abs(round({sign}, 2)) <= 1e-8 THEN 99.0 ELSE round(abs(round(s, 2) / round({sign}, 2)) + 1e-9, 2) END AS cv, {t} AS type FROM {x}"""
 
@@ -113,7 +126,7 @@ SQL = {
     "w17_winsorize": _s(f"SELECT {_KEY}, date, round(CASE WHEN n >= 20 THEN least(greatest(PARAM_PRIX, a), b) ELSE PARAM_PRIX END + 1e-8, 6) AS PARAM_PRIX FROM sales JOIN (SELECT {_KEY}, quantile_cont(PARAM_PRIX, 0.05) AS a, quantile_cont(PARAM_PRIX, 0.95) AS b, count(*) AS n FROM sales GROUP BY 1, 2) USING ({_KEY})"),
     "w20_scale_series": _s(f"SELECT {_KEY}, date, round((QUANTITE - min(QUANTITE) OVER ({P})) / (max(QUANTITE) OVER ({P}) - min(QUANTITE) OVER ({P})), 6) AS QUANTITE_scaled FROM sales"),
     "w22_regression_lags": _d(f"SELECT {_KEY}, date, QUANTITE, " + ", ".join(f"lag(QUANTITE, {k}) OVER ({W}) AS QUANTITE_lag{k}" for k in range(1, 8)) + " FROM dense"),
-    "m3_direct_samples": _d(f"SELECT ID_PRODUIT, ID_SO, o.date AS _origin_date, t.date AS _target_date, t.date > last - 30 AS _is_test, horizon, y_origin_m0, y_origin_m7, y_origin_m365, CAST(isodow(t.date) - 1 AS INTEGER) AS target_dow, CAST(dayofyear(t.date) AS INTEGER) AS target_doy, CAST(isodow(t.date) >= 6 AS INTEGER) AS target_is_weekend, t.PARAM_PROMO_1, t.QUANTITE AS y, round(roll_mean_28, 5) AS roll_mean_28, round(roll_std_91, 5) AS roll_std_91, round(trend_28, 5) + 0.0 AS trend_28 FROM (SELECT o.*, CAST(unnest([1, 2, 3, 7, 14, 21, 28, 45, 60, 75, 90]) AS INTEGER) AS horizon FROM o WHERE rn >= 61 AND (rn - 61) % 7 = 0 AND rn <= n - 1) o JOIN n0 t USING ({_KEY}) WHERE t.rn = o.rn + horizon AND (t.date > last - 30 OR t.date <= last - 31)", _ORIGIN),
+    "m3_direct_samples": _d(f"SELECT {_KEY}, _origin_date, d AS _target_date, d > last - 30 AS _is_test, CAST(horizon AS INTEGER) AS horizon, y_origin_m0, y_origin_m7, y_origin_m365, CAST(isodow(d) - 1 AS INTEGER) AS target_dow, CAST(dayofyear(d) AS INTEGER) AS target_doy, CAST(isodow(d) >= 6 AS INTEGER) AS target_is_weekend, PARAM_PROMO_1, y, roll_mean_28, roll_std_91, trend_28 FROM ({_AHEAD}) WHERE d IS NOT NULL AND (d > last - 30 OR d <= last - 31)", _FEW),
     "f4_build_features": _s(f", f AS (SELECT *, PARAM_PRIX * (1 - PARAM_PROMO_1) AS v FROM sales) SELECT {_KEY}, date, CAST(isodow(date) - 1 AS INTEGER) AS dow, CAST(day(date) AS INTEGER) AS jour, CAST(dayofyear(date) AS INTEGER) AS jour_annee, CAST(weekofyear(date) AS INTEGER) AS semaine, CAST(month(date) AS INTEGER) AS mois, CAST(year(date) AS INTEGER) AS annee, CAST(day(date) = 1 AS INTEGER) AS debut_mois, CAST(date = last_day(date) AS INTEGER) AS fin_mois, CAST(isodow(date) >= 6 AS INTEGER) AS weekend, CAST(v > 0 AND v < PARAM_PRIX AS INTEGER) AS est_promo, round(sin(2 * pi() * dayofyear(date) / 365.25), 6) + 0.0 AS sin_jour, round(cos(2 * pi() * month(date) / 12.0), 6) + 0.0 AS cos_mois, round(v / PARAM_PRIX, 6) AS ratio_promo, round(CASE WHEN v < PARAM_PRIX THEN (PARAM_PRIX - v) / PARAM_PRIX ELSE 0.0 END, 6) AS discount_pct, round(ln(1 + PARAM_PRIX), 6) AS log_prix FROM f"),
     "p8_dedupe_days": _s("SELECT ID_PRODUIT, 0 AS ID_SO, date, QUANTITE FROM (SELECT *, row_number() OVER (PARTITION BY ID_PRODUIT, date ORDER BY QUANTITE, PARAM_PRIX) AS k FROM sales) WHERE k = 1"),
     "p14_history_window": _s(f"SELECT {_KEY}, count(*) AS n, sum(QUANTITE) AS q FROM (SELECT *, max(date) OVER ({P}) AS m FROM sales) WHERE m - date < 90 GROUP BY 1, 2"),
@@ -135,11 +148,13 @@ pe AS (SELECT {_KEY}, count(r) OVER ({P}) > 0 AS ran, CASE WHEN count(r) OVER ({
 pc AS (SELECT {_KEY}, ran, CASE WHEN n >= 20 THEN least(greatest(e, a), b) ELSE e END AS e FROM pe JOIN (SELECT {_KEY}, quantile_cont(e, 0.05) AS a, quantile_cont(e, 0.95) AS b, count(e) AS n FROM pe GROUP BY 1, 2) USING ({_KEY}) WHERE e IS NOT NULL),
 ppx AS (SELECT {_KEY}, CASE WHEN bool_or(ran) THEN 'impact_promo' ELSE 'impact_promo_simule' END AS t, greatest(-150.0, least(150.0, median(e))) AS v, (quantile_cont(e, 0.75) - quantile_cont(e, 0.25)) / 1.349 AS s FROM pc GROUP BY 1, 2)
 {_LONG.format(f='PARAM_PRIX', t="'elasticite'", x='px', sign='least(v, 0.0)')} WHERE round(least(v, 0.0), 2) <> 0 UNION ALL {_LONG.format(f='PARAM_VACANCE', t="'impact_binaire'", x='bx', sign='v')} WHERE round(v, 2) <> 0 UNION ALL {_LONG.format(f='PARAM_PROMO_1', t='t', x='ppx', sign='v')}""",
-    "e10_ols_elasticity": _s(f"SELECT {_KEY}, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS value FROM sales GROUP BY 1, 2"),
+    "e10_ols_elasticity": _s(f"SELECT {_KEY}, round(e * 100, 2) AS value FROM ({_OLS('PARAM_PRIX')}) WHERE e < -1e-8"),
     "e12_slope_pm10": f"WITH {SALES}{CURVE} SELECT {_KEY}, round(avg(({_score('(PARAM_PRIX * 1.1)')} - {_score('(PARAM_PRIX * 0.9)').replace('PARAM_PROMO_1', '(PARAM_PROMO_1)')}) / (PARAM_PRIX * 0.2)), 8) AS slope FROM cv GROUP BY 1, 2",
-    "e13_attribution_share": _s(f", m AS (SELECT avg(PARAM_PRIX) AS a, avg(PARAM_PROMO_1) AS b, avg(PARAM_VACANCE) AS c FROM sales), t AS (SELECT {_KEY}, avg(abs(-0.01 * (PARAM_PRIX - a))) AS x, avg(abs(40.0 * (PARAM_PROMO_1 - b))) AS y, avg(abs(5.0 * (PARAM_VACANCE - c))) AS z FROM sales, m GROUP BY 1, 2) SELECT {_KEY}, feature, round(share, 5) AS share FROM (SELECT {_KEY}, unnest(['PARAM_PRIX', 'PARAM_PROMO_1', 'PARAM_VACANCE']) AS feature, unnest([x * 100 / (x + y + z), y * 100 / (x + y + z), z * 100 / (x + y + z)]) AS share FROM t) WHERE share > 0.01"),
-    "a24_elasticity_summary": _s(f", e AS (SELECT round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS v FROM sales GROUP BY {_KEY}) SELECT 'PARAM_PRIX' AS feature, count(*) AS n, round(median(v), 3) AS mediane, round(avg(v), 3) AS moyenne FROM e"),
-    "a25_sign_audit": _s(f", e AS (SELECT round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS v FROM sales GROUP BY {_KEY}) SELECT 'PARAM_PRIX' AS feature, count(*) AS n, count(*) FILTER (WHERE v > 0) AS n_faux, CASE WHEN count(*) FILTER (WHERE v > 0) / count(*) < 0.1 THEN 'OK' WHEN count(*) FILTER (WHERE v > 0) / count(*) < 0.3 THEN 'ATTENTION' ELSE 'PROBLEME' END AS verdict FROM e"),
+    "e13_attribution_share": _s(f""", x AS (SELECT *, CAST(isodow(date) - 1 AS DOUBLE) AS dow, coalesce(lag(QUANTITE, 1) OVER ({W}), 0.0) AS y1 FROM sales), m AS (SELECT avg(PARAM_PRIX) AS a, avg(PARAM_PROMO_1) AS b, avg(PARAM_VACANCE) AS c, avg(dow) AS d, avg(y1) AS e FROM x),
+t AS (SELECT {_KEY}, avg(abs(-0.01 * (PARAM_PRIX - a))) AS x, avg(abs(40.0 * (PARAM_PROMO_1 - b))) AS y, avg(abs(5.0 * (PARAM_VACANCE - c))) AS z, avg(abs(0.7 * (dow - d))) AS u, avg(abs(0.1 * (y1 - e))) AS v FROM x, m GROUP BY 1, 2)
+SELECT * FROM (SELECT {_KEY}, unnest(['PARAM_PRIX', 'PARAM_PROMO_1', 'PARAM_VACANCE', 'y_origin_m1']) AS feature, round(unnest([x, y, z, v]) * 100 / (x + y + z + u + v), 2) AS share FROM t) WHERE share > 0.01"""),
+    "a24_elasticity_summary": _s(f", e AS (SELECT round(e * 100, 2) AS v FROM ({_OLS('PARAM_PRIX')}) WHERE e < -1e-8) SELECT 'PARAM_PRIX' AS feature, count(*) AS n, round(median(v), 3) AS mediane, round(avg(v), 3) AS moyenne FROM e"),
+    "a25_sign_audit": _s(f", e AS (SELECT round(e * 100, 2) AS v FROM ({_OLS('PARAM_PRIX')}) WHERE e < -1e-8) SELECT 'PARAM_PRIX' AS feature, count(*) AS n, count(*) FILTER (WHERE v > 0) AS n_faux, CASE WHEN count(*) FILTER (WHERE v > 0) / count(*) < 0.1 THEN 'OK' WHEN count(*) FILTER (WHERE v > 0) / count(*) < 0.3 THEN 'ATTENTION' ELSE 'PROBLEME' END AS verdict FROM e"),
 }
 
 _DAY = "(1 + 0.02 * w)"
@@ -172,12 +187,12 @@ UNION ALL SELECT {_KEY}, 'PARAM_VACANCE', round(median((z1 - z0) / z0 * 100) FIL
     "m19_forecast_by_version": _s(f", v AS (SELECT DISTINCT {_KEY}, CAST(date_trunc('month', date) AS DATE) AS d FROM sales WHERE month(date) IN (1, 7)), c AS (SELECT v.ID_PRODUIT, v.ID_SO, v.d, regr_intercept(QUANTITE, PARAM_PRIX) AS a, regr_slope(QUANTITE, PARAM_PRIX) AS b FROM v LEFT JOIN sales s ON s.ID_PRODUIT = v.ID_PRODUIT AND s.ID_SO = v.ID_SO AND s.date <= v.d GROUP BY 1, 2, 3) SELECT s.ID_PRODUIT, s.ID_SO, s.date, c.d AS version, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE greatest(a + b * PARAM_PRIX, 0.0) END, 4) AS prediction FROM (SELECT *, max(date) OVER ({P}) AS last FROM sales) s ASOF JOIN c ON s.ID_PRODUIT = c.ID_PRODUIT AND s.ID_SO = c.ID_SO AND s.date >= c.d WHERE s.date < last"),
 }
 SQL["e16_elasticity_export"] = _d(f"""SELECT r.ID_PRODUIT, r.ID_SO, round(avg(abs(n.p - n.QUANTITE)), 5) AS MAE, any_value(SHAP_PARAM_PRIX) AS SHAP_PARAM_PRIX, any_value(ELAST_PARAM_PRIX) AS ELAST_PARAM_PRIX, any_value(TYPE_PARAM_PRIX) AS TYPE_PARAM_PRIX, min(n.date) AS DATE_HIST_MIN, max(n.date) AS DATE_HIST_MAX, any_value(profil_demande) AS CLASSE_SB, 'curve' AS MODELE, 1 AS OK
-FROM rep r JOIN naive n USING ({_KEY}) LEFT JOIN (SELECT {_KEY}, share AS SHAP_PARAM_PRIX FROM ({SQL['e13_attribution_share']}) WHERE feature = 'PARAM_PRIX') USING ({_KEY})
+FROM rep r JOIN naive n USING ({_KEY}) LEFT JOIN (SELECT {_KEY}, share AS SHAP_PARAM_PRIX FROM (SELECT {_KEY}, round(x * 100 / (x + y + z), 2) AS share FROM (SELECT {_KEY}, avg(abs(-0.01 * (PARAM_PRIX - a))) AS x, avg(abs(40.0 * (PARAM_PROMO_1 - b))) AS y, avg(abs(5.0 * (PARAM_VACANCE - c))) AS z FROM sales, (SELECT avg(PARAM_PRIX) AS a, avg(PARAM_PROMO_1) AS b, avg(PARAM_VACANCE) AS c FROM sales) GROUP BY 1, 2)) WHERE share > 0.01) USING ({_KEY})
 LEFT JOIN (SELECT {_KEY}, value AS ELAST_PARAM_PRIX, type AS TYPE_PARAM_PRIX FROM ({SQL['e7_elasticities']}) WHERE feature = 'PARAM_PRIX' AND value <> 0) USING ({_KEY}) GROUP BY 1, 2""", NAIVE + STATS)
 SQL |= {
     "e14_mean_attribution": _s(f", m AS (SELECT avg(PARAM_PRIX) AS a, avg(PARAM_PROMO_1) AS b FROM sales) SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(avg(-0.01 * (PARAM_PRIX - a)), 6) + 0.0 AS attribution FROM sales, m GROUP BY 1, 2 UNION ALL SELECT {_KEY}, 'PARAM_PROMO_1', round(avg(40.0 * (PARAM_PROMO_1 - b)), 6) + 0.0 FROM sales, m GROUP BY 1, 2"),
     "w14_split_at_fraction": _s(f"SELECT {_KEY}, k > floor(n * 0.75) AS is_test, count(*) AS n, min(date) AS d0 FROM (SELECT *, row_number() OVER ({W}) AS k, count(*) OVER ({P}) AS n FROM sales) GROUP BY 1, 2, 3"),
-    "e18_product_profile": _d(f"SELECT o.ID_PRODUIT, o.ID_SO, value, profil FROM ({{ols}}) o JOIN ({{seg}}) s USING ({_KEY})").replace("{ols}", "SELECT ID_PRODUIT, ID_SO, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS value FROM sales GROUP BY 1, 2").replace("{seg}", SQL["a8_demand_segment"]),
+    "e18_product_profile": _d(f"SELECT o.ID_PRODUIT, o.ID_SO, value, profil FROM ({{ols}}) o JOIN ({{seg}}) s USING ({_KEY})").replace("{ols}", f"SELECT {_KEY}, round(e * 100, 2) AS value FROM ({_OLS('PARAM_PRIX')}) WHERE e < -1e-8").replace("{seg}", SQL["a8_demand_segment"]),
 }
 
 # The roles that names have, one for each rule.
@@ -200,9 +215,9 @@ SQL |= {
 x AS (SELECT {_KEY}, median(e) AS v, (quantile_cont(e, 0.75) - quantile_cont(e, 0.25)) / 1.349 AS s FROM e WHERE e IS NOT NULL GROUP BY 1, 2) {_LONG.format(f='PARAM_ANNEE', t="'impact_annuel'", x='x', sign='v')} WHERE round(v, 2) <> 0""",
     "e0_observations": _s(f", r AS (SELECT * FROM sales WHERE (SELECT max(date) FROM sales) - date < 90), k AS (SELECT {_KEY} FROM r GROUP BY 1, 2 HAVING count(*) >= 30) SELECT {_KEY}, date, QUANTITE, PARAM_PRIX, CAST(month(date) AS INTEGER) AS mois, 0.0::DOUBLE AS PARAM_ABSENT FROM r JOIN k USING ({_KEY})"),
     "a10_first_nomenclature": _s(f"SELECT {_KEY}, min_by(n, date) AS ID_NOMENCLATURE FROM (SELECT *, CASE WHEN dayofmonth(date) % 3 = 0 THEN CAST(month(date) AS INTEGER) END AS n FROM sales) WHERE n IS NOT NULL GROUP BY 1, 2"),
-    "a27_benchmark_summary": _d(f", e AS (SELECT {_KEY}, round(avg(abs(p - QUANTITE)), 4) AS a, round(avg(abs(q - QUANTITE)), 4) AS b FROM (SELECT *, lag(QUANTITE, 1) OVER ({W}) AS q FROM naive) WHERE p IS NOT NULL AND ID_SO <> 3 GROUP BY 1, 2) SELECT count(*) AS n, count(*) FILTER (WHERE round(a - b, 4) > 0) AS global_gagne, count(*) FILTER (WHERE round(a - b, 4) <= 0) AS perprod_gagne, round(avg(round(a - b, 4)), 5) AS delta_moyen FROM e", NAIVE),
+    "a27_benchmark_summary": _d(f", e AS (SELECT {_KEY}, round(avg(abs(p - QUANTITE)), 4) AS a, round(avg(abs(q - QUANTITE)), 4) AS b FROM (SELECT *, lag(QUANTITE, 1) OVER ({W}) AS q FROM naive) WHERE p IS NOT NULL AND ID_SO <> 3 GROUP BY 1, 2) SELECT n, global_gagne, perprod_gagne, CAST(sign(s) * ((20 * abs(s) + n) // (2 * n)) AS DOUBLE) / 100000 AS delta_moyen FROM (SELECT count(*) AS n, count(*) FILTER (WHERE round(a - b, 4) > 0) AS global_gagne, count(*) FILTER (WHERE round(a - b, 4) <= 0) AS perprod_gagne, CAST(sum(CAST(round((a - b) * 10000) AS BIGINT)) AS BIGINT) AS s FROM e)", NAIVE),
     "a29_latest_training": f"{_EST}, l AS (SELECT ID_PRODUIT AS id_produit, ID_SO AS id_so, date_trunc('month', date)::DATE AS d, round(stddev_pop(QUANTITE), 6) AS rmse, w AS model_name FROM (SELECT *, unnest(['lundi', 'autre']) AS w FROM m) WHERE (isodow(date) = 1) = (w = 'lundi') GROUP BY ALL) SELECT id_produit, id_so, d AS date_entrainement, model_name, rmse AS rmse_train FROM (SELECT *, row_number() OVER (PARTITION BY id_produit, id_so ORDER BY d DESC, rmse, model_name) AS k FROM l) WHERE k = 1",
-    "t8_compare_elasticities": _s(f", o AS (SELECT {_KEY}, f AS feature, CASE WHEN f = 'PARAM_PRIX' THEN round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) ELSE round(regr_slope(QUANTITE, PARAM_PROMO_1) * avg(PARAM_PROMO_1) / avg(QUANTITE) * 100, 2) END AS ols FROM sales, (SELECT unnest(['PARAM_PRIX', 'PARAM_PROMO_1']) AS f) GROUP BY 1, 2, 3), g AS (SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(least(regr_slope(QUANTITE, PARAM_PRIX) * avg(PARAM_PRIX) / avg(QUANTITE) * 100, 0.0), 2) AS promo FROM sales WHERE PARAM_PROMO_1 > 0 GROUP BY 1, 2) SELECT {_KEY}, feature, ols, promo FROM o FULL JOIN g USING ({_KEY}, feature)"),
+    "t8_compare_elasticities": _s(f", o AS (SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(e * 100, 2) AS ols FROM ({_OLS('PARAM_PRIX')}) WHERE e < -1e-8 UNION ALL SELECT {_KEY}, 'PARAM_PROMO_1', round(e * 100, 2) FROM ({_OLS('PARAM_PROMO_1')}) WHERE e > 1e-8), g AS (SELECT {_KEY}, 'PARAM_PRIX' AS feature, round(e * 100, 2) AS promo FROM ({_OLS('PARAM_PRIX', '(SELECT * FROM sales WHERE PARAM_PROMO_1 > 0)')}) WHERE e < -1e-8) SELECT {_KEY}, feature, ols, promo FROM o FULL JOIN g USING ({_KEY}, feature)"),
     "w20_unscale_series": _s(f"SELECT {_KEY}, date, round(QUANTITE, 6) AS QUANTITE FROM sales"),
     "s14_forecast_json": _s(f"SELECT {_KEY}, '[' || string_agg('{{\"date\":\"' || strftime(date, '%d/%m/%Y') || '\",\"value\":\"' || CAST(QUANTITE AS VARCHAR) || '\"}}', ',' ORDER BY date) || ']' AS forecast FROM sales WHERE year(date) = 1999 GROUP BY 1, 2"),
 }
@@ -222,3 +237,49 @@ SQL |= {
     "r3_stream_daily_demand": "SELECT CAST(ts AS DATE) AS day, event_type, user_id, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
     "r4_stream_score": _s(f", l AS (SELECT regr_slope(QUANTITE, PARAM_PRIX) AS b, regr_intercept(QUANTITE, PARAM_PRIX) AS a FROM sales WHERE year(date) < 1998) SELECT {_KEY}, date, round(greatest(a + b * PARAM_PRIX, 0.0), 4) AS prediction FROM sales, l WHERE year(date) >= 1998"),
 }
+
+
+def _fitted(name: str, rows: str, features: list[str], keys: str = _KEY, ridge: float = 0.0) -> str:
+    """CTEs that end with ``name``: weights w1, w2, … and intercept b of a least-squares fit for each key, by Gauss-Jordan elimination of the moments."""
+    p, out = len(features), []
+    cols = [*features, "QUANTITE"]
+    moments = [f"avg({c}) AS m{i}" for i, c in enumerate(cols)] + [f"covar_pop({a}, {b}) AS c{i}_{j}" for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i] + [f"sqrt(var_pop({c})) AS s{i}" for i, c in enumerate(features)]
+    means = ", ".join(f"m{i}" for i in range(p + 1)) + ", " + ", ".join(f"s{i}" for i in range(p))
+    out.append(f"{name}_m AS MATERIALIZED (SELECT {keys}, count(*) AS n, {', '.join(moments)} FROM {rows} GROUP BY ALL)")
+    cell = lambda i, j: f"n * c{min(i, j)}_{max(i, j)} / s{i}" + (f" / s{j}" if j < p else "") + (f" + {ridge}" if i == j else "")
+    out.append(f"{name}_0 AS MATERIALIZED (SELECT {keys}, {means}, {', '.join(f'{cell(i, j)} AS a{i}_{j}' for i in range(p) for j in range(p + 1))} FROM {name}_m)")
+    for k in range(p):
+        step = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(p) for j in range(p + 1)]
+        out.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {keys}, {means}, {', '.join(step)} FROM {name}_{k})")
+    weights = ", ".join(f"a{i}_{p} / s{i} AS w{i + 1}" for i in range(p))
+    out.append(f"{name} AS MATERIALIZED (SELECT *, m{p} - {' - '.join(f'w{i + 1} * m{i}' for i in range(p))} AS b FROM (SELECT {keys}, {', '.join(f'm{i}' for i in range(p + 1))}, {weights} FROM {name}_{p}))")
+    return ", ".join(out)
+
+
+def _weights(features: list[str], digits: int) -> str:
+    named = ", ".join(f"'{f}'" for f in [*features, "intercept"])
+    values = ", ".join([*[f"w{i + 1}" for i in range(len(features))], "b"])
+    return f"SELECT {_KEY}, unnest([{named}]) AS feature, round(unnest([{values}]), {digits}) + 0.0 AS weight FROM fit"
+
+
+_THREE = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE"]
+_FIVE = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE", "dow", "y1"]
+_SIGNED = lambda i, f: f"w{i} * m{i - 1} / m5" if f not in ("PARAM_PRIX", "PARAM_PROMO_1") else f"{'least' if f == 'PARAM_PRIX' else 'greatest'}(w{i} * m{i - 1} / m5, 0.0)"
+_EFFECT = lambda p, w, i, lo: f"(greatest(b{p} + {' + '.join(f'{w}{j} * {c}' for j, c in enumerate(_THREE, 1))} + {w}{i} * step{i}, 0) - greatest(b{p} + {' + '.join(f'{w}{j} * {c}' for j, c in enumerate(_THREE, 1))} - {w}{i} * step{i}, 0)) / {lo} / 0.2"
+SQL |= {
+    "m17_ols": f"WITH {SALES}, {_fitted('fit', 'sales', ['PARAM_PRIX', 'PARAM_PROMO_1'])} {_weights(['PARAM_PRIX', 'PARAM_PROMO_1'], 5)}",
+    "m8_fit_per_series": f"WITH {SALES}, {_fitted('fit', 'sales', _THREE, ridge=1e-3)} {_weights(_THREE, 4)}",
+    "m14_fit_arx": f"WITH {SALES}, x AS (SELECT *, coalesce(lag(QUANTITE, 1) OVER ({W}), 0.0) AS ar_1, CAST(row_number() OVER ({W}) AS DOUBLE) AS t FROM sales), {_fitted('fit', 'x', ['ar_1', 't', *_THREE], ridge=1e-3)} {_weights(['ar_1', 't', *_THREE], 4)}",
+    "e10_ols_of_features": f"WITH {SALES}, x AS (SELECT *, CAST(isodow(date) - 1 AS DOUBLE) AS dow, coalesce(lag(QUANTITE, 1) OVER ({W}), 0.0) AS y1 FROM sales), {_fitted('fit', 'x', _FIVE)} SELECT {_KEY}, feature, round(e * 100, 2) AS value FROM (SELECT {_KEY}, unnest(['PARAM_PRIX', 'PARAM_PROMO_1', 'PARAM_VACANCE', 'y_origin_m1']) AS feature, unnest([{', '.join(_SIGNED(i, f) for i, f in enumerate(_FIVE, 1) if f != 'dow')}]) AS e FROM fit) WHERE abs(e) > 1e-8",
+    "e1_price_range": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PRIX_' || (i + 1) AS scenario, round(sum({_score('(lo + (hi - lo) * i / 4)')}), 4) AS total FROM (SELECT cv.*, lo, hi, unnest([0, 1, 2, 3, 4]) AS i FROM cv JOIN (SELECT {_KEY}, min(PARAM_PRIX) AS lo, max(PARAM_PRIX) AS hi FROM sales GROUP BY 1, 2) USING ({_KEY})) GROUP BY 1, 2, 3",
+    "e2_one_promo": f"WITH {SALES}{CURVE} SELECT {_KEY}, 'PROMO_' || (5 * i) AS scenario, round(sum({_score(promo='(i / 20)')}), 4) AS total FROM (SELECT *, unnest(range(0, 19)) AS i FROM cv) GROUP BY 1, 2, 3",
+}
+_RAW = f"""WITH {SALES}, r AS (SELECT CASE WHEN dayofyear(date) % 11 <> 0 THEN ID_PRODUIT END AS ID_PRODUIT, CASE WHEN dayofyear(date) % 7 <> 0 OR ID_SO <> 2 THEN ID_SO END AS ID_SO, year(date) + 20 AS y, month(date) AS m, day(date) + ID_SO % 4 AS j, CASE WHEN dayofyear(date) % 13 <> 0 THEN QUANTITE END AS q FROM sales),
+i AS (SELECT *, CASE WHEN j <= 31 AND TRY_CAST(y || '-' || m || '-' || j AS DATE) - DATE '2018-01-01' BETWEEN 0 AND 1099 THEN TRY_CAST(y || '-' || m || '-' || j AS DATE) END AS date FROM r),
+k AS (SELECT * FROM i WHERE ID_PRODUIT IS NOT NULL AND q IS NOT NULL AND ID_SO IS NOT NULL),
+c AS (SELECT count(*) AS lignes, count(*) FILTER (WHERE ID_PRODUIT IS NULL OR q IS NULL) AS sans_produit, count(*) FILTER (WHERE ID_PRODUIT IS NOT NULL AND q IS NOT NULL AND ID_SO IS NULL) AS sans_so, count(*) FILTER (WHERE ID_PRODUIT IS NOT NULL AND q IS NOT NULL AND ID_SO IS NOT NULL AND date IS NULL) AS dates_invalides FROM i)"""
+SQL |= {
+    "a6_counted_ingest": f"{_RAW} SELECT c.*, gardees, produits, couples, date_min, date_max FROM c, (SELECT count(*) AS gardees, count(DISTINCT ID_PRODUIT) AS produits, count(DISTINCT (ID_PRODUIT, ID_SO)) AS couples, min(date) AS date_min, max(date) AS date_max FROM k)",
+    "r3_stream_ingest": f"{_RAW} SELECT {_KEY}, gardees, datees, c.* FROM (SELECT {_KEY}, count(*) AS gardees, count(date) AS datees FROM k GROUP BY 1, 2), c",
+    "s2_kv_archives": _s(f"SELECT CAST(ID_SO * 100 + 7 AS INTEGER) AS ID_NOMENCLATURE, {_KEY}, count(*) AS n, sum(QUANTITE) AS q FROM sales GROUP BY 1, 2, 3"),
+}

@@ -25,29 +25,46 @@ SIGNS = {
 }
 AUDITED = ["PARAM_PRIX", "PARAM_LOG_PRIX", "PARAM_EST_PROMO", "PARAM_PRIX_VENTE_PROMO", "PARAM_DISCOUNT_PCT"]
 
-# Features without an elasticity, by full name and by prefix.
-EXCLUDED = {
-    "ID_PRODUIT", "ID_SO", "ID_NOMENCLATURE", "sb_class", "date", "QUANTITE",
+# Names that are keys or labels of a row.
+NOT_FEATURES = {"date", "QUANTITE"}
+# Features left out of attribution shares and of elasticities.
+EXCLUDED_ALWAYS = {
+    "ID_PRODUIT", "ID_SO", "ID_NOMENCLATURE", "sb_class",
     "PARAM_ANNEE", "PARAM_MOIS", "PARAM_JOUR", "PARAM_JOUR_SEMAIN",
     "dow", "month", "day_of_year", "mois", "semaine", "jour_annee", "horizon",
     "dow_sin", "dow_cos", "month_sin", "month_cos", "day_sin", "day_cos",
     "sin_doy", "cos_doy", "sin_dow", "cos_dow", "sin_month", "cos_month",
     "sin_jour", "cos_jour", "sin_semaine", "cos_semaine", "sin_mois", "cos_mois",
     "PRIX_ACHAT01",
+}
+# Features of the past and of the target's date, which have a share but no elasticity.
+EXCLUDED_HISTORY = {
     "target_dow", "target_month", "target_day", "target_doy", "target_is_weekend", "target_week",
     "days_since_sale", "cv_28", "trend_28",
 }
-EXCLUDED_PREFIXES = (
+EXCLUDED_HISTORY_PREFIXES = (
     "y_origin_m", "y_origin",
     "roll_mean_", "roll_std_", "roll_max_", "roll_min_", "roll_nonzero_ratio_", "roll_quantile_",
     "trend_", "momentum_",
     "ratio_dow", "ratio_month", "cv_month", "interaction_dow", "mean_dow_today", "mean_month_today", "std_month_today",
 )
+# Features for which the comparison of models states no elasticity.
+BENCH_EXCLUDED = {
+    "ID_PRODUIT", "ID_SO", "ID_NOMENCLATURE",
+    "PARAM_ANNEE", "PARAM_MOIS", "PARAM_JOUR", "PARAM_JOUR_SEMAIN",
+    "dow", "month", "day_of_year", "dow_sin", "dow_cos", "month_sin", "month_cos", "day_sin", "day_cos", "horizon",
+    "sin_doy", "cos_doy", "sin_dow", "cos_dow", "sin_month", "cos_month",
+}
+
+
+def has_share(name: str) -> bool:
+    """Whether a feature has an attribution share."""
+    return name not in EXCLUDED_ALWAYS | NOT_FEATURES
 
 
 def feature_role(name: str) -> str:
     """excluded, binary, promo, cal_unit or continuous: what is excluded comes first, so no calendar unit is left in practice."""
-    if name in EXCLUDED or name.startswith(EXCLUDED_PREFIXES):
+    if not has_share(name) or name in EXCLUDED_HISTORY or name.startswith(EXCLUDED_HISTORY_PREFIXES):
         return "excluded"
     if name in BINARY or name.startswith("PARAM_JS_"):
         return "binary"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidewell.schema import K
 
+#: Characters of an archive's text that are unpacked at a time, about.
+ARCHIVE_CHARS = 1 << 22
 
 def parse_kv(line: Column) -> Column:
     """Map of a ``{K=V, K=V}`` line, or null; pairs without = are dropped, the last of equal keys wins."""
@@ -27,8 +31,13 @@ def read_kv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(parse_kv(F.col("value")).alias("kv")).filter("kv is not null")
 
 
-def read_kv_archives(spark: SparkSession, path: str, max_files: int = 50) -> DataFrame:
-    """Lines of the first ``max_files`` zip archives by name: of each, its history text."""
+def read_kv_archives(spark: SparkSession, path: str, max_files: int = 50, chars: int = ARCHIVE_CHARS) -> DataFrame:
+    """Lines of the first ``max_files`` zip archives by name: of each, its history text.
+
+    A task holds the compressed bytes of one archive (2 GB at most, Spark's bound of a value) and about
+    ``chars`` characters of its text: the member is unpacked as a stream and its lines leave in
+    portions.  Bytes that are no UTF-8 are replaced.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     first = files.select("path").orderBy("path").limit(max_files)
 
@@ -39,12 +48,53 @@ def read_kv_archives(spark: SparkSession, path: str, max_files: int = 50) -> Dat
                     texts = [n for n in z.namelist() if n.lower().endswith(".txt")]
                     chosen = [n for n in texts if "HIST" in n] or [n for n in texts if not n.startswith("__")]
                     if chosen:
-                        yield pd.DataFrame({"path": name, "value": z.read(chosen[0]).decode("utf-8", "replace").splitlines()})
+                        with z.open(chosen[0]) as raw, io.TextIOWrapper(raw, "utf-8", errors="replace") as lines:
+                            while portion := lines.readlines(chars):
+                                yield pd.DataFrame({"path": name, "value": [x.rstrip("\n") for x in portion]})
 
     lines = files.join(first, "path", "left_semi").select("path", "content").mapInPandas(unpack, "path string, value string")
     return lines.select("path", nomenclature(F.col("path")).alias("ID_NOMENCLATURE"), parse_kv(F.col("value")).alias("kv")).filter("kv is not null")
 
 
+def write_kv_archives(df: DataFrame, line: Column, path: str, parts: int = 1) -> DataFrame:
+    """Lines zipped by ID_NOMENCLATURE, in ``parts`` archives each, as data_CENTRALE_{nomenclature}_{part}.zip.
+
+    Executors write to ``path`` as a local path, so it must be a file system that all of them mount.
+    Lines stream into an archive, which gets its name when it is whole.  Returns path and lines of each.
+    """
+    scheme, folder = path.split(":", 1) if ":" in path else ("file", path)
+    if scheme != "file":
+        raise ValueError("archives can be written to a mounted file system only")
+    folder = "/" + folder.lstrip("/")
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        at, done, archive, member, hidden, count = None, [], None, None, "", 0
+
+        def close() -> None:
+            if archive:
+                member.close()
+                archive.close()
+                name = f"{folder}/data_CENTRALE_{at[0]}_{at[1]}.zip"
+                os.replace(hidden, name)
+                done.append((name, count))
+
+        for frame in frames:
+            for nom, part, value in zip(frame["nom"], frame["part"], frame["value"]):
+                if (nom, part) != at:
+                    close()
+                    at, count, hidden = (nom, part), 0, f"{folder}/.{uuid.uuid4().hex}"
+                    archive = zipfile.ZipFile(hidden, "w", zipfile.ZIP_DEFLATED)
+                    member = archive.open(f"HIST_{nom}_{part}.txt", "w", force_zip64=True)
+                member.write(value.encode() + b"\n")
+                count += 1
+        close()
+        yield pd.DataFrame(done, columns=["path", "lignes"])
+
+    keyed = df.select(F.col("ID_NOMENCLATURE").alias("nom"), line.alias("value")).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int"))
+    return keyed.repartition("nom", "part").sortWithinPartitions("nom", "part").mapInPandas(pack, "path string, lignes long")
+
+
 def nomenclature(path: Column) -> Column:
     return F.regexp_extract(path, r"data_CENTRALE_(\d+)_(\d+)\.zip", 1).try_cast("int")
 
@@ -60,9 +110,23 @@ def read_series_class(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(k).cast("long").alias(k) for k in K], "classification")
 
 
-def read_sales_jdbc(spark: SparkSession, options: dict[str, str], query: str) -> DataFrame:
-    """Rows of a database; address and credentials come from the caller."""
-    return spark.read.format("jdbc").options(**options).option("query", query).load()
+def read_sales_jdbc(spark: SparkSession, options: dict[str, str], query: str = "", table: str = "", column: str = "", parts: int = 8, predicate: str = "") -> DataFrame:
+    """Rows of a database; address and credentials come from the caller.
+
+    A ``query`` is pulled by one task.  A ``table`` is read in ``parts`` ranges of ``column`` (a number,
+    date or timestamp), each a query of its own; their bounds are the column's extremes, which the database
+    finds.  ``predicate`` (in the database's SQL) is part of every query; filters and selections of the result are
+    pushed down, too.
+    """
+    source = spark.read.format("jdbc").options(**options)
+    if query:
+        return source.option("query", query).load()
+    where = f" where {predicate}" if predicate else ""
+    low, high = source.option("query", f"select min({column}) as lo, max({column}) as hi from {table}{where}").load().first()
+    rows = spark.read.format("jdbc").options(**options).option("dbtable", f"(select * from {table}{where}) t" if where else table)
+    if low is not None and parts > 1:
+        rows = rows.option("partitionColumn", column).option("lowerBound", str(low)).option("upperBound", str(high)).option("numPartitions", parts)
+    return rows.load()
 
 
 def write_semicolon_csv(df: DataFrame, path: str) -> None:

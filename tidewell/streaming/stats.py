@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewell.operators.clean import counted_ingest
 from tidewell.operators.demand import classify_demand
 from tidewell.schema import K
+from tidewell.streaming.upsert import upsert
+
+#: Name of the counters of a stream.
+INGEST = "ingest"
 
 
 def _days(day: Column) -> Column:
@@ -35,12 +42,46 @@ def running_class(stats: DataFrame) -> DataFrame:
 
 
 def stream_class_updates(sales: DataFrame, path: str, checkpoint: str, first: str = "2018-01-01") -> StreamingQuery:
-    """Classes rewritten after each batch, by class; no day is before ``first``."""
+    """Statistics and class of each couple kept up to date; no day is before ``first``.
+
+    A batch brings the couples that it changed, and only those are written (``upsert``);
+    ``read_current`` gives each couple's latest row.
+    """
+
+    def change(batch: DataFrame, number: int) -> None:
+        upsert(running_class(batch), number, path, K)
+
+    return stream_series_stats(sales, first).writeStream.outputMode("update").foreachBatch(change).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_ingest(raw: DataFrame, path: str, checkpoint: str, **window) -> StreamingQuery:
+    """Valid dated sales of raw rows, appended as they arrive; what is left out is counted in the same pass (``ingest_counts``)."""
+    kept = counted_ingest(raw, INGEST, **window)
+    return kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _progress(query: StreamingQuery) -> list[dict]:
+    """Progress of every batch of this run; fails where Spark has kept only the last ones."""
+    found = [json.loads(p.json) for p in query.recentProgress]
+    batches = sorted({p["batchId"] for p in found})
+    kept = int(query.sparkSession.conf.get("spark.sql.streaming.numRecentProgressUpdates") if hasattr(query, "sparkSession") else 100)
+    if len(found) >= kept:
+        raise ValueError(f"more than {kept} batches: raise spark.sql.streaming.numRecentProgressUpdates")
+    return found if batches else []
+
+
+def ingest_counts(query: StreamingQuery) -> dict[str, int]:
+    """Sums of the counters of ``stream_ingest`` over the batches of a run."""
+    total: dict[str, int] = {}
+    for p in _progress(query):
+        for name, n in p.get("observedMetrics", {}).get(INGEST, {}).items():
+            total[name] = total.get(name, 0) + n
+    return total
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        running_class(batch).write.mode("overwrite").partitionBy("profil_demande").parquet(path)
 
-    return stream_series_stats(sales, first).writeStream.outputMode("complete").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark of a run dropped as too late."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in _progress(query) for op in p.get("stateOperators", []))
 
 
 def stream_daily_demand(events: DataFrame, late: str = "2 days") -> DataFrame:
