@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import BYTE_CODES, durable, mix64, prefix_hash, table, window_hash
+from tidewell.llm.shared import BYTE_CODES, durable, mix64, new_folder, prefix_hash, table, window_hash
 
 LENGTH = 400
 #: Positions among which a start finds its anchor; a power of two.
@@ -549,7 +549,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CO
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (BUCKET_ANCHORS * WINDOW // 2)))
     name = f"tidewell_blocks_{uuid.uuid4().hex}"
-    _pack(docs).write.bucketBy(int(min(50_000, max(8, total // (16 * BLOCK_BYTES)))), "block").saveAsTable(name)
+    _pack(docs).write.bucketBy(int(min(50_000, max(8, total // (16 * BLOCK_BYTES)))), "block").option("path", new_folder(spark, "substring-blocks")).saveAsTable(name)
     blocks = spark.table(name)
     # a bucket holds one blob of each block: tasks that meet to hold few of them
     parts = _core_hashes(blocks, length, buckets)
@@ -563,7 +563,10 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CO
     starts = runs.filter("kind = 'run'").groupBy("part").applyInPandas(_merge(length), _PARTS)
     hot_ones = runs.filter("kind = 'key_hot'").groupBy("part").applyInPandas(_judge(hot, "_hot"), _PARTS)
     found = contexts.filter("kind = 'local'").unionByName(verdicts.filter("kind = 'settled'")).unionByName(starts).unionByName(runs.filter("kind = 'local_hot'")).unionByName(hot_ones)
-    return _cover(_with_parts(blocks, found, "left"), length)
+    out = _cover(_with_parts(blocks, found, "left"), length)
+    # the plan reads the files in the shared folder; the catalog need not keep their name
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
