@@ -7,7 +7,9 @@ pivot, which is its cell; it is computed once and written.  The largest
 |d(q, p) - d(x, p)| bounds d(q, x) from below and so s from above.  Each query starts
 with the k-th best score among the vectors stored beside it; groups of a cell whose
 ranges of distances cannot beat that score never get the query.  In the others the
-candidates are scored in bound order until no bound that is left reaches the k-th best.
+candidates are scored in bound order, portion by portion, until no bound that is left reaches
+the k-th best; the others are never multiplied.  Pivots are far apart: each is the farthest from those
+before it in a sample.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ GROUP_BYTES, BLOCK_BYTES = 1 << 26, 1 << 25
 PACK_ROWS = 2048
 #: Groups whose ranges meet a block of queries in one task.
 SLOT_GROUPS = 16
-#: Candidates of the highest bounds that are scored before the others.
+#: Candidates of the highest bounds that are scored first; each further portion is twice as large.
 STEP = 256
+#: Vectors, for each pivot, of the sample that the pivots are chosen from.
+SAMPLE = 16
 #: Bounds of a long, at which scores end.
 LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -115,15 +119,22 @@ def search(best: Best, q: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np
         alive = bound >= best.least[part, None]
         if not alive.any():
             continue
-        scores = exact_scores(vectors, codes[part], top)
         for i in np.flatnonzero(alive.any(axis=1)).tolist():
             rest = np.flatnonzero(alive[i])
-            if len(rest) > STEP:
-                first = rest[np.argpartition(-bound[i, rest], STEP)[:STEP]]
-                best.add(lo + i, ids[first], scores[i, first])
-                alive[i, first] = False
-                rest = np.flatnonzero(alive[i] & (bound[i] >= best.least[lo + i]))
-            best.add(lo + i, ids[rest], scores[i, rest])
+            rest, done, size = rest[np.argsort(-bound[i, rest], kind="stable")], 0, STEP
+            while done < len(rest) and bound[i, rest[done]] >= best.least[lo + i]:
+                some = rest[done : done + size]
+                best.add(lo + i, ids[some], exact_scores(vectors[some], codes[lo + i : lo + i + 1], top)[0])
+                done, size = done + len(some), 2 * size
+
+
+def far_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x, each the farthest from those before it (the first row first)."""
+    picked, away = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(picked) < min(n, len(x)):
+        picked.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    return x[picked]
 
 
 def _matrix(raw: bytes, n: int, kind: str) -> np.ndarray:
@@ -224,10 +235,10 @@ def exact_top_k(vectors: DataFrame, vector: str = "embedding", k: int = 5, every
     norm = F.aggregate("codes", F.lit(0.0), lambda a, x: a + x * x)
     rows, top, asked = coded.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("vec_id") % every == 0, F.size("codes") * 8 + 4 * n_pivots)), F.lit(0))).first()
     pivots: dict[int, np.ndarray] = {}
-    picked = [np.array(r[0], float) for r in coded.orderBy(F.xxhash64("vec_id"), "vec_id", "codes").select("codes").limit(n_pivots).collect()] if math.isfinite(top) else []
+    picked = [np.array(r[0], float) for r in coded.orderBy(F.xxhash64("vec_id"), "vec_id", "codes").select("codes").limit(SAMPLE * n_pivots).collect()] if math.isfinite(top) else []
     for d in {len(p) for p in picked}:
         x = np.stack([p for p in picked if len(p) == d])
-        pivots[d] = np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0.0))])
+        pivots[d] = far_apart(np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0.0))]), n_pivots)
     points = _pivot_table(coded, pivots, max(1, rows // PACK_ROWS), top)
     rows_of = F.greatest(F.lit(PACK_ROWS), F.lit(group_bytes) / (F.col("dim") * 8 + 4 * n_pivots))
     salts = points.groupBy("dim", "cell").agg(F.count("*").alias("_n")).select("dim", "cell", F.ceil(F.col("_n") / rows_of).cast("int").alias("_salts"))
