@@ -318,7 +318,7 @@ def test_early_stopping_and_two_kinds_of_rows(spark):
     assert {r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"QUANTITE_AJUSTE": 300, "QUANTITE_0": 7}
 
 
-NEW = ["p2_date_from_parts", "p12_feature_role", "e0_observations", "e5_calendar_unit", "a27_benchmark_summary", "a29_latest_training", "t8_compare_elasticities", "w21_holdout_slice", "e10_ols_of_features", "m8_fit_per_series", "m14_fit_arx", "m17_ols", "e13_attribution_share", "e1_price_range", "e2_one_promo", "j6_version_intervals", "a6_counted_ingest"]
+NEW = ["p2_date_from_parts", "p12_feature_role", "e0_observations", "e5_calendar_unit", "a27_benchmark_summary", "a29_latest_training", "t8_compare_elasticities", "w21_holdout_slice", "e10_ols_of_features", "m8_fit_per_series", "m14_fit_arx", "m17_ols", "e13_attribution_share", "e1_price_range", "e2_one_promo", "j6_version_intervals", "a6_counted_ingest", "e17_compare_lines", "s3_nomenclature", "t3_first_files", "p6_numeric_columns", "p9_narrow_types", "p17_exogenous", "t2_top_features"]
 ROUND_TRIPS = ["s1_kv_text", "s2_kv_archives", "r3_stream_ingest", "s4_semicolon_csv", "s5_series_class", "s7_by_class", "s8_sample_cache", "s11_kv_by_nomenclature", "s13_payloads", "s16_run_metadata", "r2_stream_class_updates", "r3_stream_daily_demand", "r4_stream_score"]
 
 

@@ -684,6 +684,43 @@ def p7_drop_uninformative(spark, d):
     return spark.createDataFrame([(c,) for c in left], "colonne string")
 
 
+@query
+def p6_numeric_columns(spark, d):
+    """The number columns of two tables without their keys, with their rows."""
+    out = None
+    for name, keys in (("lineitem", ("l_orderkey", "l_partkey", "l_suppkey")), ("part", ("p_partkey",))):
+        rows = spark.read.parquet(f"{d}/{name}.parquet")
+        found = F.explode(F.array(*[F.lit(c) for c in clean.numeric_columns(rows, keys)]))
+        own = rows.select(found.alias("colonne")).groupBy("colonne").agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "colonne", "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def p9_narrow_types(spark, d):
+    """The types that columns are narrowed to, and their extremes after that."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("QUANTITE"), F.col("l_orderkey").cast("long").alias("cle"), (F.col("l_orderkey").cast("long") * 1000003 * 1000).alias("large"))
+    narrow = clean.narrow_types(rows)
+    extremes = [F.struct(F.lit(c).alias("colonne"), F.lit(t).alias("type"), F.min(c).cast("double").alias("a"), F.max(c).cast("double").alias("b")) for c, t in narrow.dtypes]
+    return narrow.agg(F.array(*extremes).alias("x")).select(F.inline("x"))
+
+
+@query
+def p17_exogenous(spark, d):
+    """Totals of the parameters without the target."""
+    rows = sales(spark, d)
+    names = clean.split_numeric_exogenous([c for c in clean.numeric_columns(rows, ("ID_SO",))])
+    return rows.agg(F.array(*[F.struct(F.lit(c).alias("colonne"), F.round(F.sum(c), 2).alias("total")) for c in names]).alias("x")).select(F.inline("x"))
+
+
+@query
+def t2_top_features(spark, d):
+    """The three features of the highest correlation with demand, either way."""
+    rows = ft.build_features(sales(spark, d))
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.abs(F.corr("QUANTITE", f)), 5).alias("importance")) for f in FEATURES])
+    return metrics.top_features(rows.agg(each.alias("x")).select(F.inline("x")), 3)
+
+
 @query
 def p10_align_features(spark, d):
     return clean.align_features(sales(spark, d), ["PARAM_ABSENT", "PARAM_PROMO_1"])
@@ -796,6 +833,22 @@ def s1_kv_text(spark, d):
     return text.read_kv_text(spark, path).groupBy(kv["ID_PRODUIT"].alias("ID_PRODUIT"), kv["ID_SO"].cast("int").alias("ID_SO")).agg(F.count("*").alias("n"), F.sum(kv["QUANTITE"].cast("double")).alias("q"), F.round(F.sum(kv["PARAM_PROMO_1"].cast("double")), 4).alias("s"))
 
 
+@query
+def s3_nomenclature(spark, d):
+    """Numbers in the names that archives of parts would have."""
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("/x/data_CENTRALE_"), F.col("p_size").cast("string"), F.lit("_"), (F.col("p_partkey") % 7).cast("string"), F.lit(".zip")).alias("f"))
+    return names.groupBy(text.nomenclature(F.col("f")).alias("nomenclature"), text.file_number(F.col("f")).alias("fichier")).agg(F.count("*").alias("n"))
+
+
+@query
+def t3_first_files(spark, d):
+    """The first three archives by name, one for each nomenclature."""
+    path = new_folder(spark, "archives")
+    rows = sales(spark, d).withColumn("ID_NOMENCLATURE", F.col("ID_SO") * 100 + 7)
+    text.write_kv_archives(rows, text.to_kv_line(rows, [*K, "QUANTITE"]), path).count()
+    return text.read_kv_archives(spark, path, max_files=3).groupBy("ID_NOMENCLATURE").agg(F.count("*").alias("n"))
+
+
 @query
 def s4_semicolon_csv(spark, d):
     """Sales written as CSV and read again."""

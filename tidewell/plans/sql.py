@@ -265,7 +265,6 @@ def _weights(features: list[str], digits: int) -> str:
 _THREE = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE"]
 _FIVE = ["PARAM_PRIX", "PARAM_PROMO_1", "PARAM_VACANCE", "dow", "y1"]
 _SIGNED = lambda i, f: f"w{i} * m{i - 1} / m5" if f not in ("PARAM_PRIX", "PARAM_PROMO_1") else f"{'least' if f == 'PARAM_PRIX' else 'greatest'}(w{i} * m{i - 1} / m5, 0.0)"
-_EFFECT = lambda p, w, i, lo: f"(greatest(b{p} + {' + '.join(f'{w}{j} * {c}' for j, c in enumerate(_THREE, 1))} + {w}{i} * step{i}, 0) - greatest(b{p} + {' + '.join(f'{w}{j} * {c}' for j, c in enumerate(_THREE, 1))} - {w}{i} * step{i}, 0)) / {lo} / 0.2"
 SQL |= {
     "m17_ols": f"WITH {SALES}, {_fitted('fit', 'sales', ['PARAM_PRIX', 'PARAM_PROMO_1'])} {_weights(['PARAM_PRIX', 'PARAM_PROMO_1'], 5)}",
     "m8_fit_per_series": f"WITH {SALES}, {_fitted('fit', 'sales', _THREE, ridge=1e-3)} {_weights(_THREE, 4)}",
@@ -283,3 +282,38 @@ SQL |= {
     "r3_stream_ingest": f"{_RAW} SELECT {_KEY}, gardees, datees, c.* FROM (SELECT {_KEY}, count(*) AS gardees, count(date) AS datees FROM k GROUP BY 1, 2), c",
     "s2_kv_archives": _s(f"SELECT CAST(ID_SO * 100 + 7 AS INTEGER) AS ID_NOMENCLATURE, {_KEY}, count(*) AS n, sum(QUANTITE) AS q FROM sales GROUP BY 1, 2, 3"),
 }
+
+
+def _pushed(name: str, rows: str, raw: str, weights: list[str]) -> str:
+    """CTE of the effect in % of steps of a tenth of the mean of price and promotion on a linear prediction ``raw``, by couple."""
+    ys = {f: (f"greatest({raw} + {w} * {step}, 0)", f"greatest({raw} - {w} * {step}, 0)") for f, w, step in zip("pr", weights, ("sp", "sr"))}
+    effects = ", ".join(f"round(avg(({u} - {d}) / greatest({raw}, 0) / 0.2) FILTER (WHERE {raw} > 1e-8), 2) AS {f}" for f, (u, d) in ys.items())
+    steps = ", ".join(f"CASE WHEN abs(avg({c}) OVER ({P})) > 1e-8 THEN avg({c}) OVER ({P}) * 0.1 WHEN stddev_pop({c}) OVER ({P}) > 1e-8 THEN stddev_pop({c}) OVER ({P}) * 0.1 END AS {n}" for c, n in (("PARAM_PRIX", "sp"), ("PARAM_PROMO_1", "sr")))
+    return f"{name} AS (SELECT {_KEY}, {effects} FROM (SELECT *, {steps} FROM {rows}) GROUP BY 1, 2)"
+
+
+_LINE = lambda t: f"{t}b + " + " + ".join(f"{t}{i} * {c}" for i, c in enumerate(_THREE, 1))
+_OWN = lambda t, fit: ", ".join([f"{fit}.w{i} AS {t}{i}" for i in (1, 2, 3)] + [f"{fit}.b AS {t}b"])
+_ERROR = lambda y, n: f"round(avg(abs(greatest({y}, 0) - QUANTITE)) FILTER (WHERE is_test), 4) AS MAE_{n}, round(sqrt(avg(pow(greatest({y}, 0) - QUANTITE, 2)) FILTER (WHERE is_test)), 4) AS RMSE_{n}"
+_SEEN = lambda e: f"CASE WHEN abs({e}) > 1e-8 THEN {e} END"
+SQL["e17_compare_lines"] = f"""WITH {SALES}, s AS (SELECT *, max(date) OVER ({P}) AS last FROM sales), tr AS (SELECT *, 1 AS tous FROM s WHERE date <= last - 31), {_fitted('g', 'tr', _THREE, 'tous')},
+pick AS (SELECT {_KEY} FROM (SELECT *, row_number() OVER (ORDER BY v DESC, {_KEY}) - 1 AS r, count(*) OVER () AS n FROM (SELECT {_KEY}, sum(QUANTITE) AS v FROM tr GROUP BY 1, 2)) WHERE list_contains(list_transform(range(0, 7), lambda i: CAST(round_even(i * (n - 1) / 6, 0) AS BIGINT)), r)),
+a AS (SELECT s.*, date > last - 30 AS t0, date <= last - 31 AS r0, row_number() OVER (PARTITION BY {_KEY} ORDER BY date DESC) AS back FROM s JOIN pick USING ({_KEY})),
+f AS (SELECT *, count(*) FILTER (WHERE t0) OVER ({P}) < 5 OR count(*) FILTER (WHERE r0) OVER ({P}) < 30 AS few, count(*) FILTER (WHERE date > last - 90) OVER ({P}) AS late FROM a),
+x AS MATERIALIZED (SELECT *, CASE WHEN few THEN back <= 30 ELSE t0 END AS is_test, CASE WHEN few THEN back > 30 ELSE r0 END AS is_train FROM f),
+{_fitted('o', '(SELECT * FROM x WHERE is_train)', _THREE, ridge=1e-3)}, {_fitted('l', 'x', _THREE)},
+y AS MATERIALIZED (SELECT x.*, {_OWN('u', 'o')}, {_OWN('v', 'g')} FROM x JOIN o USING ({_KEY}), g),
+e AS (SELECT {_KEY}, count(*) FILTER (WHERE is_train) AS n_train, count(*) FILTER (WHERE is_test) AS n_test, {_ERROR(_LINE('u'), 'perprod')}, {_ERROR(_LINE('v'), 'global')} FROM y GROUP BY 1, 2),
+{_pushed('pp', 'y', _LINE('u'), ['u1', 'u2'])}, {_pushed('gl', '(SELECT * FROM y WHERE date > last - 90 OR late < 30)', _LINE('v'), ['v1', 'v2'])},
+k AS (SELECT {_KEY}, least(w1 * m0 / m3, 0.0) AS p, greatest(w2 * m1 / m3, 0.0) AS r FROM l)
+SELECT {_KEY}, n_train, n_test, MAE_perprod, RMSE_perprod, CASE WHEN n_test >= 5 THEN MAE_global END AS MAE_global, CASE WHEN n_test >= 5 THEN RMSE_global END AS RMSE_global, CASE WHEN n_test >= 5 THEN round(MAE_perprod - MAE_global, 4) END AS delta_MAE,
+CASE WHEN k.p < -1e-8 THEN round(k.p * 100, 2) END AS ELAST_PRIX_ols, {_SEEN('pp.p')} AS ELAST_PRIX_pert_pp, {_SEEN('gl.p')} AS ELAST_PRIX_global, CASE WHEN k.r > 1e-8 THEN round(k.r * 100, 2) END AS ELAST_PROMO_ols, {_SEEN('pp.r')} AS ELAST_PROMO_pert_pp, {_SEEN('gl.r')} AS ELAST_PROMO_global
+FROM e LEFT JOIN k USING ({_KEY}) LEFT JOIN pp USING ({_KEY}) LEFT JOIN gl USING ({_KEY})"""
+SQL |= {
+    "s3_nomenclature": "SELECT CAST(substr(f, 15, strpos(substr(f, 15), '_') - 1) AS INTEGER) AS nomenclature, CAST(regexp_extract(f, '_(\\d+)\\.zip$', 1) AS INTEGER) AS fichier, count(*) AS n FROM (SELECT 'data_CENTRALE_' || p_size || '_' || (p_partkey % 7) || '.zip' AS f FROM part) GROUP BY 1, 2",
+    "p6_numeric_columns": "SELECT 'lineitem' AS t, unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_quantity', 'l_tax']) AS colonne, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'part', unnest(['p_retailprice', 'p_size']), count(*) FROM part GROUP BY 1",
+    "p9_narrow_types": "SELECT 'QUANTITE' AS colonne, 'float' AS type, CAST(min(l_quantity) AS DOUBLE) AS a, CAST(max(l_quantity) AS DOUBLE) AS b FROM lineitem UNION ALL SELECT 'cle', 'int', CAST(min(l_orderkey) AS DOUBLE), CAST(max(l_orderkey) AS DOUBLE) FROM lineitem UNION ALL SELECT 'large', 'bigint', CAST(min(l_orderkey) * 1000003 AS DOUBLE) * 1000, CAST(max(l_orderkey) * 1000003 AS DOUBLE) * 1000 FROM lineitem",
+    "p17_exogenous": _s("SELECT unnest(['PARAM_PRIX', 'PARAM_PROMO_1', 'PARAM_VACANCE']) AS colonne, unnest([round(sum(PARAM_PRIX), 2), round(sum(PARAM_PROMO_1), 2), round(sum(PARAM_VACANCE), 2)]) AS total FROM sales"),
+    "t2_top_features": f"WITH {SALES} SELECT feature, round(importance, 5) AS importance FROM (SELECT unnest(['PARAM_PRIX', 'PARAM_PROMO_1', 'PARAM_VACANCE', 'dow', 'mois']) AS feature, unnest([abs(corr(QUANTITE, PARAM_PRIX)), abs(corr(QUANTITE, PARAM_PROMO_1)), abs(corr(QUANTITE, PARAM_VACANCE)), abs(corr(QUANTITE, isodow(date))), abs(corr(QUANTITE, month(date)))]) AS importance FROM sales) ORDER BY importance DESC LIMIT 3",
+    "t3_first_files": _s("SELECT CAST(ID_SO * 100 + 7 AS INTEGER) AS ID_NOMENCLATURE, count(*) AS n FROM sales WHERE ID_SO IN (SELECT ID_SO FROM (SELECT DISTINCT ID_SO FROM sales) ORDER BY 'data_CENTRALE_' || (ID_SO * 100 + 7) || '_0.zip' LIMIT 3) GROUP BY 1"),
+}

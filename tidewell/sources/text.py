@@ -99,6 +99,10 @@ def nomenclature(path: Column) -> Column:
     return F.regexp_extract(path, r"data_CENTRALE_(\d+)_(\d+)\.zip", 1).try_cast("int")
 
 
+def file_number(path: Column) -> Column:
+    return F.regexp_extract(path, r"data_CENTRALE_(\d+)_(\d+)\.zip", 2).try_cast("int")
+
+
 def read_semicolon_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep=";", header=True, schema=schema)
 
