@@ -121,8 +121,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of lines only, as the SQL has it; corpus_pipeline.py also drops long single lines."""
-    cleaned = drop_repeated_lines(table(spark, sf_dir, "documents"), min_words=None)
+    cleaned = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
@@ -132,7 +131,8 @@ l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d)
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE length(regexp_replace(line, '\s+', '', 'g')) > 0),
 w AS (SELECT a.doc_id, a.j, a.line AS x, b.line AS y FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.j = a.j + 1),
 r AS (SELECT doc_id, j, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, j) AS n FROM w),
-c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, j FROM r WHERE n > 1 UNION ALL SELECT doc_id, j + 1 FROM r WHERE n > 1)),
+o AS (SELECT doc_id, j, row_number() OVER (PARTITION BY line ORDER BY doc_id, j) AS n FROM f WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, j FROM r WHERE n > 1 UNION ALL SELECT doc_id, j + 1 FROM r WHERE n > 1 UNION ALL SELECT doc_id, j FROM o WHERE n > 1)),
 g AS (SELECT f.doc_id, f.i, f.j FROM f JOIN c USING (doc_id, j)),
 n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p IS NULL OR p <> j - 1) AS n_runs
       FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS p FROM g) GROUP BY doc_id),
