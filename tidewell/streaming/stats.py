@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,11 +63,10 @@ def stream_ingest(raw: DataFrame, path: str, checkpoint: str, **window) -> Strea
 def _progress(query: StreamingQuery) -> list[dict]:
     """Progress of every batch of this run; fails where Spark has kept only the last ones."""
     found = [json.loads(p.json) for p in query.recentProgress]
-    batches = sorted({p["batchId"] for p in found})
-    kept = int(query.sparkSession.conf.get("spark.sql.streaming.numRecentProgressUpdates") if hasattr(query, "sparkSession") else 100)
+    kept = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
     if len(found) >= kept:
-        raise ValueError(f"more than {kept} batches: raise spark.sql.streaming.numRecentProgressUpdates")
-    return found if batches else []
+        raise ValueError(f"{kept} batches or more: raise spark.sql.streaming.numRecentProgressUpdates")
+    return found
 
 
 def ingest_counts(query: StreamingQuery) -> dict[str, int]:
