@@ -27,7 +27,7 @@ from tidewell.llm.shared import durable, mix64, table
 
 K, PERCENT = 5, 80
 #: Shingles of all texts whose third (the prefixes) meets in one task, about.
-PART_ROWS = 1 << 20
+PART_ROWS = 1 << 23
 #: Bytes of the hashes of shingles and of classes that the first filter sends.
 TOKEN, NAME = 6, 5
 #: Members of a bucket that meet another such part of it in one task.
