@@ -334,3 +334,28 @@ def test_queries_equal_sql(spark, name):
     rel = con.sql(registry.oracle_sql()[name])
     at = [rel.columns.index(c) for c in cols]
     assert got == sorted([show(r[i]) for i in at] for r in rel.fetchall())
+
+
+def test_correlation_of_a_constant_is_undefined(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (4.0, 3.0, 5.0)], "y double, x double, same double")
+    r = rows.agg(metrics.correlation("y", "x").alias("x"), F.corr("y", "x").alias("c"), metrics.correlation("y", "same").alias("same"), metrics.correlation("same", "y").alias("turned")).first()
+    assert r["x"] == pytest.approx(r["c"]) and r["same"] != r["same"] and r["turned"] != r["turned"]
+    assert rows.limit(0).agg(metrics.correlation("y", "x")).first()[0] is None
+
+
+@pytest.fixture(scope="module")
+def no_promotions(tmp_path_factory):
+    """The given tables with one discount for all lines, so that no couple has a promotion."""
+    folder, con = tmp_path_factory.mktemp("flat"), duckdb.connect()
+    for t in ("lineitem", "part", "supplier", "nation"):
+        one = " replace (0.05::double as l_discount)" if t == "lineitem" else ""
+        con.execute(f"copy (select *{one} from '{DATA}/{t}.parquet') to '{folder}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["t2_top_features"])
+def test_queries_equal_sql_without_promotions(spark, no_promotions, name):
+    folder, con = no_promotions
+    df = registry.queries()[name](spark, folder)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
