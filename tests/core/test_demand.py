@@ -354,8 +354,14 @@ def no_promotions(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["t2_top_features"])
+@pytest.mark.parametrize("name", ["t2_top_features", "e11_perturb_single"])
 def test_queries_equal_sql_without_promotions(spark, no_promotions, name):
     folder, con = no_promotions
     df = registry.queries()[name](spark, folder)
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
+
+
+def test_flags_that_a_couple_never_changes(spark):
+    rows = series(spark, [5] * 4).withColumn("PARAM_PROMO_1", F.lit(0.0))
+    run = lambda **how: [r["value"] for r in totals.perturb_single(rows, ["PARAM_PROMO_1"], lambda x: 10 + 5 * x["PARAM_PROMO_1"], ["PARAM_PROMO_1"], **how).collect()]
+    assert run() == [] and run(constant_flags=True) == [50.0]

@@ -321,7 +321,7 @@ def compare_with_global(df: DataFrame, couples: DataFrame, features: list[str],
     late = F.col("date") > F.date_sub(F.max("date").over(Window.partitionBy(*K)), 90)
     recent = beside.withColumn("_late", late).withColumn("_n", F.count_if("_late").over(Window.partitionBy(*K))).filter("_late or _n < 30").drop("_late", "_n")
     kept = [price, promo]
-    methods = {"ols": ols_elasticities(rows, features), "pert_pp": perturb_single(beside, kept, linear_scorer(features), features), "global": perturb_single(recent, kept, scorer, names)}
+    methods = {"ols": ols_elasticities(rows, features), "pert_pp": perturb_single(beside, kept, linear_scorer(features), features), "global": perturb_single(recent, kept, scorer, names, constant_flags=True)}
     long = reduce(DataFrame.unionByName, [d.select(*K, "feature", "value", F.lit(m).alias("_method")) for m, d in methods.items()])
     pick = lambda f, m: F.max(F.when((F.col("feature") == f) & (F.col("_method") == m), F.col("value")))
     wide = long.groupBy(*K).agg(*[pick(f, m).alias(f"ELAST_{label}_{m}") for label, f in (("PRIX", price), ("PROMO", promo)) for m in methods])
