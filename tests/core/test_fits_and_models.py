@@ -166,3 +166,14 @@ def test_choice_of_a_model_reports_both(spark, monkeypatch):
     test = windows.split_fraction(df).filter("is_test")
     naive = test.select(F.avg(F.abs(F.col("QUANTITE") - F.col("y_origin_m1")))).first()[0]
     assert rows[name]["mae"] < naive and rows[name]["accuracy"] == pytest.approx(100 - rows[name]["wmape"]) and model.transform(df).count() == df.count()
+
+
+def test_fits_read_few_partitions(spark, monkeypatch):
+    """What a shuffle leaves is settled before a search: small tables are fitted in one task a stage."""
+    seen, fit = [], models.fit_model
+    monkeypatch.setattr(models, "fit_model", lambda train, *a, **k: seen.append(train.rdd.getNumPartitions()) or fit(train, *a, **k))
+    df = history(spark, 2, 60)
+    rows = windows.split_with_purge(df)
+    models.grid_errors(df, ["PARAM_PRIX"], [{"regParam": 0.1}], 2, "tweedie")
+    models.search_params(rows.filter("split = 'train'"), rows.filter("split = 'test'"), ["PARAM_PRIX"], {"regParam": [0.1]}, kind="tweedie")
+    assert seen == [1, 1, 1]

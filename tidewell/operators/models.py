@@ -21,6 +21,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedL
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.folders import durable
 from tidewell.operators.elasticity import with_predictions
 from tidewell.operators.least_squares import fit_least_squares, linear_scorer, ols_elasticities
 from tidewell.operators.metrics import forecast_metrics, volume_accuracy
@@ -45,6 +46,15 @@ GRIDS = {
 FALLBACK = {"tweedie": {"variancePower": 1.5, "regParam": 0.1}, "boosted": {"maxDepth": 3, "minInstancesPerNode": 6}}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows that fits visit again and again: written once, and kept in as few partitions as their size asks for.
+
+    A tree visits all partitions once for each level and every task answers the driver, so the
+    partitions that a shuffle leaves would cost more than the rows.
+    """
+    return durable(df, "settled").persist()
+
+
 def assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
@@ -91,7 +101,7 @@ def search_params(train: DataFrame, holdout: DataFrame, features: list[str], spa
     A candidate whose fit diverges counts with an infinite error.
     """
     measure = RegressionEvaluator(labelCol=label, metricName="mae")
-    train, holdout = (x.select(label, *features).persist() for x in (train, holdout))
+    train, holdout = (settled(x.select(label, *features)) for x in (train, holdout))
 
     def error(params: dict) -> float:
         try:
@@ -115,7 +125,7 @@ def search_params(train: DataFrame, holdout: DataFrame, features: list[str], spa
 
 def grid_errors(df: DataFrame, features: list[str], grid: list[dict], k: int = 3, kind: str = "boosted") -> list[float]:
     """Mean error over k expanding folds of each point of the grid; infinite where a fit fails or no fold has rows to test."""
-    folds = expanding_folds(df, k).select("fold", "role", "QUANTITE", *features).persist()
+    folds = settled(expanding_folds(df, k).select("fold", "role", "QUANTITE", *features))
     measure = RegressionEvaluator(labelCol="QUANTITE", metricName="mae")
 
     def error(at: tuple[int, int]) -> float:
@@ -160,7 +170,7 @@ def choose_model(df: DataFrame, features: list[str], kinds: tuple[str, ...] = ("
     report has a row for each learner: wmape, its accuracy, mae, rmse, volume_error with its
     accuracy, params (JSON) and whether it was chosen; of equal errors the first learner is.
     """
-    rows = split_fraction(df).select(*K, "date", "QUANTITE", "is_test", *features).persist()
+    rows = settled(split_fraction(df).select(*K, "date", "QUANTITE", "is_test", *features))
     train, test = rows.filter("not is_test"), rows.filter("is_test")
     params = {kind: grid_search_time_cv(train, features, GRIDS[kind], k, kind, FALLBACK[kind]) for kind in kinds}
     found = {}
@@ -261,7 +271,8 @@ def fit_boosted_early_stop(df: DataFrame, features: list[str], held: str, loss:
     doubling from twice the patience, as a fit cannot be carried on: less than twice the rounds in all.
     """
     assembler = assemble(features)
-    rows = assembler.transform(df.select("QUANTITE", held, *features)).persist()
+    source = settled(df.select("QUANTITE", held, *features))
+    rows = assembler.transform(source).persist()
     train, hold, n = rows.filter(~F.col(held)), rows.filter(F.col(held)), 2 * patience
     while True:
         learner = GBTRegressor(**{"labelCol": "QUANTITE", "maxDepth": 4, "seed": 42} | params).setMaxIter(min(n, rounds)).setLossType(loss)
@@ -272,6 +283,7 @@ def fit_boosted_early_stop(df: DataFrame, features: list[str], held: str, loss:
             break
         n *= 2
     rows.unpersist()
+    source.unpersist()
     return PipelineModel([assembler, cut_rounds(model, best)]), errors
 
 
