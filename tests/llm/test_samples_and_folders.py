@@ -55,3 +55,50 @@ def test_blocks_lie_in_the_shared_folder(spark, monkeypatch):
     assert (set(os.listdir(warehouse)) if os.path.isdir(warehouse) else set()) == before
     assert not [t for t in spark.catalog.listTables() if "tidewell" in t.name]
     assert [n for n in os.listdir(spark.conf.get("spark.checkpoint.dir")) if n.startswith("substring-blocks")]
+
+
+def labelled(spark, n):
+    """Texts of which a fifth are toxic by one of 20 words, each row twice, with labels repeated."""
+    r = np.random.default_rng(5)
+    toxic = [int(i % 5 == 0) for i in range(n)]
+    texts = [" ".join([*[f"{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10]}" for k in r.integers(0, 100, 15)], f"vile{'abcdefghijklmnopqrst'[i % 20]}" if t else f"nr{'qrstuvwxyz'[i % 10]}"]) for i, t in enumerate(toxic)]
+    docs = spark.createDataFrame([(i, t, "n", "s", 1) for i, t in enumerate(texts)] * 2, DOCS)
+    return docs, spark.createDataFrame([*enumerate(toxic), *enumerate(toxic), (None, 1), (3, None)], "doc_id long, toxic int"), texts, toxic
+
+
+def test_every_labelled_text_teaches(spark, monkeypatch):
+    """No bound of a sample leaves a text out: each is in one shard, once, and the shards train or judge all of them."""
+    docs, labels, texts, toxic = labelled(spark, 300)
+    monkeypatch.setattr(toxicity, "PER_LABEL", 10)
+    speech = language.fit_languages(docs)
+    rows, n = toxicity.shards(docs, labels, speech, texts=50)
+    found = rows.collect()
+    assert n == 6 and len({r["shard"] for r in found}) == 6 and sum(r["toxic"] for r in found) == 60
+    assert len(found) == len({r["h"] for r in found}) == len(set(texts)) == 300 and 30 < sum(r["held"] for r in found) < 90
+    seen, cut = [], toxicity._cut
+    monkeypatch.setattr(toxicity, "_cut", lambda bins: seen.append(sum(r["n"] for r in bins)) or cut(bins))
+    net = toxicity.fit_on_all(docs, labels, speech, texts=50, steps=200)
+    assert seen[0] == sum(r["held"] for r in found)
+    out = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(docs, net, speech).collect()}
+    assert np.mean([out[i] == bool(t) for i, t in enumerate(toxic)]) > 0.9
+    again = toxicity.fit_on_all(docs.repartition(3), labels, speech, texts=50, steps=200)
+    assert (again.embed == net.embed).all() and again.thresholds == net.thresholds
+
+
+def test_a_round_moves_the_words_of_each_shard(spark):
+    """A word that one shard has keeps that shard's step; a net comes back whole from its rows."""
+    start = toxicity.pack(toxicity.TextCNN.fresh(), {})
+    net, sums = toxicity.unpack(start)
+    assert (toxicity.pack(net, sums) == start).all() and net.base == 0
+    each = [(s, 1, h, np.full(3 * 4, 100 * s + h, "<u2").tobytes()) for s in (1, 2) for h in range(8)]
+    rows = spark.createDataFrame(each, "shard int, toxic int, h long, slots binary").repartition(2, "shard").sortWithinPartitions("shard", "h")
+    both, one = toxicity._round(rows, start, 5, 0.1, 1), toxicity._round(rows.filter("shard = 1"), start, 5, 0.1, 1)
+    used = (one[: toxicity.BUCKETS] != start[: toxicity.BUCKETS]).any(axis=1)
+    assert used.any() and (both[: toxicity.BUCKETS][used] == one[: toxicity.BUCKETS][used]).all()
+    assert (both[200:208] != start[200:208]).any() and (toxicity._round(rows.filter("false"), start, 5, 0.1, 1) == start).all()
+
+
+def test_fit_on_no_labels(spark):
+    speech = language.fit_languages(spark.createDataFrame([], DOCS))
+    net = toxicity.fit_on_all(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, toxic int"), speech)
+    assert net.thresholds == {-1: 0.0} and net.base == 0
