@@ -177,3 +177,16 @@ def test_fits_read_few_partitions(spark, monkeypatch):
     models.grid_errors(df, ["PARAM_PRIX"], [{"regParam": 0.1}], 2, "tweedie")
     models.search_params(rows.filter("split = 'train'"), rows.filter("split = 'test'"), ["PARAM_PRIX"], {"regParam": [0.1]}, kind="tweedie")
     assert seen == [1, 1, 1]
+
+
+def test_searches_start_with_the_largest_folds(spark, monkeypatch):
+    """A long fit that starts last would run alone; each error still belongs to its own point of the grid."""
+    rows = spark.sql("select 'a' as ID_PRODUIT, 1 as ID_SO, date_add(date'2020-01-01', cast(id as int)) as date, cast(id % 5 as double) as QUANTITE, cast(id as double) as x from range(40)")
+    seen, fit = [], models.fit_model
+    monkeypatch.setattr(models, "FITS_AT_ONCE", 1)
+    monkeypatch.setattr(models, "fit_model", lambda train, *rest, **params: seen.append((train.count(), params["regParam"])) or fit(train, *rest, **params))
+    grid = [{"regParam": 0.01}, {"regParam": 1000.0}]
+    errors = models.grid_errors(rows, ["x"], grid, 3, "tweedie")
+    sizes = [n for n, _ in seen]
+    assert len(seen) == 6 and sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1] and len(set(seen)) == 6
+    assert errors == [models.grid_errors(rows, ["x"], [g], 3, "tweedie")[0] for g in grid]

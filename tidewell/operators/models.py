@@ -114,7 +114,7 @@ def search_params(train: DataFrame, holdout: DataFrame, features: list[str], spa
 
     drawn = draw_params(space, n, seed)
     with ThreadPool(FITS_AT_ONCE) as pool:
-        errors = pool.map(inheritable_thread_target(train.sparkSession)(error), drawn)
+        errors = pool.map(inheritable_thread_target(train.sparkSession)(error), drawn, chunksize=1)
     for x in (train, holdout):
         x.unpersist()
     best = min(range(len(drawn)), key=lambda i: errors[i])
@@ -136,9 +136,10 @@ def grid_errors(df: DataFrame, features: list[str], grid: list[dict], k: int = 3
             return float("inf")
         return found if found == found else float("inf")
 
-    each = [(i, fold) for i in range(len(grid)) for fold in range(1, k + 1)]
+    # the largest folds and the last points, often the dearest, come first: then no long fit is left over at the end
+    each = [(i, fold) for fold in range(k, 0, -1) for i in reversed(range(len(grid)))]
     with ThreadPool(FITS_AT_ONCE) as pool:
-        errors = dict(zip(each, pool.map(inheritable_thread_target(df.sparkSession)(error), each)))
+        errors = dict(zip(each, pool.map(inheritable_thread_target(df.sparkSession)(error), each, chunksize=1)))
     folds.unpersist()
     return [sum(errors[i, fold] for fold in range(1, k + 1)) / k for i in range(len(grid))]
 
