@@ -207,6 +207,22 @@ def test_lag_regression_has_covariate_lags_and_is_tuned(spark, monkeypatch):
     assert len(seen[0][0]) == 28 and seen[0][1] == models.SPACE["boosted"]
 
 
+def test_dense_days_scan_the_lines_once(spark):
+    """The calendar's span and its rows come from sales written before, not from two scans and joins of the tables."""
+    files = registry.dense(spark, DATA).inputFiles()
+    assert files and not [f for f in files if f.startswith(f"file://{DATA}")]
+
+
+@pytest.mark.parametrize("name", ["m5_search_params", "m15_lag_regression"])
+def test_searches_do_not_go_back_to_the_tables(spark, monkeypatch, name):
+    """Each fit and each error would scan the lines and broadcast the parts again."""
+    seen, fit = [], models.fit_model
+    monkeypatch.setattr(models, "draw_params", lambda space, n, seed: [{"maxIter": 1}])
+    monkeypatch.setattr(models, "fit_model", lambda train, *a, **k: seen.append(train.inputFiles()) or fit(train, *a, **k))
+    assert registry.queries()[name](spark, DATA).count() > 0
+    assert len(seen) == 2 and not [f for files in seen for f in files if f.startswith(f"file://{DATA}")]
+
+
 def test_jdbc_query(spark):
     options = {"url": "jdbc:derby:memory:sales;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     assert text.read_sales_jdbc(spark, options, "select 7 as q from sysibm.sysdummy1").first()[0] == 7
