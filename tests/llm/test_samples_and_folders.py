@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import numpy as np
@@ -102,3 +103,28 @@ def test_fit_on_no_labels(spark):
     speech = language.fit_languages(spark.createDataFrame([], DOCS))
     net = toxicity.fit_on_all(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, toxic int"), speech)
     assert net.thresholds == {-1: 0.0} and net.base == 0
+
+
+def test_op8_returns_the_text_without_planted_passages(spark, tmp_path):
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefgé"), r.integers(3, 12))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(words, n))
+    clean = [prose(150) for _ in range(30)]
+    passages = [prose(k) for k in range(80, 110)]
+    planted = [f"{prose(40)} é{p}{end} {prose(40)}" for p in passages for end in ("é", "è")]
+    texts = [*clean, *planted]
+    spark.createDataFrame([(i, t, "n", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {x["doc_id"]: x for x in substrings.op8_substring_dedup(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts) and min(len(p.encode()) for p in passages) >= 400
+    for i, t in enumerate(texts):
+        x, raw = out[i], t.encode()
+        spans = [tuple(map(int, s.split(":"))) for s in x["spans"].split(",") if s]
+        kept = b"".join(raw[a:b] for a, b in zip([0, *[s[1] for s in spans]], [*[s[0] for s in spans], len(raw)]))
+        assert (x["n_bytes"], x["n_removed"], x["n_spans"]) == (len(raw), sum(b - a for a, b in spans), len(spans))
+        assert x["kept_sha256"] == hashlib.sha256(kept).hexdigest() and x["text"] == kept.decode(errors="replace")
+        if i < len(clean):
+            assert x["text"] == t and not spans
+        else:
+            assert len(spans) == 1 and passages[(i - len(clean)) // 2].encode() in raw[slice(*spans[0])]
+    # é and è share their first byte, so the cut of a repeated passage falls inside them
+    assert all("�" in out[i]["text"] for i in range(len(clean), len(texts)))
