@@ -50,6 +50,16 @@ def test_least_squares_of_odd_columns(spark):
     assert least_squares.fit_least_squares(df.limit(0), ["far"]).count() == 0
 
 
+def test_plain_fits_are_undefined_for_couples_with_a_constant(spark):
+    df = history(spark, 4).withColumn("PARAM_PROMO_1", F.when(F.col("ID_PRODUIT") != 3, F.col("PARAM_PROMO_1")).otherwise(0.0))
+    for alpha in (0.0, 0.5):
+        fits = [{r["ID_PRODUIT"]: r["w"] for r in least_squares.fit_least_squares(df, FEATURES, alpha, plain=plain).collect()} for plain in (False, True)]
+        assert all(fits[0][p] == fits[1][p] for p in range(3)) and np.isfinite(fits[0][3]).all() and np.isnan(fits[1][3]).all()
+    found = {(r["ID_PRODUIT"], r["feature"]): r["value"] for r in least_squares.ols_elasticities(df, FEATURES, plain=True).collect()}
+    assert {f for (p, f), v in found.items() if v != v} == {"PARAM_PROMO_1", "PARAM_VACANCE", "y_origin_m1"}
+    assert {p for (p, _), v in found.items() if v != v} == {3} and (3, "PARAM_PRIX") not in found
+
+
 def test_moments_need_no_series_in_one_task(spark):
     plan = least_squares.moments(history(spark), FEATURES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_covar_pop" in plan and "Window" not in plan
