@@ -377,7 +377,7 @@ def test_queries_equal_sql_without_promotions(spark, no_promotions, name):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
 
 
-PLAIN = ["e10_ols_of_features", "m14_fit_arx", "m17_ols", "m8_fit_per_series"]
+PLAIN = ["e10_ols_of_features", "m14_fit_arx", "m17_ols", "m8_fit_per_series", "e17_compare_lines"]
 
 
 @pytest.mark.parametrize("name", PLAIN)
@@ -393,3 +393,18 @@ def test_flags_that_a_couple_never_changes(spark):
     rows = series(spark, [5] * 4).withColumn("PARAM_PROMO_1", F.lit(0.0))
     run = lambda **how: [r["value"] for r in totals.perturb_single(rows, ["PARAM_PROMO_1"], lambda x: 10 + 5 * x["PARAM_PROMO_1"], ["PARAM_PROMO_1"], **how).collect()]
     assert run() == [] and run(constant_flags=True) == [50.0]
+
+
+def test_plain_perturbations_move_flags_by_their_step(spark):
+    rows = series(spark, [5] * 4).withColumns({"PARAM_PROMO_1": F.lit(0.0), "PARAM_VACANCE": F.lit(1.0)})
+    run = lambda b: {r["feature"]: r["value"] for r in totals.perturb_single(rows, ["PARAM_PROMO_1", "PARAM_VACANCE"], lambda x: b + 10 * x["PARAM_VACANCE"] + 5 * x["PARAM_PROMO_1"], ["PARAM_PROMO_1", "PARAM_VACANCE"], plain=True).collect()}
+    assert run(0) == {"PARAM_VACANCE": 1.0} and all(v != v for v in run(F.lit(float("nan"))).values()) and len(run(F.lit(float("nan")))) == 2
+
+
+def test_lines_without_training_rows_equal_sql(spark, tmp_path):
+    con = duckdb.connect()
+    for t in ("lineitem", "part", "supplier", "nation"):
+        one = " order by l_shipdate, l_orderkey limit 1" if t == "lineitem" else ""
+        con.execute(f"copy (select * from '{DATA}/{t}.parquet'{one}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    assert registry.queries()["e17_compare_lines"](spark, str(tmp_path)).collect() == con.sql(registry.oracle_sql()["e17_compare_lines"]).fetchall() == []

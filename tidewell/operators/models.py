@@ -309,7 +309,7 @@ def signed_importance(df: DataFrame, model: PipelineModel, features: list[str],
     return [(f, round(100 * v * float(sign[f]), 2)) for f, v in feature_importance(model, features)]
 
 
-def compare_with_global(df: DataFrame, couples: DataFrame, features: list[str], scorer, names: list[str] | None = None, price: str = "PARAM_PRIX", promo: str = "PARAM_PROMO_1", alpha: float = 1e-3) -> DataFrame:
+def compare_with_global(df: DataFrame, couples: DataFrame, features: list[str], scorer, names: list[str] | None = None, price: str = "PARAM_PRIX", promo: str = "PARAM_PROMO_1", alpha: float = 1e-3, plain: bool = False) -> DataFrame:
     """Each picked couple's own linear model against one model of all couples, and three kinds of elasticities.
 
     Both are measured on the couple's last 30 days (``split_aligned``); the own model is fitted on its
@@ -318,11 +318,11 @@ def compare_with_global(df: DataFrame, couples: DataFrame, features: list[str],
     rows (ols), by perturbing the own model on all rows (pert_pp) and the global one on the
     last 90 days (global; on all rows where these are fewer than 30).  A couple with fewer than five
     test rows has no error of the global model.  Weights stand beside the rows, so every method
-    is a projection and an aggregate by couple.
+    is a projection and an aggregate by couple.  ``plain`` is that of the fits and perturbations.
     """
     names = names or features
     rows = split_aligned(df.join(couples.select(*K), K, "left_semi"))
-    own = fit_least_squares(rows.filter("is_train"), features, alpha)
+    own = fit_least_squares(rows.filter("is_train"), features, alpha, plain=plain)
     beside = rows.join(own.select(*K, "w"), K)
     scored = with_predictions(with_predictions(beside, {"_own": {}}, linear_scorer(features), features), {"_global": {}}, scorer, names)
     test, y = F.col("is_test"), F.col("QUANTITE")
@@ -334,7 +334,7 @@ def compare_with_global(df: DataFrame, couples: DataFrame, features: list[str],
     late = F.col("date") > F.date_sub(F.max("date").over(Window.partitionBy(*K)), 90)
     recent = beside.withColumn("_late", late).withColumn("_n", F.count_if("_late").over(Window.partitionBy(*K))).filter("_late or _n < 30").drop("_late", "_n")
     kept = [price, promo]
-    methods = {"ols": ols_elasticities(rows, features), "pert_pp": perturb_single(beside, kept, linear_scorer(features), features), "global": perturb_single(recent, kept, scorer, names, constant_flags=True)}
+    methods = {"ols": ols_elasticities(rows, features, plain=plain), "pert_pp": perturb_single(beside, kept, linear_scorer(features), features, plain=plain), "global": perturb_single(recent, kept, scorer, names, constant_flags=True, plain=plain)}
     long = reduce(DataFrame.unionByName, [d.select(*K, "feature", "value", F.lit(m).alias("_method")) for m, d in methods.items()])
     pick = lambda f, m: F.max(F.when((F.col("feature") == f) & (F.col("_method") == m), F.col("value")))
     wide = long.groupBy(*K).agg(*[pick(f, m).alias(f"ELAST_{label}_{m}") for label, f in (("PRIX", price), ("PROMO", promo)) for m in methods])

@@ -154,12 +154,13 @@ def series_elasticity_1pct(df: DataFrame, features: list[str], scorer: Scorer |
     return _long(tried.of(df, scorer, names).groupBy(*K).agg(*aggs), values)
 
 
-def perturb_single(df: DataFrame, features: list[str], scorer: Scorer | Transformer, names: list[str], constant_flags: bool = False) -> DataFrame:
+def perturb_single(df: DataFrame, features: list[str], scorer: Scorer | Transformer, names: list[str], constant_flags: bool = False, plain: bool = False) -> DataFrame:
     """Benchmark form, per couple, in %: features that only hold 0 and 1 by their median impact,
     others by the mean of both 10 % steps; no clip, no sign rule, zeros left out.
 
     A couple that knows only one of 0 and 1 has no impact of that feature, as a model of its own
-    drops it; with ``constant_flags``, for models of all couples, it has.
+    drops it; with ``constant_flags``, for models of all couples, it has.  With ``plain`` every
+    feature is moved by its step, flags too; without a step it moves nothing, and NaN stays NaN.
     """
     used = [f for f in features if f not in BENCH_EXCLUDED]
     tried = Variants()
@@ -170,8 +171,9 @@ def perturb_single(df: DataFrame, features: list[str], scorer: Scorer | Transfor
         m, s = F.col(f"_{i}_m"), F.col(f"_{i}_s")
         step = F.when(F.abs(m) > 1e-8, m * 0.1).when(s > 1e-8, s * 0.1)
         off, on, up, down = tried.at(f, F.lit(0.0)), tried.at(f, F.lit(1.0)), tried.at(f, F.col(f) + step), tried.at(f, F.col(f) - step)
-        flag = F.col(f"_{i}_flag")
+        flag = F.lit(False) if plain else F.col(f"_{i}_flag")
+        moved = F.coalesce(up - down, F.lit(0.0)) if plain else F.when(step.isNotNull(), up - down)
         known = flag if constant_flags else flag & F.col(f"_{i}_both")
-        aggs += [F.median(F.when(known & (off > 0.5), (on - off) / off * 100)).alias(f"_{i}_b"), F.avg(F.when(~flag & step.isNotNull() & (y > 1e-8), (up - down) / y / 0.1 / 2)).alias(f"_{i}_c")]
+        aggs += [F.median(F.when(known & (off > 0.5), (on - off) / off * 100)).alias(f"_{i}_b"), F.avg(F.when(~flag & (y > 1e-8), moved / y / 0.1 / 2)).alias(f"_{i}_c")]
         values[f] = F.round(F.coalesce(f"_{i}_b", f"_{i}_c"), 2)
     return _long(tried.of(rows, scorer, names).groupBy(*K).agg(*aggs), values).filter("abs(value) > 1e-8")
