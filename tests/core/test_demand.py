@@ -377,7 +377,7 @@ def test_queries_equal_sql_without_promotions(spark, no_promotions, name):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
 
 
-PLAIN = ["e10_ols_of_features", "m14_fit_arx", "m17_ols", "m8_fit_per_series", "e17_compare_lines"]
+PLAIN = ["e10_ols_of_features", "m14_fit_arx", "m17_ols", "m8_fit_per_series", "e17_compare_lines", "t8_compare_elasticities"]
 
 
 @pytest.mark.parametrize("name", PLAIN)
